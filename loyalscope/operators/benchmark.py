@@ -1,43 +1,49 @@
 """Segment benchmarks: each segment against the overall score and its peer group.
 
-The peer-group mean ("average score of all segments of my type with n >= min_n, me included") is
-written as a correlated subquery in SQL. Here it is what such a subquery becomes after
-decorrelation: the means are aggregated once per segment type and joined back. That side has one row
-per segment type - the number of grouping sets, known when the plan is built - so broadcasting it is
-safe at any data size. The overall score is an uncorrelated scalar subquery, evaluated once.
+In SQL the overall score is an uncorrelated scalar subquery and the peer-group mean ("average score
+of all segments of my type with n >= min_n, me included") a correlated one. Both are computed here
+from the rollup rows themselves, with windows partitioned by segment type, so the plan has a single
+lineage: the scan, the tagging join and the cell aggregation run exactly once (a subquery or a
+self-join over the rollup would plan that subtree twice and depend on exchange reuse to share it).
+
+* Every grouping set partitions all reviews, so the counts of one segment type sum to the overall
+  counts: the per-type window sums are the overall row, repeated for each type.
+* The peer mean is the decorrelated subquery: a per-type window over the segments kept by the
+  sample-size filter.
+
+The windows run after aggregation; a partition holds the segments of one type, so its size is
+bounded by that dimension's number of values, not by the number of reviews.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loyalscope.functions.measures import mean_tenths, nps_tenths, tenths_to_score
-from loyalscope.operators.cells import TOTAL
 
 
-def with_tenths(segments: DataFrame) -> DataFrame:
-    return segments.withColumn("s10", nps_tenths("promoters", "detractors", "review_count"))
-
-
-def overall_of(rolled: DataFrame) -> Column:
-    """Scalar subquery over the ``total`` row of a rollup: ``struct(s10, review_count)``."""
-    total_row = rolled.where(F.col("segment_type") == TOTAL)
-    return total_row.select(F.struct("s10", "review_count").alias("overall")).scalar()
+def with_overall(rolled: DataFrame) -> DataFrame:
+    """Add ``total_reviews`` and ``overall10`` (overall score in tenths) to every segment row."""
+    by_type = Window.partitionBy("segment_type")
+    total = F.sum("review_count").over(by_type)
+    return rolled.withColumns({
+        "total_reviews": total.cast("long"),
+        "overall10": nps_tenths(F.sum("promoters").over(by_type),
+                                F.sum("detractors").over(by_type), total),
+    })
 
 
 def peer_benchmark(rolled: DataFrame, min_n: int = 20) -> DataFrame:
-    """Segments with ``review_count >= min_n``, each with the overall and its peer mean in tenths.
+    """Segments with ``review_count >= min_n`` with ``overall10`` and ``peer10`` (tenths).
 
-    ``rolled`` is a rollup with ``s10`` that includes the ``total`` row. Adds ``overall10``,
-    ``peer10`` (the peer mean rounded to one decimal, in tenths) to every kept segment.
+    ``rolled`` is a rollup with ``s10`` (no total row needed). ``peer10`` is the mean of the kept
+    segments' scores of the same type, rounded to one decimal.
     """
-    overall = overall_of(rolled)
-    segments = rolled.where((F.col("segment_type") != TOTAL) & (F.col("review_count") >= min_n))
-    peers = (segments.groupBy("segment_type")
-             .agg(mean_tenths(F.sum("s10"), F.count(F.lit(1))).alias("peer10")))
-    return (segments.join(F.broadcast(peers), "segment_type")
-            .withColumn("overall10", overall.getField("s10")))
+    by_type = Window.partitionBy("segment_type")
+    segments = with_overall(rolled).where(F.col("review_count") >= min_n)
+    return segments.withColumn(
+        "peer10", mean_tenths(F.sum("s10").over(by_type), F.count(F.lit(1)).over(by_type)))
 
 
 def benchmark_columns() -> list[Column]:

@@ -31,14 +31,15 @@ SegmentSets = Sequence[tuple[str, Sequence[str]]]
 
 
 def review_cells(reviews: DataFrame, users: DataFrame, strict: bool = False,
-                 extra_keys: Sequence[str] = ()) -> DataFrame:
+                 extra_keys: Sequence[str] = (), broadcast_users: bool | None = None) -> DataFrame:
     """One join, one aggregation: ``CELL_KEYS + extra_keys`` -> additive tier counts.
 
     ``extra_keys`` are further review columns to keep as cell keys (for example ``app_name``); the
     cells then grow with that column's cardinality and stay a distributed DataFrame.
     """
     tagged = tag_with_users(reviews, users, strict=strict,
-                            review_columns=("category", "rating", *extra_keys))
+                            review_columns=("category", "rating", *extra_keys),
+                            broadcast_users=broadcast_users)
     return tagged.groupBy(*CELL_KEYS, *extra_keys).agg(*tier_count_aggs())
 
 

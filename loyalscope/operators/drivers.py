@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loyalscope.functions.measures import negative_impact, tenths_to_score
-from loyalscope.operators.benchmark import overall_of
+from loyalscope.operators.benchmark import with_overall
 from loyalscope.operators.cells import TOTAL, SegmentSets, segment_value
 
 
@@ -27,17 +27,14 @@ def rank_order() -> list:
 def score_below_overall(rolled: DataFrame, sets: SegmentSets, min_n: int = 30) -> DataFrame:
     """Segments with ``review_count >= min_n`` whose rounded score is below the rounded overall.
 
-    ``rolled`` is a rollup with ``s10`` that includes the ``total`` row; the comparison uses the
-    rounded scores, as the gap and the impact do.
+    ``rolled`` is a rollup with ``s10``; the overall comes from its own per-type sums
+    (``with_overall``). The comparison uses the rounded scores, as the gap and the impact do.
     """
-    overall = overall_of(rolled)
-    o10, total = overall.getField("s10"), overall.getField("review_count")
-    segments = rolled.where(F.col("segment_type") != TOTAL)
-    scored = segments.where((F.col("review_count") >= min_n) & (F.col("s10") < o10))
+    segments = with_overall(rolled.where(F.col("segment_type") != TOTAL))
+    scored = segments.where((F.col("review_count") >= min_n) & (F.col("s10") < F.col("overall10")))
     return scored.withColumns({
         "segment_label": segment_value([s for s in sets if s[1]]),
-        "overall10": o10,
-        "negative_impact_score": negative_impact("s10", o10, "review_count", total),
+        "negative_impact_score": negative_impact("s10", "overall10", "review_count", "total_reviews"),
     })
 
 
@@ -66,7 +63,8 @@ def coverage(labelled_cells: DataFrame, top_segments: DataFrame, sets: SegmentSe
     once. Each labelled cell is expanded into its key under every grouping set (a handful of rows per
     cell), semi-joined with the top segments on (type, keys) with NULL-safe equality, and the covered
     cells are de-duplicated before summing. ``top_segments`` is the output of a LIMIT, so its size is
-    bounded by construction and it is broadcast.
+    bounded by construction and it is broadcast. ``labelled_cells`` must have unique label keys.
+    Covered and total counts are summed in one aggregate over both row sets.
     """
     cell_cols = [f"cell_{d}" for d in dims]
     keyed = labelled_cells.select(*(F.col(d).alias(c) for d, c in zip(dims, cell_cols)),
@@ -82,15 +80,14 @@ def coverage(labelled_cells: DataFrame, top_segments: DataFrame, sets: SegmentSe
     targets = F.broadcast(top_segments.select(*keys))
     cond = [expanded[k].eqNullSafe(targets[k]) for k in keys]
     covered = (expanded.join(targets, cond, "left_semi")
-               .select(*cell_cols, "review_count", "detractors").distinct())
-    totals = labelled_cells.agg(F.struct(F.sum("review_count").alias("n"),
-                                         F.sum("detractors").alias("d")).alias("t")).scalar()
-    return covered.agg(
-        F.coalesce(F.sum("review_count"), F.lit(0)).cast("long").alias("reviews_covered"),
-        F.coalesce(F.sum("detractors"), F.lit(0)).cast("long").alias("detractors_covered"),
-    ).select(
-        "reviews_covered",
-        totals.getField("n").cast("long").alias("total_reviews"),
-        "detractors_covered",
-        totals.getField("d").cast("long").alias("total_detractors"),
+               .select(*cell_cols, "review_count", "detractors").distinct()
+               .select(F.lit(True).alias("covered"), "review_count", "detractors"))
+    everything = keyed.select(F.lit(False).alias("covered"), "review_count", "detractors")
+    cov, n, d = F.col("covered"), F.col("review_count"), F.col("detractors")
+    zero = F.lit(0)
+    return covered.unionByName(everything).agg(
+        F.coalesce(F.sum(F.when(cov, n)), zero).cast("long").alias("reviews_covered"),
+        F.coalesce(F.sum(F.when(~cov, n)), zero).cast("long").alias("total_reviews"),
+        F.coalesce(F.sum(F.when(cov, d)), zero).cast("long").alias("detractors_covered"),
+        F.coalesce(F.sum(F.when(~cov, d)), zero).cast("long").alias("total_detractors"),
     )

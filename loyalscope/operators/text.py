@@ -1,10 +1,10 @@
 """Words that detractors use (X7): per word, how many detractor and other documents contain it.
 
-Each document is tokenised in its own row (lower case, split on every run of non-letters) and its
-distinct words are kept as an array, so duplicates inside one text never leave the row and the whole
-text is read. Only that word array travels through the join with the labels; after the explode the
-per-word counts are combined map-side before the shuffle, so frequent words cost one partial row
-per task.
+Documents are first joined with their labels (a small label table is broadcast, so the texts are
+not shuffled, and unlabelled texts are never tokenised). Each text is then tokenised in its own row
+(lower case, split on every run of non-letters) and only its distinct words are kept, so repeats
+inside one text never leave the row and every whole text is read. After the explode the per-word
+counts are combined map-side before the shuffle: a frequent word costs one partial row per task.
 """
 
 from __future__ import annotations
@@ -18,10 +18,23 @@ from loyalscope.functions.measures import exact_ratio, pct
 NON_LETTERS = r"[^\p{L}]+"
 
 
-def document_words(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``id_col, words``: the distinct lower-case words of each whole text."""
+def document_words(documents: DataFrame, text_col: str = "text") -> DataFrame:
+    """Every column but ``text_col``, plus ``words``: the distinct lower-case words of the text."""
     tokens = F.split(F.lower(F.col(text_col)), NON_LETTERS)
-    return documents.select(id_col, F.array_distinct(F.filter(tokens, lambda w: w != "")).alias("words"))
+    keep = [c for c in documents.columns if c != text_col]
+    return spread(documents).select(*keep, F.array_distinct(F.array_remove(tokens, "")).alias("words"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster's cores when the scan yields fewer splits than cores.
+
+    Tokenising is CPU-bound and runs in the scan's tasks; a table stored as one parquet row group
+    is a single split. Large tables arrive in many splits and are left alone (no shuffle).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def detractor_words(documents: DataFrame, labels: DataFrame, is_detractor: str = "toxic",
@@ -31,11 +44,15 @@ def detractor_words(documents: DataFrame, labels: DataFrame, is_detractor: str =
     ``lift = (detractor docs with the word / detractor docs) / (docs with the word / docs)``, two
     decimals; above 1 the word is over-represented among detractors.
     """
-    words = document_words(documents).join(
+    labelled = documents.select("doc_id", "text").join(
         labels.select("doc_id", (F.col(is_detractor) == 1).alias("is_det")), "doc_id")
+    words = document_words(labelled)
     totals = words.agg(F.struct(F.count(F.lit(1)).alias("docs"),
                                 F.count_if("is_det").alias("det")).alias("t")).scalar()
-    per_word = (words.select("is_det", F.explode("words").alias("word"))
+    # explode_outer: a plain explode makes Spark infer ``size(words) > 0`` and push that filter
+    # below the repartition, which would tokenise every text twice.
+    per_word = (words.select("is_det", F.explode_outer("words").alias("word"))
+                .where(F.col("word").isNotNull())
                 .groupBy("word")
                 .agg(F.count(F.lit(1)).alias("docs"), F.count_if("is_det").alias("detractor_docs")))
     n, det = F.col("docs"), F.col("detractor_docs")

@@ -15,7 +15,6 @@ from loyalscope.functions.measures import avg_star, nps_score, pct, score_column
 from loyalscope.functions.tiers import sum_count_aggs, tier_count_aggs
 from loyalscope.operators.benchmark import benchmark_columns, peer_benchmark
 from loyalscope.operators.cells import (
-    TOTAL,
     review_cells,
     rollup,
     segment_value,
@@ -126,8 +125,7 @@ def tier_counts_by_device(reviews: DataFrame, users: DataFrame, style: str = "fi
 def segment_benchmark(reviews: DataFrame, users: DataFrame, min_n: int = 20) -> DataFrame:
     """Q5: segments with ``n >= min_n`` against the overall score and their own peer group."""
     cells = review_cells(reviews, users)
-    sets = (*SINGLE_SETS, (TOTAL, ()))
-    rolled = rollup(cells, labels(device_null="unknown", age_labels="short"), sets) \
+    rolled = rollup(cells, labels(device_null="unknown", age_labels="short"), SINGLE_SETS) \
         .withColumns(score_columns())
     bench = peer_benchmark(rolled, min_n=min_n)
     return (bench.select(
@@ -138,7 +136,7 @@ def segment_benchmark(reviews: DataFrame, users: DataFrame, min_n: int = 20) ->
 
 # ---- Q6 ---------------------------------------------------------------------------------------
 
-DRIVER_SETS = (*SINGLE_SETS, (DEVICE_X_AGE, ("device_type", "age_bucket")), (TOTAL, ()))
+DRIVER_SETS = (*SINGLE_SETS, (DEVICE_X_AGE, ("device_type", "age_bucket")))
 
 
 def driver_segments(reviews: DataFrame, users: DataFrame, min_n: int = 30,

@@ -52,7 +52,7 @@ def device_region_nps(reviews: DataFrame, users: DataFrame) -> DataFrame:
 
 def three_way_nps(reviews: DataFrame, users: DataFrame, min_n: int = 30) -> DataFrame:
     """Device x region x age bucket below the overall score, with gap and impact."""
-    sets = ((DEVICE_X_REGION_X_AGE, ("device_type", "region", "age_bucket")), (TOTAL, ()))
+    sets = ((DEVICE_X_REGION_X_AGE, ("device_type", "region", "age_bucket")),)
     scored = driver_segments(reviews, users, min_n=min_n, sets=sets)
     s10, o10 = F.col("s10"), F.col("overall10")
     return scored.select(

@@ -6,6 +6,8 @@ prefix of every oracle query), so both engines see identical rows. Nothing is wr
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Column expressions of the fixture views.
@@ -42,8 +44,20 @@ def _select_sql(columns) -> str:
     return ", ".join(f"{expr} AS {name}" for name, expr in columns)
 
 
+_SCHEMAS: dict[tuple, object] = {}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one generated table; its schema is inferred once per file version, then passed in."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    try:
+        st = os.stat(path)
+        key = (path, st.st_size, st.st_mtime_ns)
+    except OSError:
+        return spark.read.parquet(path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def reviews_view(spark: SparkSession, sf_dir: str) -> DataFrame:
