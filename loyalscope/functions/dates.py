@@ -14,7 +14,7 @@ MONTH_KEY_FORMAT = "yyyy-MM-01"
 
 def parse_review_date(text: Column | str) -> Column:
     """Text ``YYYY-MM-DD`` -> DATE; malformed or impossible dates (``2022-02-30``) become NULL."""
-    return F.try_to_date(as_col(text), F.lit(DATE_FORMAT))
+    return F.try_to_date(as_col(text), DATE_FORMAT)
 
 
 def review_month(date: Column | str) -> Column:
