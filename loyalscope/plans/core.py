@@ -73,7 +73,11 @@ def segment_nps(reviews: DataFrame, users: DataFrame) -> DataFrame:
     NULL values are grouped as NULL and labelled ``'unknown'`` afterwards, so a literal ``'unknown'``
     and a NULL give two rows with the same label. A NULL age is a veteran here.
     """
-    cells = review_cells(reviews, users)
+    return segment_nps_from_cells(review_cells(reviews, users))
+
+
+def segment_nps_from_cells(cells: DataFrame) -> DataFrame:
+    """Q2 from precomputed base cells (``review_cells``, or a stored or streamed cell table)."""
     rolled = rollup(cells, labels(), SINGLE_SETS)
     return (rolled.select(
         "segment_type",
@@ -95,7 +99,10 @@ def monthly_nps_trend(reviews: DataFrame, rolling: int = 3, threshold: float = 2
 
 def device_age_nps(reviews: DataFrame, users: DataFrame, min_n: int = 20) -> DataFrame:
     """Q4: device x short age bucket, groups with at least ``min_n`` reviews. Device NULL stays NULL."""
-    cells = review_cells(reviews, users)
+    return device_age_nps_from_cells(review_cells(reviews, users), min_n=min_n)
+
+
+def device_age_nps_from_cells(cells: DataFrame, min_n: int = 20) -> DataFrame:
     lab = labels(age_labels="short")
     grouped = (cells.select(lab["device_type"].alias("device_type"),
                             lab["age_bucket"].alias("age_bucket"),
@@ -124,7 +131,10 @@ def tier_counts_by_device(reviews: DataFrame, users: DataFrame, style: str = "fi
 
 def segment_benchmark(reviews: DataFrame, users: DataFrame, min_n: int = 20) -> DataFrame:
     """Q5: segments with ``n >= min_n`` against the overall score and their own peer group."""
-    cells = review_cells(reviews, users)
+    return segment_benchmark_from_cells(review_cells(reviews, users), min_n=min_n)
+
+
+def segment_benchmark_from_cells(cells: DataFrame, min_n: int = 20) -> DataFrame:
     rolled = rollup(cells, labels(device_null="unknown", age_labels="short"), SINGLE_SETS) \
         .withColumns(score_columns())
     bench = peer_benchmark(rolled, min_n=min_n)
@@ -162,3 +172,10 @@ def negative_drivers(reviews: DataFrame, users: DataFrame, min_n: int = 30, top:
     """Q6: the ``top`` segments that pull the overall score down most, by volume x gap."""
     scored = driver_segments(reviews, users, min_n=min_n, strategy=strategy)
     return rank_top(scored, top=top).select(*driver_columns()).orderBy(*rank_order())
+
+
+def negative_drivers_from_cells(cells: DataFrame, min_n: int = 30, top: int = 15) -> DataFrame:
+    lab = labels(device_null="unknown", age_null="unknown")
+    rolled = rollup(cells, lab, DRIVER_SETS).withColumns(score_columns())
+    scored = score_below_overall(rolled, DRIVER_SETS, min_n=min_n)
+    return rank_top(scored, top=top).select(*driver_columns()).orderBy(*rank_order())

@@ -1,0 +1,12 @@
+"""Structured Streaming: the additive cells and monthly counts maintained from a file stream."""
+
+from loyalscope.streaming.incremental import (
+    cell_stream,
+    default_checkpoint,
+    monthly_stream,
+    read_review_stream,
+    start_snapshots,
+)
+
+__all__ = ["cell_stream", "default_checkpoint", "monthly_stream", "read_review_stream",
+           "start_snapshots"]
