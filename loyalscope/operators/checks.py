@@ -2,9 +2,10 @@
 
 The documented constraints (unique review and user ids, ratings 1..5, every review's user known) are
 never enforced by the queries, and a duplicated user id silently fans out the tagging join, so they
-are counted here. Distinct counts are hash aggregates with map-side combining; the two unmatched
-counts are anti joins, planned like the tagging join (broadcast by measured size, else shuffled with
-skew splitting).
+are counted here. Distinct counts are hash aggregates with map-side combining; the unmatched counts
+join against the other side's distinct ids, planned like the tagging join (broadcast by size, else
+shuffled with AQE skew splitting). CSV rows that failed to parse (``_corrupt_record``) are counted
+when the reader kept that column.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loyalscope.functions.tiers import MAX_STARS, MIN_STARS
+from loyalscope.sources.readers import CORRUPT
 
 
 def _stack(one_row: DataFrame, checks: dict[str, Column], rows: Column) -> DataFrame:
@@ -23,26 +25,29 @@ def _stack(one_row: DataFrame, checks: dict[str, Column], rows: Column) -> DataF
 
 def input_checks(reviews: DataFrame, users: DataFrame) -> DataFrame:
     r, u = F.col("rating"), F.col("user_id")
-    review_checks = _stack(reviews, {
+    per_review = {
         "null_review_id": F.count_if(F.col("review_id").isNull()),
         "duplicate_review_id": F.count("review_id") - F.count_distinct("review_id"),
         "null_rating": F.count_if(r.isNull()),
         "rating_out_of_range": F.count_if(r.isNotNull() & ~r.between(MIN_STARS, MAX_STARS)),
         "null_review_date": F.count_if(F.col("review_date").isNull()),
         "null_user_id": F.count_if(u.isNull()),
-    }, F.count(F.lit(1)))
+    }
+    if CORRUPT in reviews.columns:
+        per_review["unparseable_row"] = F.count_if(F.col(CORRUPT).isNotNull())
+    review_checks = _stack(reviews, per_review, F.count(F.lit(1)))
     user_checks = _stack(users, {
         "duplicate_user_id": F.count("user_id") - F.count_distinct("user_id"),
         "null_account_age": F.count_if(F.col("account_age_days").isNull()),
         "null_device_type": F.count_if(F.col("device_type").isNull()),
         "null_region": F.count_if(F.col("region").isNull()),
     }, F.count(F.lit(1)))
-    known = users.select("user_id").where(u.isNotNull())
+    # Unmatched ids in both directions, each against the other side's distinct ids (no fan-out).
+    known = users.select("user_id").where(u.isNotNull()).distinct()
     reviewed = reviews.select("user_id").where(u.isNotNull())
-    unmatched = _stack(reviewed.join(known, "user_id", "left_anti"),
-                       {"review_user_unknown": F.count(F.lit(1))},
-                       F.lit(None).cast("long"))
-    silent = _stack(known.join(reviewed, "user_id", "left_anti"),
-                    {"user_without_reviews": F.count(F.lit(1))},
-                    F.lit(None).cast("long"))
+    hit = F.col("_hit").isNull()
+    unmatched = _stack(reviewed.join(known.withColumn("_hit", F.lit(True)), "user_id", "left"),
+                       {"review_user_unknown": F.count_if(hit)}, F.count(F.lit(1)))
+    silent = _stack(known.join(reviewed.distinct().withColumn("_hit", F.lit(True)), "user_id", "left"),
+                    {"user_without_reviews": F.count_if(hit)}, F.count(F.lit(1)))
     return review_checks.unionByName(user_checks).unionByName(unmatched).unionByName(silent)

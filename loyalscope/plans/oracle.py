@@ -308,7 +308,9 @@ UNION ALL SELECT 'duplicate_user_id', COUNT(user_id) - COUNT(DISTINCT user_id),
 UNION ALL SELECT 'null_account_age', COUNT(*) FILTER (WHERE account_age_days IS NULL), COUNT(*) FROM user_attributes
 UNION ALL SELECT 'null_device_type', COUNT(*) FILTER (WHERE device_type IS NULL), COUNT(*) FROM user_attributes
 UNION ALL SELECT 'null_region', COUNT(*) FILTER (WHERE region IS NULL), COUNT(*) FROM user_attributes
-UNION ALL SELECT 'review_user_unknown', COUNT(*), CAST(NULL AS BIGINT) FROM reviews r
-  WHERE r.user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM user_attributes u WHERE u.user_id = r.user_id)
-UNION ALL SELECT 'user_without_reviews', COUNT(*), CAST(NULL AS BIGINT) FROM user_attributes u
-  WHERE u.user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM reviews r WHERE r.user_id = u.user_id)"""
+UNION ALL SELECT 'review_user_unknown', COUNT(*) FILTER (WHERE NOT EXISTS (
+    SELECT 1 FROM user_attributes u WHERE u.user_id = r.user_id)), COUNT(*)
+  FROM reviews r WHERE r.user_id IS NOT NULL
+UNION ALL SELECT 'user_without_reviews', COUNT(*) FILTER (WHERE NOT EXISTS (
+    SELECT 1 FROM reviews r WHERE r.user_id = u.user_id)), COUNT(*)
+  FROM (SELECT DISTINCT user_id FROM user_attributes WHERE user_id IS NOT NULL) u"""

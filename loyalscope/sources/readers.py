@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from loyalscope.functions.dates import parse_review_date
 from loyalscope.sources import schemas
 
-_CSV_OPTIONS = {"header": "true", "mode": "PERMISSIVE"}
+CORRUPT = "_corrupt_record"
+_CSV_OPTIONS = {"header": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 
 def read_reviews(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """``review_id, app_name, category, rating, review_date (DATE), user_id``.
 
     CSV is read with the documented schema; the text date is parsed here, once, so a malformed date
-    is NULL everywhere downstream. Parquet is read as stored and only pruned to the known columns.
+    is NULL everywhere downstream. A line whose fields do not parse (a rating that is not an integer)
+    keeps its text in ``_corrupt_record`` for ``input_checks``. Parquet is read as stored and only
+    pruned to the known columns.
     """
     if fmt == "csv":
-        raw = spark.read.schema(schemas.REVIEWS_CSV).options(**_CSV_OPTIONS).csv(path)
+        schema = T.StructType(schemas.REVIEWS_CSV.fields + [T.StructField(CORRUPT, T.StringType())])
+        raw = spark.read.schema(schema).options(**_CSV_OPTIONS).csv(path)
         return raw.withColumn("review_date", parse_review_date("review_date"))
     if fmt == "parquet":
         return spark.read.parquet(path).select(*schemas.REVIEWS.fieldNames())

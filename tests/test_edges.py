@@ -162,6 +162,8 @@ def test_t7_malformed_dates_are_null(spark, tmp_path):
     reviews = read_reviews(spark, str(path), fmt="csv")
     dates = dict(rows_of(reviews, "review_id", "review_date"))
     assert dates == {1: dt.date(2022, 1, 15), 2: None, 3: None, 4: None, 5: dt.date(2022, 3, 1)}
+    checks = dict(rows_of(input_checks(reviews, make_users(spark, [])), "check_name", "violations"))
+    assert checks["null_review_date"] == 3 and checks["unparseable_row"] == 0
     months = rows_of(core.monthly_nps_trend(reviews), "review_month", "total_reviews", "prev_month_nps")
     # February has no valid review: March's previous month is January
     assert months == [("2022-01-01", 1, None), ("2022-03-01", 1, 100.0)]
@@ -246,3 +248,20 @@ def test_duplicate_user_is_reported_and_fans_out(spark):
     assert checks["null_user_id"] == 1
     assert checks["null_account_age"] == 1
     assert tag_with_users(reviews, users).count() == 5
+
+
+def test_unparseable_csv_rows_are_counted(spark, tmp_path):
+    path = tmp_path / "bad.csv"
+    path.write_text("review_id,app_name,category,rating,review_date,user_id\n"
+                    "1,a,Tools,five,2022-01-15,u1\n2,a,Tools,4,2022-01-16,u1\n")
+    reviews = read_reviews(spark, str(path), fmt="csv")
+    checks = dict(rows_of(input_checks(reviews, make_users(spark, [])), "check_name", "violations"))
+    assert checks["unparseable_row"] == 1 and checks["null_rating"] == 1
+
+
+def test_fits_broadcast_measures_rows(spark):
+    from loyalscope.operators.tagging import fits_broadcast
+    small = spark.range(100).withColumn("s", F.lit("x"))
+    assert fits_broadcast(small, limit=100 * 36)
+    assert not fits_broadcast(small, limit=99 * 36)
+    assert not fits_broadcast(small, limit=-1)
