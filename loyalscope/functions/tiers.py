@@ -41,13 +41,22 @@ def nps_value(rating: Column | str) -> Column:
 
 
 def tier_count_aggs(tier: Column | str = "nps_tier", rating: Column | str = "rating",
-                    style: str = "filter") -> list[Column]:
+                    style: str = "filter", weight: Column | str | None = None) -> list[Column]:
     """``review_count, promoters, passives, detractors, rating_sum`` over tagged rows.
 
     ``style='filter'`` counts with ``count_if`` (SQL ``COUNT(*) FILTER (WHERE ...)``); ``style='case'``
     sums ``CASE WHEN ... THEN 1 ELSE 0 END``. Both are bigint and equal on every input.
+    With ``weight``, each row stands for ``weight`` reviews (rows that were pre-aggregated).
     """
     t = as_col(tier)
+    if weight is not None:
+        w = as_col(weight)
+        return [
+            F.sum(w).cast("long").alias("review_count"),
+            *(F.sum(F.when(t == name, w).otherwise(0)).cast("long").alias(alias)
+              for name, alias in zip(TIERS, ("promoters", "passives", "detractors"))),
+            F.sum(as_col(rating) * w).cast("long").alias("rating_sum"),
+        ]
     if style == "filter":
         counts = [F.count_if(t == name) for name in TIERS]
     elif style == "case":

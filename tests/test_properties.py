@@ -99,6 +99,21 @@ def test_results_do_not_depend_on_partitioning(spark):
         assert again == base
 
 
+def test_preaggregated_cells_equal_plain_cells(spark):
+    rnd = random.Random(11)
+    reviews = [(rnd.choice([None, 0, 1, 3, 4, 5, 6]),
+                "hot" if rnd.random() < 0.35 else rnd.choice([f"u{i}" for i in range(30)] + [None]),
+                rnd.choice(CATS)) for _ in range(800)]
+    users = [(f"u{i}", rnd.choice(DEVICES), rnd.choice(REGIONS), rnd.choice([None, 5, 60, 900]))
+             for i in range(25)] + [("hot", "iOS", "EU", 10)]
+    rv, us = make_reviews(spark, reviews), make_users(spark, users)
+    cols = ("device_type", "region", "age_code", "category", "review_count", "promoters",
+            "passives", "detractors", "rating_sum")
+    for strict in (False, True):
+        assert rows_of(review_cells(rv, us, strict=strict, preaggregate=True), *cols) == \
+            rows_of(review_cells(rv, us, strict=strict), *cols)
+
+
 def test_rollup_total_equals_every_segment_type(spark):
     rnd = random.Random(3)
     reviews = [(rnd.choice([1, 3, 5]), f"u{rnd.randrange(10)}", rnd.choice(CATS)) for _ in range(200)]
