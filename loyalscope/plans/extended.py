@@ -19,8 +19,7 @@ from loyalscope.plans.core import (
 )
 from loyalscope.sources.sentiment import adapt_sentiment_reviews
 
-# Names of the extra segment types and of the grand-total row.
-DEVICE_X_REGION = "device_type × region"
+# Name of the three-way segment type and label of the grand-total row.
 DEVICE_X_REGION_X_AGE = "device_type × region × age"
 ALL = "all"
 

@@ -20,3 +20,18 @@ def test_report_equals_standalone_queries(spark, materialize):
         want = entry.queries()[name](spark, SF)
         assert df.columns == want.columns, name
         assert rows_of(df, *df.columns) == rows_of(want, *want.columns), name
+
+
+def test_batch_job_writes_every_report(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loyalscope.__main__ import run
+    reviews = fx.reviews_view(spark, SF).withColumn("user_id", F.col("user_id").cast("string"))
+    users = fx.user_attributes_view(spark, SF).withColumn("user_id", F.col("user_id").cast("string"))
+    reviews.write.parquet(str(tmp_path / "reviews"))
+    users.write.parquet(str(tmp_path / "users"))
+    written = run(spark, str(tmp_path / "reviews"), str(tmp_path / "users"), str(tmp_path / "out"))
+    assert len(written) == 6
+    got = spark.read.parquet(str(tmp_path / "out" / "negative_drivers"))
+    want = entry.queries()["negative_drivers"](spark, SF)
+    assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
