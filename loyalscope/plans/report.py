@@ -20,6 +20,7 @@ from loyalscope.functions.tiers import MAX_STARS, MIN_STARS, sum_count_aggs
 from loyalscope.operators.cells import CELL_KEYS, review_cells
 from loyalscope.operators.trend import monthly_trend
 from loyalscope.plans import core
+from loyalscope.session import ensure_checkpoint_dir
 
 REPORT_KEYS = ("review_month", "in_range")
 
@@ -57,6 +58,7 @@ def nps_report(reviews: DataFrame, users: DataFrame, materialize: bool = True) -
     """Q1-Q6 from one pass. ``materialize`` checkpoints the cells (eager: runs the pass now)."""
     cells = report_cells(reviews, users)
     if materialize:
+        ensure_checkpoint_dir(reviews.sparkSession)
         cells = cells.checkpoint(eager=True)
     segment_cells = _counts_by(cells, *CELL_KEYS)
     return {

@@ -41,11 +41,20 @@ def get_session(cores: int | str = 8, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only a local test session gets its own."""
+    """Use the cluster's ``spark.checkpoint.dir`` (a shared folder).
+
+    Only a local-mode session (tests, laptops) without one gets a fresh temporary folder; on a
+    cluster a missing setting is an error, never a machine-local path.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
     local = tempfile.mkdtemp(prefix="loyalscope-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
