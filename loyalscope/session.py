@@ -19,6 +19,8 @@ _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Driver-side only: skips capturing the Python call site on every DataFrame API call.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
