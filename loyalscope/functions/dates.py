@@ -20,3 +20,12 @@ def parse_review_date(text: Column | str) -> Column:
 def review_month(date: Column | str) -> Column:
     """First day of the month as text ``YYYY-MM-01``; sorts chronologically as a string."""
     return F.date_format(as_col(date), MONTH_KEY_FORMAT)
+
+
+def month_start(date: Column | str) -> Column:
+    """First day of the month as a DATE: integer arithmetic, cheap enough for every row.
+
+    Group by this and format the key with ``review_month`` after the aggregation, so the text is
+    built once per month instead of once per review.
+    """
+    return F.trunc(as_col(date), "month")

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loyalscope.functions.dates import review_month
+from loyalscope.functions.dates import month_start, review_month
 from loyalscope.functions.measures import mean_score, nps_score, nps_tenths, tenths_to_score
-from loyalscope.functions.tiers import nps_tier, tier_count_aggs
+from loyalscope.functions.tiers import COUNT_COLUMNS, nps_tier, tier_count_aggs
 from loyalscope.operators.tagging import valid_dated
 
 # Labels of the trend columns.
@@ -28,11 +28,16 @@ Z_95 = 1.96
 
 
 def monthly_counts(reviews: DataFrame) -> DataFrame:
-    """``review_month`` -> tier counts, over reviews with a rating and a date. Reads two columns."""
-    return (valid_dated(reviews)
-            .select(review_month("review_date").alias("review_month"),
-                    nps_tier("rating").alias("nps_tier"), "rating")
-            .groupBy("review_month").agg(*tier_count_aggs()))
+    """``review_month`` -> tier counts, over reviews with a rating and a date. Reads two columns.
+
+    Rows are grouped by the month's first day as a DATE; the ``YYYY-MM-01`` text is built on the
+    aggregated rows only.
+    """
+    counts = (valid_dated(reviews)
+              .select(month_start("review_date").alias("month_start"),
+                      nps_tier("rating").alias("nps_tier"), "rating")
+              .groupBy("month_start").agg(*tier_count_aggs()))
+    return counts.select(review_month("month_start").alias("review_month"), *COUNT_COLUMNS)
 
 
 def monthly_trend(monthly: DataFrame, rolling: int = 3, threshold: float = 2.0) -> DataFrame:

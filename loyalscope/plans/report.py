@@ -14,21 +14,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loyalscope.functions.dates import review_month
+from loyalscope.functions.dates import month_start, review_month
 from loyalscope.functions.measures import nps_score, pct
-from loyalscope.functions.tiers import MAX_STARS, MIN_STARS, sum_count_aggs
+from loyalscope.functions.tiers import COUNT_COLUMNS, MAX_STARS, MIN_STARS, sum_count_aggs
 from loyalscope.operators.cells import CELL_KEYS, review_cells
 from loyalscope.operators.trend import monthly_trend
 from loyalscope.plans import core
 from loyalscope.session import ensure_checkpoint_dir
 
-REPORT_KEYS = ("review_month", "in_range")
+REPORT_KEYS = ("month_start", "in_range")
 
 
 def report_cells(reviews: DataFrame, users: DataFrame) -> DataFrame:
     """Cells keyed by the four dimensions, the month (NULL for an unknown date) and ``in_range``."""
     keyed = reviews.withColumns({
-        "review_month": review_month("review_date"),
+        "month_start": month_start("review_date"),
         "in_range": F.col("rating").between(MIN_STARS, MAX_STARS),
     })
     return review_cells(keyed, users, extra_keys=REPORT_KEYS)
@@ -50,7 +50,8 @@ def overall_from_cells(cells: DataFrame) -> DataFrame:
 
 def monthly_from_cells(cells: DataFrame) -> DataFrame:
     """Q3 from report cells: every rated review with a date, one row per month."""
-    monthly = _counts_by(cells.where(F.col("review_month").isNotNull()), "review_month")
+    monthly = (_counts_by(cells.where(F.col("month_start").isNotNull()), "month_start")
+               .select(review_month("month_start").alias("review_month"), *COUNT_COLUMNS))
     return monthly_trend(monthly).orderBy("review_month")
 
 
