@@ -54,3 +54,24 @@ def test_union_plan_scans_per_branch(spark):
     """The naive form really is naive: each UNION ALL branch plans its own join."""
     plan = _final_plan(spark, "negative_drivers_union")
     assert plan.count("Union") >= 1
+
+
+def test_filters_and_columns_reach_a_parquet_reviews_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loyalscope.plans import core
+    from loyalscope.sources import fixtures as fx
+    from loyalscope.sources.readers import read_reviews, read_user_attributes
+    fx.reviews_view(spark, SF).withColumn("user_id", F.col("user_id").cast("string")) \
+        .write.parquet(str(tmp_path / "reviews"))
+    fx.user_attributes_view(spark, SF).withColumn("user_id", F.col("user_id").cast("string")) \
+        .write.parquet(str(tmp_path / "users"))
+    reviews = read_reviews(spark, str(tmp_path / "reviews"))
+    users = read_user_attributes(spark, str(tmp_path / "users"))
+    plan = core.segment_nps(reviews, users)._jdf.queryExecution().executedPlan().toString()
+    review_scan = [line for line in plan.splitlines() if "FileScan parquet" in line and "rating" in line][0]
+    assert "PushedFilters: [IsNotNull(rating)]" in review_scan
+    assert "ReadSchema: struct<category:string,rating:int,user_id:string>" in review_scan
+    monthly = core.monthly_nps_trend(reviews)._jdf.queryExecution().executedPlan().toString()
+    scan = [line for line in monthly.splitlines() if "FileScan parquet" in line][0]
+    assert "IsNotNull(review_date)" in scan and "ReadSchema: struct<rating:int,review_date:date>" in scan
