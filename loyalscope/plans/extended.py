@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loyalscope.functions.measures import nps_band, nps_score, pct, score_columns, tenths_to_score
-from loyalscope.functions.tiers import sum_count_aggs
+from loyalscope.functions.tiers import nps_tier, sum_count_aggs, tier_count_aggs
 from loyalscope.operators import checks, recovery, text, trend
 from loyalscope.operators.cells import TOTAL, review_cells, rollup, segment_value
 from loyalscope.operators.drivers import coverage, rank_top, score_below_overall
+from loyalscope.operators.tagging import valid_ratings
 from loyalscope.plans.core import (
     DRIVER_SETS,
     SINGLE_SETS,
@@ -91,6 +92,21 @@ def sentiment_adapter(sentiment_reviews: DataFrame, apps: DataFrame) -> DataFram
     return adapt_sentiment_reviews(sentiment_reviews, apps)
 
 
+def sentiment_category_nps(sentiment_reviews: DataFrame, apps: DataFrame) -> DataFrame:
+    """X5 end to end: NPS per app category of the adapted file (it has no users and no dates).
+
+    Same rules as Q2's category table: NULL categories (apps missing from the app file) are grouped
+    and labelled ``unknown`` afterwards.
+    """
+    adapted = valid_ratings(adapt_sentiment_reviews(sentiment_reviews, apps))
+    counts = (adapted.select("category", nps_tier("rating").alias("nps_tier"), "rating")
+              .groupBy("category").agg(*tier_count_aggs()))
+    n, p, d = F.col("review_count"), F.col("promoters"), F.col("detractors")
+    return counts.select(
+        F.coalesce("category", F.lit("unknown")).alias("category"), "review_count", "promoters",
+        "passives", "detractors", nps_score(p, d, n).alias("nps_score"))
+
+
 def peer_gap_all(reviews: DataFrame, users: DataFrame) -> DataFrame:
     """The peer benchmark without a sample-size filter."""
     return segment_benchmark(reviews, users, min_n=0)
@@ -123,6 +139,6 @@ def input_checks(reviews: DataFrame, users: DataFrame) -> DataFrame:
 
 __all__ = [
     "segment_rollup", "device_region_nps", "three_way_nps", "driver_coverage", "nps_bands",
-    "sentiment_adapter", "peer_gap_all", "trend_endpoints", "monthly_nps_interval",
+    "sentiment_adapter", "sentiment_category_nps", "peer_gap_all", "trend_endpoints", "monthly_nps_interval",
     "detractor_words", "recovery_transitions", "input_checks",
 ]

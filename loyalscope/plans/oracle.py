@@ -262,6 +262,16 @@ SELECT CAST(s.review_id AS BIGINT) AS review_id, s.App AS app_name, a.category,
   CAST(NULL AS DATE) AS review_date, CAST(NULL AS VARCHAR) AS user_id
 FROM sentiment s LEFT JOIN app_dim a ON s.App = a.App"""
 
+ORACLES["sentiment_category_nps"] = f"""WITH sentiment AS ({fx.SENTIMENT_SQL}), apps AS ({fx.APPS_SQL}),
+app_dim AS (SELECT App, MIN(Category) AS category FROM apps GROUP BY App),
+adapted AS (SELECT a.category,
+  CASE s.Sentiment WHEN 'Positive' THEN 5 WHEN 'Neutral' THEN 3 WHEN 'Negative' THEN 1 END AS rating
+  FROM sentiment s LEFT JOIN app_dim a ON s.App = a.App),
+g AS (SELECT category, {COUNTS} FROM (SELECT category, rating, {LAX} AS nps_tier FROM adapted
+      WHERE rating IS NOT NULL) GROUP BY category)
+SELECT COALESCE(category, 'unknown') AS category, n AS review_count, p AS promoters, q AS passives,
+  d AS detractors, {SCORE} AS nps_score FROM g"""
+
 ORACLES["trend_endpoints"] = f"""{_monthly()}
 SELECT MIN(review_month) AS first_month, MAX(review_month) AS last_month, COUNT(*) AS months,
   {ratio('arg_min(s10, review_month)', '10', 1)} AS first_nps,

@@ -63,6 +63,8 @@ QUERIES: dict[str, Query] = {
     "nps_bands": lambda s, d: extended.nps_bands(*_ru(s, d)),
     "sentiment_adapter": lambda s, d: extended.sentiment_adapter(fx.sentiment_view(s, d),
                                                                  fx.apps_view(s, d)),
+    "sentiment_category_nps": lambda s, d: extended.sentiment_category_nps(fx.sentiment_view(s, d),
+                                                                           fx.apps_view(s, d)),
     "peer_gap_all": lambda s, d: extended.peer_gap_all(*_ru(s, d)),
     "trend_endpoints": lambda s, d: extended.trend_endpoints(fx.reviews_view(s, d)),
     "detractor_words": lambda s, d: extended.detractor_words(fx.documents_view(s, d),
