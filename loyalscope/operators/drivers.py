@@ -39,7 +39,11 @@ def score_below_overall(rolled: DataFrame, sets: SegmentSets, min_n: int = 30) -
 
 
 def rank_top(scored: DataFrame, top: int = 15) -> DataFrame:
-    """The ``top`` highest-impact segments with their dense rank (ties share a rank)."""
+    """The ``top`` highest-impact segments with their dense rank (ties share a rank).
+
+    The cut (TakeOrderedAndProject: per-task top-k, then a merge) leaves one partition, which the
+    rank window and a final ``sortWithinPartitions`` use without further exchanges.
+    """
     head = scored.orderBy(*rank_order()).limit(top)
     return head.withColumn("impact_rank",
                            F.dense_rank().over(Window.orderBy(F.desc("negative_impact_score"))))

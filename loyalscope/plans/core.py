@@ -91,8 +91,10 @@ def segment_nps_from_cells(cells: DataFrame) -> DataFrame:
 
 def monthly_nps_trend(reviews: DataFrame, rolling: int = 3, threshold: float = 2.0) -> DataFrame:
     """Q3: one row per month with lag, deltas, rolling and cumulative means, rank and direction."""
+    # The trend windows have no partition keys, so their output is one partition already: sorting
+    # within it orders the result without another exchange.
     return monthly_trend(monthly_counts(reviews), rolling=rolling, threshold=threshold) \
-        .orderBy("review_month")
+        .sortWithinPartitions("review_month")
 
 
 # ---- Q4 ---------------------------------------------------------------------------------------
@@ -171,11 +173,11 @@ def negative_drivers(reviews: DataFrame, users: DataFrame, min_n: int = 30, top:
                      strategy: str = "cells") -> DataFrame:
     """Q6: the ``top`` segments that pull the overall score down most, by volume x gap."""
     scored = driver_segments(reviews, users, min_n=min_n, strategy=strategy)
-    return rank_top(scored, top=top).select(*driver_columns()).orderBy(*rank_order())
+    return rank_top(scored, top=top).select(*driver_columns()).sortWithinPartitions(*rank_order())
 
 
 def negative_drivers_from_cells(cells: DataFrame, min_n: int = 30, top: int = 15) -> DataFrame:
     lab = labels(device_null="unknown", age_null="unknown")
     rolled = rollup(cells, lab, DRIVER_SETS).withColumns(score_columns())
     scored = score_below_overall(rolled, DRIVER_SETS, min_n=min_n)
-    return rank_top(scored, top=top).select(*driver_columns()).orderBy(*rank_order())
+    return rank_top(scored, top=top).select(*driver_columns()).sortWithinPartitions(*rank_order())

@@ -52,7 +52,7 @@ def monthly_from_cells(cells: DataFrame) -> DataFrame:
     """Q3 from report cells: every rated review with a date, one row per month."""
     monthly = (_counts_by(cells.where(F.col("month_start").isNotNull()), "month_start")
                .select(review_month("month_start").alias("review_month"), *COUNT_COLUMNS))
-    return monthly_trend(monthly).orderBy("review_month")
+    return monthly_trend(monthly).sortWithinPartitions("review_month")
 
 
 def nps_report(reviews: DataFrame, users: DataFrame, materialize: bool = True) -> dict[str, DataFrame]:

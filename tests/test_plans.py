@@ -75,3 +75,13 @@ def test_filters_and_columns_reach_a_parquet_reviews_table(spark, tmp_path):
     monthly = core.monthly_nps_trend(reviews)._jdf.queryExecution().executedPlan().toString()
     scan = [line for line in monthly.splitlines() if "FileScan parquet" in line][0]
     assert "IsNotNull(review_date)" in scan and "ReadSchema: struct<rating:int,review_date:date>" in scan
+
+
+@pytest.mark.parametrize("name,key", [("monthly_trend", "review_month"),
+                                      ("negative_drivers", "negative_impact_score")])
+def test_single_partition_results_are_ordered_without_a_range_exchange(spark, name, key):
+    df = entry.queries()[name](spark, "/root/testdata/sf0.01")
+    values = [r[key] for r in df.collect()]
+    assert values == sorted(values, reverse=(key == "negative_impact_score"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
