@@ -22,19 +22,21 @@ def document_words(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """Every column but ``text_col``, plus ``words``: the distinct lower-case words of the text."""
     tokens = F.split(F.lower(F.col(text_col)), NON_LETTERS)
     keep = [c for c in documents.columns if c != text_col]
-    return spread(documents).select(*keep, F.array_distinct(F.array_remove(tokens, "")).alias("words"))
+    return documents.select(*keep, F.array_distinct(F.array_remove(tokens, "")).alias("words"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's cores when the scan yields fewer splits than cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """Round-robin a scan's rows over the cluster's cores when it yields fewer splits than cores.
 
     Tokenising is CPU-bound and runs in the scan's tasks; a table stored as one parquet row group
-    is a single split. Large tables arrive in many splits and are left alone (no shuffle).
+    is a single split. Large tables arrive in many splits and are left alone (no shuffle). Pass a
+    plain scan (no join or aggregate): counting its splits is file listing on the driver, while
+    asking a plan with exchanges for its partitions would make AQE run those exchanges.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
 
 
 def detractor_words(documents: DataFrame, labels: DataFrame, is_detractor: str = "toxic",
@@ -44,7 +46,7 @@ def detractor_words(documents: DataFrame, labels: DataFrame, is_detractor: str =
     ``lift = (detractor docs with the word / detractor docs) / (docs with the word / docs)``, two
     decimals; above 1 the word is over-represented among detractors.
     """
-    labelled = documents.select("doc_id", "text").join(
+    labelled = spread(documents.select("doc_id", "text")).join(
         labels.select("doc_id", (F.col(is_detractor) == 1).alias("is_det")), "doc_id")
     words = document_words(labelled)
     totals = words.agg(F.struct(F.count(F.lit(1)).alias("docs"),

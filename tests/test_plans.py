@@ -85,3 +85,15 @@ def test_single_partition_results_are_ordered_without_a_range_exchange(spark, na
     assert values == sorted(values, reverse=(key == "negative_impact_score"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan
+
+
+def test_building_a_query_runs_no_job(spark):
+    """Queries are lazy plans: nothing executes until the caller asks for rows."""
+    sc = spark.sparkContext
+    for fn in entry.queries().values():          # first call infers parquet schemas
+        fn(spark, SF)
+    for name, fn in entry.queries().items():
+        sc.setJobGroup(f"build-{name}", "build only")
+        fn(spark, SF)
+        assert sc.statusTracker().getJobIdsForGroup(f"build-{name}") == [], name
+    sc.setJobGroup("after-build", "")
