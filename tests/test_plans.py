@@ -97,3 +97,45 @@ def test_building_a_query_runs_no_job(spark):
         fn(spark, SF)
         assert sc.statusTracker().getJobIdsForGroup(f"build-{name}") == [], name
     sc.setJobGroup("after-build", "")
+
+
+def test_hot_user_is_split_by_aqe_and_results_hold(spark):
+    """A user with 40% of the reviews, shuffle join forced: AQE splits the hot partition."""
+    import random
+
+    from tests.conftest import make_reviews, make_users, rows_of
+    from loyalscope.plans import core
+    rnd = random.Random(5)
+    reviews = make_reviews(spark, [(rnd.choice([1, 2, 3, 4, 5]),
+                                    "hot" if rnd.random() < 0.4 else f"u{rnd.randrange(200)}",
+                                    rnd.choice(["Tools", "Games"])) for _ in range(6000)])
+    users = make_users(spark, [(f"u{i}", rnd.choice(["iOS", "Android"]), "EU", rnd.randrange(900))
+                               for i in range(200)] + [("hot", "iOS", "NA", 10)])
+    cols = ("segment_type", "segment_value", "review_count", "promoters", "detractors", "nps_score")
+    want = rows_of(core.segment_nps(reviews, users), *cols)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for pre in (False, True):
+            from loyalscope.operators.cells import review_cells
+            df = core.segment_nps_from_cells(review_cells(reviews.repartition(8), users,
+                                                          preaggregate=pre))
+            assert rows_of(df, *cols) == want
+            if not pre:
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                assert "SortMergeJoin(skew=true)" in plan and "skewed" in plan
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
