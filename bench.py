@@ -84,6 +84,7 @@ def main() -> None:
         "runs": runs,
         "spark": spark.version,
         "cores": cpus,
+        "driver_memory": spark.conf.get("spark.driver.memory", None),
         "python": platform.python_version(),
     }))
 
