@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loyalscope.functions.util import as_col
+from loyalscope.functions.util import as_col, cached_expression
 
 # Inclusive upper bounds (days) of the first three buckets, the two label sets,
 # and the label used for a missing dimension value.
@@ -23,6 +23,7 @@ UNKNOWN = "unknown"
 _NULL_RULES = ("veteran", "unknown", "null")
 
 
+@cached_expression
 def age_code(age_days: Column | str) -> Column:
     """0..3 for the four buckets, NULL when the age is NULL."""
     a = as_col(age_days)
@@ -31,6 +32,7 @@ def age_code(age_days: Column | str) -> Column:
             .cast("int"))
 
 
+@cached_expression
 def age_label(code: Column | str, labels: str = "long", null: str = "veteran") -> Column:
     """Label of an age code.
 
@@ -48,9 +50,11 @@ def age_label(code: Column | str, labels: str = "long", null: str = "veteran") -
     return expr.otherwise(UNKNOWN) if null == "unknown" else expr
 
 
+@cached_expression
 def age_bucket(age_days: Column | str, labels: str = "long", null: str = "veteran") -> Column:
     return age_label(age_code(age_days), labels=labels, null=null)
 
 
+@cached_expression
 def or_unknown(c: Column | str) -> Column:
     return F.coalesce(as_col(c), F.lit(UNKNOWN))

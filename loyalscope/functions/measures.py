@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loyalscope.functions.util import as_col
+from loyalscope.functions.util import as_col, cached_expression
 
 # decimal(18,0) / decimal(18,0) has scale 19 in Spark: far finer than any tie between two integer
 # ratios with a denominator below 1e16, so the final rounding is exact.
@@ -28,47 +28,56 @@ BAND_GOOD_FROM = 30
 BAND_GOOD_TO = 70
 
 
+@cached_expression
 def exact_ratio(num: Column | str, den: Column | str, places: int) -> Column:
     """``ROUND(num / den, places)`` for integer inputs, as a double; NULL when ``den`` is 0."""
     q = F.try_divide(as_col(num).cast(_EXACT), as_col(den).cast(_EXACT))
     return F.round(q, places).cast("double")
 
 
+@cached_expression
 def nps_score(promoters: Column | str, detractors: Column | str, n: Column | str) -> Column:
     """NPS = 100 * (promoters - detractors) / n, one decimal (M1)."""
     return exact_ratio((as_col(promoters) - as_col(detractors)) * 100, n, 1)
 
 
+@cached_expression
 def nps_tenths(promoters: Column | str, detractors: Column | str, n: Column | str) -> Column:
     """The same score in integer tenths."""
     return exact_ratio((as_col(promoters) - as_col(detractors)) * 1000, n, 0).cast("long")
 
 
+@cached_expression
 def pct(x: Column | str, n: Column | str) -> Column:
     """Percentage with one decimal (M2)."""
     return exact_ratio(as_col(x) * 100, n, 1)
 
 
+@cached_expression
 def avg_star(rating_sum: Column | str, n: Column | str) -> Column:
     """Mean star rating with two decimals (M3)."""
     return exact_ratio(rating_sum, n, 2)
 
 
+@cached_expression
 def tenths_to_score(t: Column | str) -> Column:
     """Integer tenths back to a one-decimal score (gaps, deltas: M4, M5, W2)."""
     return exact_ratio(t, F.lit(10), 1)
 
 
+@cached_expression
 def mean_score(sum_tenths: Column | str, count: Column | str) -> Column:
     """Unweighted mean of one-decimal scores, rounded to one decimal."""
     return exact_ratio(sum_tenths, as_col(count) * 10, 1)
 
 
+@cached_expression
 def mean_tenths(sum_tenths: Column | str, count: Column | str) -> Column:
     """That rounded mean in integer tenths."""
     return exact_ratio(sum_tenths, count, 0).cast("long")
 
 
+@cached_expression
 def negative_impact(seg_tenths: Column | str, overall_tenths: Column | str,
                     n: Column | str, total: Column | str) -> Column:
     """|min(segment - overall, 0)| * n / total, two decimals (M6)."""
@@ -76,6 +85,7 @@ def negative_impact(seg_tenths: Column | str, overall_tenths: Column | str,
     return exact_ratio(shortfall * as_col(n), as_col(total) * 10, 2)
 
 
+@cached_expression
 def nps_band(score: Column | str) -> Column:
     """Health band of a score (M7); NULL score -> NULL band."""
     s = as_col(score)
@@ -85,6 +95,7 @@ def nps_band(score: Column | str) -> Column:
             .when(s > BAND_GOOD_TO, BAND_EXCELLENT))
 
 
+@cached_expression
 def score_columns(prefix: str = "") -> dict[str, Column]:
     """Standard derived columns over ``review_count, promoters, passives, detractors``."""
     n, p, q, d = (F.col(prefix + c) for c in ("review_count", "promoters", "passives", "detractors"))

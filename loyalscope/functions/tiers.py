@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loyalscope.functions.util import as_col
+from loyalscope.functions.util import as_col, cached_expression
 
 # The three NPS tiers and the star cut-offs of the 1-5 star proxy scale.
 PROMOTER = "promoter"
@@ -19,6 +19,7 @@ MAX_STARS = 5
 TIERS = (PROMOTER, PASSIVE, DETRACTOR)
 
 
+@cached_expression
 def nps_tier(rating: Column | str, strict: bool = False) -> Column:
     """Tier label of a star rating.
 
@@ -33,6 +34,7 @@ def nps_tier(rating: Column | str, strict: bool = False) -> Column:
     return tier.otherwise(DETRACTOR)
 
 
+@cached_expression
 def nps_value(rating: Column | str) -> Column:
     """+1 promoter, 0 passive, -1 detractor (strict ranges, NULL otherwise)."""
     r = as_col(rating)
@@ -40,6 +42,7 @@ def nps_value(rating: Column | str) -> Column:
             .when(r <= DETRACTOR_MAX_STARS, -1))
 
 
+@cached_expression
 def tier_count_aggs(tier: Column | str = "nps_tier", rating: Column | str = "rating",
                     style: str = "filter", weight: Column | str | None = None) -> list[Column]:
     """``review_count, promoters, passives, detractors, rating_sum`` over tagged rows.
@@ -72,6 +75,7 @@ def tier_count_aggs(tier: Column | str = "nps_tier", rating: Column | str = "rat
     ]
 
 
+@cached_expression
 def sum_count_aggs(prefix: str = "") -> list[Column]:
     """Re-aggregate already counted cells: every tier count is additive."""
     return [F.sum(f"{prefix}{name}").cast("long").alias(name) for name in COUNT_COLUMNS]

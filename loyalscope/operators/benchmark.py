@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loyalscope.functions.measures import mean_tenths, nps_tenths, tenths_to_score
+from loyalscope.functions.util import cached_expression
 
 
 def with_overall(rolled: DataFrame) -> DataFrame:
@@ -46,6 +47,7 @@ def peer_benchmark(rolled: DataFrame, min_n: int = 20) -> DataFrame:
         "peer10", mean_tenths(F.sum("s10").over(by_type), F.count(F.lit(1)).over(by_type)))
 
 
+@cached_expression
 def benchmark_columns() -> list[Column]:
     s10, o10, p10 = F.col("s10"), F.col("overall10"), F.col("peer10")
     return [

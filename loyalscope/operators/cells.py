@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loyalscope.functions.tiers import COUNT_COLUMNS, sum_count_aggs, tier_count_aggs
+from loyalscope.functions.util import cached_expression
 from loyalscope.operators.tagging import tag_with_users, valid_ratings
 
 CELL_KEYS = ("device_type", "region", "age_code", "category")
@@ -76,11 +77,21 @@ def rollup(cells: DataFrame, labels: Mapping[str, Column], sets: SegmentSets) ->
     labelled = cells.select(*(expr.alias(name) for name, expr in labels.items()), *COUNT_COLUMNS)
     grouped = labelled.groupingSets([list(dims) for _, dims in sets], *columns).agg(
         *sum_count_aggs(), F.grouping_id(*columns).alias("_gid"))
+    return grouped.withColumn("segment_type", _segment_type(_freeze(sets), tuple(columns))).drop("_gid")
+
+
+def _freeze(sets: SegmentSets) -> tuple:
+    return tuple((name, tuple(dims)) for name, dims in sets)
+
+
+@cached_expression
+def _segment_type(sets: tuple, columns: tuple) -> Column:
+    """Segment type name from the grouping id of each grouping set."""
     segment_type = None
     for name, dims in sets:
         cond = F.col("_gid") == grouping_id_of(dims, columns)
         segment_type = F.when(cond, name) if segment_type is None else segment_type.when(cond, name)
-    return grouped.withColumn("segment_type", segment_type).drop("_gid")
+    return segment_type
 
 
 def union_segments(tagged: DataFrame, labels: Mapping[str, Column], sets: SegmentSets,
@@ -106,6 +117,11 @@ def union_segments(tagged: DataFrame, labels: Mapping[str, Column], sets: Segmen
 
 def segment_value(sets: SegmentSets, separator: str = LABEL_SEPARATOR) -> Column:
     """The grouped value(s) of each row: the dimension itself, or ``v1 · v2`` (NULL-propagating)."""
+    return _segment_value(_freeze(sets), separator)
+
+
+@cached_expression
+def _segment_value(sets: tuple, separator: str) -> Column:
     expr = None
     for name, dims in sets:
         if not dims:

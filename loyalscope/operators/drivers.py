@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loyalscope.functions.measures import negative_impact, tenths_to_score
+from loyalscope.functions.util import cached_expression
 from loyalscope.operators.benchmark import with_overall
 from loyalscope.operators.cells import TOTAL, SegmentSets, segment_value
 
 
+@cached_expression
 def rank_order() -> list:
     """Impact descending, then a total order on (type, label) so the cut is deterministic."""
     return [F.desc("negative_impact_score"), F.asc_nulls_first("segment_type"),
@@ -49,6 +51,7 @@ def rank_top(scored: DataFrame, top: int = 15) -> DataFrame:
                            F.dense_rank().over(Window.orderBy(F.desc("negative_impact_score"))))
 
 
+@cached_expression
 def driver_columns() -> list:
     s10, o10 = F.col("s10"), F.col("overall10")
     return [

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loyalscope.functions.buckets import age_label, or_unknown
 from loyalscope.functions.measures import avg_star, nps_score, pct, score_columns
 from loyalscope.functions.tiers import sum_count_aggs, tier_count_aggs
+from loyalscope.functions.util import cached_expression
 from loyalscope.operators.benchmark import benchmark_columns, peer_benchmark
 from loyalscope.operators.cells import (
     review_cells,
@@ -35,6 +36,7 @@ SINGLE_SETS = ((DEVICE, ("device_type",)), (REGION, ("region",)),
                (AGE, ("age_bucket",)), (CATEGORY, ("category",)))
 
 
+@cached_expression
 def labels(device_null: str = "keep", age_labels: str = "long", age_null: str = "veteran") -> dict:
     """Label expressions over cell keys.
 
