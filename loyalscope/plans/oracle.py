@@ -8,6 +8,7 @@ zero, which is the exact decimal rule the Spark side evaluates with decimals.
 
 from __future__ import annotations
 
+from loyalscope.functions.buckets import AGE_LABELS
 from loyalscope.sources import fixtures as fx
 
 
@@ -32,8 +33,8 @@ STRICT = ("CASE WHEN rating >= 4 THEN 'promoter' WHEN rating = 3 THEN 'passive'
           "WHEN rating <= 2 THEN 'detractor' END")
 TIER_CODE = "CASE WHEN rating >= 4 THEN 0 WHEN rating = 3 THEN 1 ELSE 2 END"
 
-_LONG = ("new_user (0-30d)", "early (31-90d)", "established (91-365d)", "veteran (365d+)")
-_SHORT = ("new_user", "early", "established", "veteran")
+_LONG = AGE_LABELS["long"]
+_SHORT = AGE_LABELS["short"]
 
 
 def age_case(labels: str = "long", null: str = "veteran", col: str = "account_age_days") -> str:
