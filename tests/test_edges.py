@@ -276,3 +276,26 @@ def test_user_attributes_csv_is_typed(spark, tmp_path):
     assert [f.dataType.simpleString() for f in users.schema.fields] == ["string", "string", "string", "int"]
     got = rows_of(users, "user_id", "region", "account_age_days")
     assert got == [("user_00042", "North America", 31), ("user_00043", None, None)]
+
+
+def test_interval_of_a_unanimous_month_has_zero_width(spark):
+    from loyalscope.operators.trend import monthly_interval
+    df = spark.createDataFrame([("2022-01-01", 40, 40, 0, 0, 200), ("2022-02-01", 100, 50, 20, 30, 350)],
+                               MONTHLY)
+    got = {r.review_month: (r.nps_score, r.nps_ci_low, r.nps_ci_high) for r in monthly_interval(df).collect()}
+    assert got["2022-01-01"] == (100.0, 100.0, 100.0)
+    score, lo, hi = got["2022-02-01"]
+    # p = .5, d = .3: variance (.8 - .04) / 100, margin 196 * sqrt(.0076) = 17.09 -> [2.9, 37.1]
+    assert (score, lo, hi) == (20.0, 2.9, 37.1)
+
+
+def test_empty_inputs_for_recovery_and_coverage(spark):
+    from loyalscope.operators.recovery import recovery_transitions
+    from loyalscope.plans import extended
+    assert recovery_transitions(make_reviews(spark, [])).count() == 0
+    # every review is a promoter: no segment is below the overall score, nothing is covered
+    reviews = make_reviews(spark, [(5, "u1")] * 40)
+    users = make_users(spark, [("u1", "iOS", "EU", 10)])
+    row = extended.driver_coverage(reviews, users).collect()[0]
+    assert (row.reviews_covered, row.total_reviews, row.review_share_pct) == (0, 40, 0.0)
+    assert row.detractor_share_pct is None      # no detractors at all: the share is undefined
