@@ -36,6 +36,8 @@ def get_session(cores: int | str = 8, shuffle_partitions: int | None = None,
     parts = shuffle_partitions or (int(cores) if str(cores).isdigit() else 8)
     builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     builder = builder.config("spark.driver.memory", os.environ.get("LOYALSCOPE_DRIVER_MEMORY", "8g"))
+    # Catalog tables of a local session (bucketed layouts in tests) go to a fresh scratch folder.
+    builder = builder.config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="loyalscope-wh-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -139,3 +139,30 @@ def test_hot_user_is_split_by_aqe_and_results_hold(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_bucketed_tables_join_without_shuffling_reviews(spark):
+    from pyspark.sql import functions as F
+
+    from loyalscope.operators.cells import review_cells
+    from loyalscope.plans import core
+    from loyalscope.sources import fixtures as fx
+    from loyalscope.sources.layout import write_bucketed
+    from tests.conftest import rows_of
+    reviews = write_bucketed(fx.reviews_view(spark, SF), "bucketed_reviews", 8)
+    users = write_bucketed(fx.user_attributes_view(spark, SF), "bucketed_users", 8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = review_cells(reviews, users)
+        cells.collect()
+        plan = cells._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "SortMergeJoin" in plan
+        assert "hashpartitioning(user_id" not in plan
+        cols = ("segment_type", "segment_value", "review_count", "promoters", "detractors", "nps_score")
+        assert rows_of(core.segment_nps_from_cells(cells), *cols) == \
+            rows_of(core.segment_nps(fx.reviews_view(spark, SF), fx.user_attributes_view(spark, SF)), *cols)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE IF EXISTS bucketed_reviews")
+        spark.sql("DROP TABLE IF EXISTS bucketed_users")
