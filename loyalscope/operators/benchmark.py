@@ -26,13 +26,24 @@ from loyalscope.functions.util import cached_expression
 
 def with_overall(rolled: DataFrame) -> DataFrame:
     """Add ``total_reviews`` and ``overall10`` (overall score in tenths) to every segment row."""
+    return rolled.withColumns(_overall_columns())
+
+
+@cached_expression
+def _overall_columns() -> dict:
     by_type = Window.partitionBy("segment_type")
     total = F.sum("review_count").over(by_type)
-    return rolled.withColumns({
+    return {
         "total_reviews": total.cast("long"),
         "overall10": nps_tenths(F.sum("promoters").over(by_type),
                                 F.sum("detractors").over(by_type), total),
-    })
+    }
+
+
+@cached_expression
+def _peer_tenths() -> Column:
+    by_type = Window.partitionBy("segment_type")
+    return mean_tenths(F.sum("s10").over(by_type), F.count(F.lit(1)).over(by_type))
 
 
 def peer_benchmark(rolled: DataFrame, min_n: int = 20) -> DataFrame:
@@ -41,10 +52,8 @@ def peer_benchmark(rolled: DataFrame, min_n: int = 20) -> DataFrame:
     ``rolled`` is a rollup with ``s10`` (no total row needed). ``peer10`` is the mean of the kept
     segments' scores of the same type, rounded to one decimal.
     """
-    by_type = Window.partitionBy("segment_type")
     segments = with_overall(rolled).where(F.col("review_count") >= min_n)
-    return segments.withColumn(
-        "peer10", mean_tenths(F.sum("s10").over(by_type), F.count(F.lit(1)).over(by_type)))
+    return segments.withColumn("peer10", _peer_tenths())
 
 
 @cached_expression

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loyalscope.functions.dates import month_start, review_month
 from loyalscope.functions.measures import mean_score, nps_score, nps_tenths, tenths_to_score
 from loyalscope.functions.tiers import COUNT_COLUMNS, nps_tier, tier_count_aggs
+from loyalscope.functions.util import cached_expression
 from loyalscope.operators.tagging import valid_dated
 
 # Labels of the trend columns.
@@ -46,21 +47,25 @@ def monthly_trend(monthly: DataFrame, rolling: int = 3, threshold: float = 2.0)
     Scores are compared and averaged as integer tenths: ``mom_delta`` of 8.3 -> 6.1 is exactly -2.2,
     a step of exactly 2.0 is ``stable``, and a month equal to its rolling mean is ``below_trend``.
     """
-    step = int(round(threshold * 10))
+    lags, outputs = _trend_columns(rolling, int(round(threshold * 10)))
+    return (monthly.withColumn("s10", nps_tenths("promoters", "detractors", "review_count"))
+            .withColumns(lags).select(*outputs))
+
+
+@cached_expression
+def _trend_columns(rolling: int, step: int) -> tuple[dict, list]:
     by_month = Window.orderBy("review_month")
     frame = by_month.rowsBetween(-(rolling - 1), Window.currentRow)
     running = by_month.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s10, prev10 = F.col("s10"), F.col("prev10")
-    with_lags = (monthly
-                 .withColumn("s10", nps_tenths("promoters", "detractors", "review_count"))
-                 .withColumns({
-                     "prev10": F.lag("s10", 1).over(by_month),
-                     "roll_sum": F.sum("s10").over(frame),
-                     "roll_n": F.count("s10").over(frame),
-                     "cum_sum": F.sum("s10").over(running),
-                     "cum_n": F.count("s10").over(running),
-                 }))
-    return with_lags.select(
+    lags = {
+        "prev10": F.lag("s10", 1).over(by_month),
+        "roll_sum": F.sum("s10").over(frame),
+        "roll_n": F.count("s10").over(frame),
+        "cum_sum": F.sum("s10").over(running),
+        "cum_n": F.count("s10").over(running),
+    }
+    outputs = [
         "review_month",
         F.col("review_count").alias("total_reviews"),
         "promoters", "passives", "detractors",
@@ -76,7 +81,8 @@ def monthly_trend(monthly: DataFrame, rolling: int = 3, threshold: float = 2.0)
          .when(s10 > prev10 + step, IMPROVING)
          .when(s10 < prev10 - step, DECLINING)
          .otherwise(STABLE).alias("trend_direction"),
-    )
+    ]
+    return lags, outputs
 
 
 def trend_endpoints(monthly: DataFrame) -> DataFrame:
