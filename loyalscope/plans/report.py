@@ -5,12 +5,16 @@ big table six times. ``nps_report`` reads it once: one join and one aggregation
 the segment dimensions, the review month and whether the rating is in 1..5. Every report is a
 re-aggregation of those cells - Q1 sums the in-range cells, Q3 groups them by month, the segment
 queries roll them up - so the cell table (dimension domains x months x 2 rows, whatever the number
-of reviews) is the only thing the reports read. It is materialised with a reliable ``checkpoint()``
-into ``spark.checkpoint.dir``, which cuts the lineage: a lost executor never re-runs the join.
+of reviews) is the only thing the reports read. It is written once as a parquet table under
+``spark.checkpoint.dir``, which cuts the lineage: a lost executor never re-runs the join. Writing
+the table is a single job; an eager ``DataFrame.checkpoint()`` runs its last stage a second time to
+write the checkpoint files.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,12 +59,19 @@ def monthly_from_cells(cells: DataFrame) -> DataFrame:
     return monthly_trend(monthly).sortWithinPartitions("review_month")
 
 
+def write_cells(cells: DataFrame) -> DataFrame:
+    """Write the cells once under the shared checkpoint folder and read them back (one job)."""
+    spark = cells.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/loyalscope-report-cells/{uuid.uuid4().hex}"
+    cells.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def nps_report(reviews: DataFrame, users: DataFrame, materialize: bool = True) -> dict[str, DataFrame]:
-    """Q1-Q6 from one pass. ``materialize`` checkpoints the cells (eager: runs the pass now)."""
+    """Q1-Q6 from one pass. ``materialize`` writes the cells first (eager: runs the pass now)."""
     cells = report_cells(reviews, users)
     if materialize:
-        ensure_checkpoint_dir(reviews.sparkSession)
-        cells = cells.checkpoint(eager=True)
+        cells = write_cells(cells)
     segment_cells = _counts_by(cells, *CELL_KEYS)
     return {
         "overall_nps": overall_from_cells(cells),
