@@ -2,10 +2,9 @@
 
 The documented constraints (unique review and user ids, ratings 1..5, every review's user known) are
 never enforced by the queries, and a duplicated user id silently fans out the tagging join, so they
-are counted here. Distinct counts are hash aggregates with map-side combining; the unmatched counts
-join against the other side's distinct ids, planned like the tagging join (broadcast by size, else
-shuffled with AQE skew splitting). CSV rows that failed to parse (``_corrupt_record``) are counted
-when the reader kept that column.
+are counted here. Distinct counts are hash aggregates with map-side combining; both unmatched counts
+come from one full outer join of per-user review counts with the distinct user ids. CSV rows that
+failed to parse (``_corrupt_record``) are counted when the reader kept that column.
 """
 
 from __future__ import annotations
@@ -42,12 +41,21 @@ def input_checks(reviews: DataFrame, users: DataFrame) -> DataFrame:
         "null_device_type": F.count_if(F.col("device_type").isNull()),
         "null_region": F.count_if(F.col("region").isNull()),
     }, F.count(F.lit(1)))
-    # Unmatched ids in both directions, each against the other side's distinct ids (no fan-out).
-    known = users.select("user_id").where(u.isNotNull()).distinct()
-    reviewed = reviews.select("user_id").where(u.isNotNull())
-    hit = F.col("_hit").isNull()
-    unmatched = _stack(reviewed.join(known.withColumn("_hit", F.lit(True)), "user_id", "left"),
-                       {"review_user_unknown": F.count_if(hit)}, F.count(F.lit(1)))
-    silent = _stack(known.join(reviewed.distinct().withColumn("_hit", F.lit(True)), "user_id", "left"),
-                    {"user_without_reviews": F.count_if(hit)}, F.count(F.lit(1)))
-    return review_checks.unionByName(user_checks).unionByName(unmatched).unionByName(silent)
+    # Unmatched ids in both directions from one full outer join of per-user review counts (combined
+    # map-side, so a heavy user is one partial row per task) with the distinct user ids.
+    per_user = reviews.where(u.isNotNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    known = users.where(u.isNotNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("_copies"))
+    n, copies = F.col("_n"), F.col("_copies")
+    linked = per_user.join(known, "user_id", "full_outer").agg(
+        F.coalesce(F.sum(F.when(copies.isNull(), n)), F.lit(0)).alias("unknown"),
+        F.coalesce(F.sum(n), F.lit(0)).alias("reviews_with_user"),
+        F.count_if(n.isNull()).alias("silent"),
+        F.count(copies).alias("distinct_users"))
+    link_checks = linked.select(F.explode(F.array(
+        F.struct(F.lit("review_user_unknown").alias("check_name"), F.col("unknown").alias("violations"),
+                 F.col("reviews_with_user").alias("rows_checked")),
+        F.struct(F.lit("user_without_reviews").alias("check_name"), F.col("silent").alias("violations"),
+                 F.col("distinct_users").alias("rows_checked")))).alias("c")).select(
+        "c.check_name", F.col("c.violations").cast("long").alias("violations"),
+        F.col("c.rows_checked").cast("long").alias("rows_checked"))
+    return review_checks.unionByName(user_checks).unionByName(link_checks)
