@@ -35,3 +35,21 @@ def test_batch_job_writes_every_report(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out" / "negative_drivers"))
     want = entry.queries()["negative_drivers"](spark, SF)
     assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
+
+
+def test_batch_job_reads_csv_inputs(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loyalscope.__main__ import run
+    reviews = fx.reviews_view(spark, SF).select(
+        "review_id", "app_name", "category", "rating",
+        F.date_format("review_date", "yyyy-MM-dd").alias("review_date"),
+        F.col("user_id").cast("string").alias("user_id"))
+    users = fx.user_attributes_view(spark, SF).withColumn("user_id", F.col("user_id").cast("string"))
+    reviews.write.option("header", "true").csv(str(tmp_path / "reviews"))
+    users.write.option("header", "true").csv(str(tmp_path / "users"))
+    run(spark, str(tmp_path / "reviews"), str(tmp_path / "users"), str(tmp_path / "out"), fmt="csv")
+    for name in ("negative_drivers", "monthly_trend", "overall_nps"):
+        got = spark.read.parquet(str(tmp_path / "out" / name))
+        want = entry.queries()[name](spark, SF)
+        assert rows_of(got, *want.columns) == rows_of(want, *want.columns), name
