@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loyalscope.functions.measures import nps_band, nps_score, pct, score_columns, tenths_to_score
+from loyalscope.functions.measures import nps_band, nps_score, pct, tenths_to_score
 from loyalscope.functions.tiers import nps_tier, sum_count_aggs, tier_count_aggs
 from loyalscope.operators import checks, recovery, text, trend
 from loyalscope.operators.cells import TOTAL, review_cells, rollup, segment_value
-from loyalscope.operators.drivers import coverage, rank_top, score_below_overall
+from loyalscope.operators.drivers import top_coverage
 from loyalscope.operators.tagging import valid_ratings
 from loyalscope.plans.core import (
     DRIVER_SETS,
@@ -63,15 +63,8 @@ def three_way_nps(reviews: DataFrame, users: DataFrame, min_n: int = 30) -> Data
 
 def driver_coverage(reviews: DataFrame, users: DataFrame, top: int = 3, min_n: int = 30) -> DataFrame:
     """Share of all reviews and of all detractors inside the union of the top drivers."""
-    cells = review_cells(reviews, users)
-    lab = labels(device_null="unknown", age_null="unknown")
-    dims = list(lab)
-    labelled = (cells.select(*(e.alias(k) for k, e in lab.items()), "review_count", "promoters",
-                             "passives", "detractors", "rating_sum")
-                .groupBy(*dims).agg(*sum_count_aggs()))
-    rolled = rollup(cells, lab, DRIVER_SETS).withColumns(score_columns())
-    top_segments = rank_top(score_below_overall(rolled, DRIVER_SETS, min_n=min_n), top=top)
-    cov = coverage(labelled, top_segments, DRIVER_SETS, dims)
+    cov = top_coverage(review_cells(reviews, users), labels(device_null="unknown", age_null="unknown"),
+                       DRIVER_SETS, top=top, min_n=min_n)
     return cov.select(
         F.lit(top).alias("top_k"),
         "reviews_covered", "total_reviews",

@@ -10,6 +10,9 @@ import functools
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loyalscope.operators.tagging import fits_broadcast
 
 # Column expressions of the fixture views.
 REVIEW_COLUMNS = (
@@ -99,7 +102,11 @@ def user_attributes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = _table(spark, sf_dir, "region")
     joined = (customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
               .join(region, nation.n_regionkey == region.r_regionkey, "left"))
-    return joined.selectExpr(*(f"{e} AS {n}" for n, e in USER_COLUMNS))
+    view = joined.selectExpr(*(f"{e} AS {n}" for n, e in USER_COLUMNS))
+    # Spark estimates a join's size as the product of its inputs, so this view always looks too big
+    # to broadcast and every query would shuffle the reviews before AQE notices. Measure it once per
+    # file version (the view is memoised) and mark it for broadcast only if it really fits.
+    return F.broadcast(view) if fits_broadcast(view) else view
 
 
 @_per_file_version("events")
