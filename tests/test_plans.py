@@ -166,3 +166,14 @@ def test_bucketed_tables_join_without_shuffling_reviews(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("DROP TABLE IF EXISTS bucketed_reviews")
         spark.sql("DROP TABLE IF EXISTS bucketed_users")
+
+
+def test_word_lift_tokenises_each_text_once(spark):
+    """The totals subquery of the lift reads only doc_id; the text column is scanned once."""
+    df = entry.queries()["detractor_words"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # distinct scans by expression id (the string holds final and initial plans, subquery included)
+    doc_scans = set(re.findall(r"FileScan parquet \[(doc_id#\d+L(?:,text#\d+)?)\]", plan))
+    assert sum(1 for s in doc_scans if "text" in s) == 1
+    assert any("text" not in s for s in doc_scans)
