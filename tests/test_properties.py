@@ -196,3 +196,28 @@ def test_sentiment_adapter(spark):
                    ("Z", None, 5)]
     q1 = core.overall_nps(out).collect()[0]
     assert (q1.total_reviews, q1.promoters, q1.detractors) == (4, 2, 1)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_single_lineage_coverage_equals_join_based_coverage(spark, seed):
+    from loyalscope.functions.measures import score_columns
+    from loyalscope.functions.tiers import sum_count_aggs
+    from loyalscope.operators.drivers import rank_top, score_below_overall, top_coverage
+    rnd = random.Random(seed)
+    reviews = [(rnd.choice([1, 2, 3, 4, 5, 5, 5]), f"u{rnd.randrange(40)}", rnd.choice(CATS))
+               for _ in range(700)]
+    users = [(f"u{i}", rnd.choice(DEVICES), rnd.choice(REGIONS), rnd.choice([None, 5, 60, 200, 900]))
+             for i in range(35)]
+    rv, us = make_reviews(spark, reviews), make_users(spark, users)
+    cells = review_cells(rv, us)
+    lab = core.labels(device_null="unknown", age_null="unknown")
+    sets = core.DRIVER_SETS
+    labelled = (cells.select(*(e.alias(k) for k, e in lab.items()), "review_count", "promoters",
+                             "passives", "detractors", "rating_sum")
+                .groupBy(*lab).agg(*sum_count_aggs()))
+    rolled = rollup(cells, lab, sets).withColumns(score_columns())
+    for top in (1, 3, 8):
+        joined = coverage(labelled, rank_top(score_below_overall(rolled, sets, min_n=10), top=top),
+                          sets, list(lab)).collect()[0]
+        single = top_coverage(cells, lab, sets, top=top, min_n=10).collect()[0]
+        assert tuple(joined) == tuple(single), (seed, top)
