@@ -10,6 +10,13 @@ Layout
 ``streaming``  the additive monthly counts kept up to date from a file stream
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from loyalscope.session import get_session
 
+# Functions that run in Python workers travel by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["get_session"]
