@@ -142,7 +142,7 @@ def _remove(width: int, buckets: int, columns: int, schema: pa.Schema):
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35,
-                    keep: tuple[str, ...] = (), block_bytes: int = 16 << 20,
+                    keep: tuple[str, ...] = (), block_bytes: int = 8 << 20,
                     bucket_bytes: int = 32 << 20) -> DataFrame:
     """Remove every word covered by a window of ``width`` words that also starts anywhere else.
 
