@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loyalscope.llm import byte_bpe, quality_classifier, toxicity
+from loyalscope.llm import byte_bpe, quality_classifier, secrets, toxicity
 from loyalscope.llm.common import held_out
 from loyalscope.llm.packing import pack
 from loyalscope.llm.substring_dedup import substring_dedup
@@ -44,6 +44,20 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, quality_classifier, "quality", 0.5)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, secrets.fit(secrets.labelled_samples(docs)))
+    base = [kind for kind, *_ in secrets.BASE]
+
+    def listed(spans: str):
+        return F.expr(f"array_join(transform({spans}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')")
+
+    return found.select(
+        "doc_id", *(F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in base),
+        F.sha2(listed(f"filter(spans, s -> s.rank < {len(base)})").cast("binary"), 256).alias("base_sha256"),
+        listed("spans").alias("spans"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -53,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_secrets": op4_secrets,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
 }
