@@ -166,9 +166,9 @@ def packing_plan(spark, histogram: dict[int, int], capacity: int, ranges: tuple[
     while pieces:
         for parts in ranges if gaps else ():
             rows = [("piece", *x) for x in pieces] + [("gap", *x) for x in gaps]
-            swept = (spark.createDataFrame(rows, "kind string, size long, lo long, count long")
-                     .repartitionByRange(parts, "size").sortWithinPartitions(F.desc("size"))
-                     .mapInPandas(_sweep_range(capacity), "kind string, length long, rank_lo long, count long, seq_lo long, offset long")
+            classes = spark.createDataFrame(rows, "kind string, size long, lo long, count long")
+            dealt = classes.repartitionByRange(parts, "size") if parts > 1 else classes.coalesce(1)
+            swept = (dealt.sortWithinPartitions(F.desc("size")).mapInPandas(_sweep_range(capacity), "kind string, length long, rank_lo long, count long, seq_lo long, offset long")
                      .collect())
             plan += [tuple(r)[1:] for r in swept if r.kind == "placed"]
             pieces = [tuple(r)[1:4] for r in swept if r.kind == "piece"]
