@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loyalscope.llm import byte_bpe, quality_classifier, secrets, toxicity
 from loyalscope.llm.common import held_out
+from loyalscope.llm.minhash_forest import near_duplicates
 from loyalscope.llm.packing import pack
 from loyalscope.llm.substring_dedup import substring_dedup
 
@@ -58,6 +59,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed("spans").alias("spans"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
 }
