@@ -11,6 +11,7 @@ from loyalscope.llm import byte_bpe, quality_classifier, secrets, toxicity
 from loyalscope.llm.common import held_out
 from loyalscope.llm.minhash_forest import near_duplicates
 from loyalscope.llm.packing import pack
+from loyalscope.llm.quality_rules import quality_rules
 from loyalscope.llm.substring_dedup import substring_dedup
 
 
@@ -68,6 +69,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
