@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loyalscope.llm import byte_bpe, quality_classifier, secrets, toxicity
 from loyalscope.llm.common import held_out
+from loyalscope.llm.licenses import scan_licenses
 from loyalscope.llm.minhash_forest import near_duplicates
 from loyalscope.llm.packing import pack
 from loyalscope.llm.quality_rules import quality_rules
@@ -69,6 +70,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    words = F.col("base.word")
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"), F.array_join(F.array_sort(F.array_distinct("base.label")), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("base.label", "found.label")), ",").alias("labels"),
+        # the chance that any detection holds: a base phrase counts as certain
+        F.when(F.size("base") > 0, 1.0).otherwise(F.aggregate("found.confidence", F.lit(1.0), lambda a, c: a * (1 - c), lambda a: 1 - a)).alias("score"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
@@ -80,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_license_scan": op7_license_scan,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
