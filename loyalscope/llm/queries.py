@@ -13,6 +13,7 @@ from loyalscope.llm.licenses import scan_licenses
 from loyalscope.llm.minhash_forest import near_duplicates
 from loyalscope.llm.packing import pack
 from loyalscope.llm.quality_rules import quality_rules
+from loyalscope.llm.rp_forest import nearest
 from loyalscope.llm.substring_dedup import substring_dedup
 
 
@@ -81,6 +82,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.size("base") > 0, 1.0).otherwise(F.aggregate("found.confidence", F.lit(1.0), lambda a, c: a * (1 - c), lambda a: 1 - a)).alias("score"))
 
 
+def op9_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_license_scan": op7_license_scan,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_rp_forest": op9_rp_forest,
     "op10_quality_rules": op10_quality_rules,
 }
 
