@@ -21,6 +21,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import os
+import re
 import zlib
 
 import numpy as np
@@ -36,7 +37,9 @@ from loyalscope.llm.common import Memo, raw_texts, stored, worker_cache
 #: Largest vocabulary file that is sent to the executors.
 MAX_VOCABULARY = 64 << 20
 #: Words whose ids one worker keeps, and bytes of text it works on at once.
-ID_CACHE, CHUNK = 400_000, 1 << 20
+ID_CACHE, CHUNK = 600_000, 1 << 20
+#: Letters, or ASCII digits and punctuation but apostrophes: the tokenizer cuts between the two.
+UNITS = re.compile(r"[^\W\d_]+|[!-&(-@\[-`{-~]+").findall
 PLAN_COLUMNS = ["length", "rank_lo", "count", "seq_lo", "offset"]
 
 
@@ -50,7 +53,12 @@ def read_vocabulary(path: str) -> bytes:
 
 
 class WordTokenizer:
-    """Ids of a text, word by word: this vocabulary never merges across ASCII white space."""
+    """Ids of a text, word by word: this vocabulary never merges across ASCII white space.
+
+    A word of letters and ASCII punctuation is cut further where the tokenizer always cuts it, so that
+    "The", "the," and "the." need one lookup of "the". Apostrophes (contractions), combining marks and
+    other symbols keep a word whole.
+    """
 
     def __init__(self, vocabulary: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,16 +66,41 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
         self.tokenizer.encode_special_tokens = True
-        self.memo = Memo(None, ID_CACHE)
+        self.words, self.units = Memo(None, ID_CACHE), Memo(None, ID_CACHE)
+
+    @staticmethod
+    def cut(word: bytes) -> list[str]:
+        text = word.decode()
+        if text.isalpha():
+            return [text.lower() if text.isascii() else text]
+        units = UNITS(text)
+        return [u.lower() if u.isascii() else u for u in units] if sum(map(len, units)) == len(text) else [text]
+
+    def learn(self, units: list[str]) -> None:
+        """Ids of new units: one call for all that are one pre-token each, else one by one."""
+        plain = [u for u in units if u.isalpha() or (u.isascii() and not any(map(str.isalnum, u)) and "'" not in u)]
+        if plain:
+            coded = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+            of = np.array(coded.word_ids, np.int64)
+            ids, ends = np.array(coded.ids, "<u4"), np.flatnonzero(np.append(of[1:] != of[:-1], True)) + 1
+            if len(ends) == len(plain):
+                raw, at = ids.tobytes(), (4 * ends).tolist()
+                self.units.update(zip(plain, map(raw.__getitem__, map(slice, [0, *at], at))))
+        rest = [u for u in units if u not in self.units]
+        coded = self.tokenizer.encode_batch(rest, add_special_tokens=False)
+        self.units.update((u, np.array(c.ids, "<u4").tobytes()) for u, c in zip(rest, coded))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        self.memo.trim()
-        words = [t.split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.memo})
-        coded = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        self.memo.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded))
-        return [b"".join(map(self.memo.__getitem__, ws)) for ws in words]
+        self.words.trim()
+        self.units.trim()
+        split = [t.split() for t in texts]
+        cuts = {w: self.cut(w) for w in set().union(*split) if w not in self.words}
+        self.learn([u for u in set().union(*cuts.values()) if u not in self.units])
+        units = self.units.__getitem__
+        self.words.update((w, b"".join(map(units, us))) for w, us in cuts.items())
+        words = self.words.__getitem__
+        return [b"".join(map(words, ws)) for ws in split]
 
 
 def in_chunks(texts, limit: int = CHUNK):
