@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loyalscope.llm.common import raw_texts, training_row
@@ -119,22 +119,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     return PUModel(edges, prior).fit(positive, unlabelled)
 
 
-def _score(model):
-    def run(batches):
-        m = model.value
-        for batch in batches:
-            x = np.array([statistics(raw) for raw in raw_texts(batch.column(1))]).reshape(-1, len(FEATURES))
-            own = [batch.column(i) for i in (0, *range(2, batch.num_columns))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(m.score(x), pa.float64())], names=[str(i) for i in range(len(own) + 1)])
-    return run
+def scorer(spark: SparkSession, model: PUModel):
+    """A column function: text to score (0 to 1, the probability of label 1)."""
+    shipped = spark.sparkContext.broadcast(model)                            # a few hundred weights
+
+    def score_texts(texts: pa.Array) -> pa.Array:
+        x = np.array([statistics(raw) for raw in raw_texts(texts)]).reshape(-1, len(FEATURES))
+        return pa.array(shipped.value.score(x), pa.float64())
+
+    return F.arrow_udf(score_texts, "double")
 
 
 def score(docs: DataFrame, model: PUModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``score`` (0 to 1, the probability of label 1) per row, over whole texts.
+    """``id_col`` and ``score`` per row, over whole texts.
 
     NULL and empty texts are scored by their statistics like any other text. Repeated rows and NULL
     ids pass through; other columns are never read.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)                # a few hundred weights
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(_score(shipped), f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return docs.select(id_col, scorer(docs.sparkSession, model)(F.col(text_col)).alias("score"))
