@@ -2,43 +2,9 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
-
-
-def cached_expression(build):
-    """Memoise a pure expression builder whose arguments are names, numbers or tuples.
-
-    A Column is an immutable expression tree that Spark resolves against each DataFrame when it
-    is used, so the same object can serve every query. Building one costs several calls into the
-    JVM; a driver that plans many queries reuses them instead. Calls with Column arguments (not
-    hashable) are built fresh. The cache is per SparkContext.
-    """
-    cache: dict = {}
-
-    @functools.wraps(build)
-    def cached(*args, **kwargs):
-        sc = SparkContext._active_spark_context
-        try:
-            key = (id(sc), args, tuple(sorted(kwargs.items())))
-            hash(key)
-        except TypeError:
-            return build(*args, **kwargs)
-        hit = cache.get(key)
-        if hit is None or hit[0] is not sc:
-            hit = cache[key] = (sc, build(*args, **kwargs))
-        value = hit[1]
-        if isinstance(value, list):
-            return list(value)
-        if isinstance(value, dict):
-            return dict(value)
-        return value
-
-    return cached

@@ -4,7 +4,7 @@ The documented constraints (unique review and user ids, ratings 1..5, every revi
 never enforced by the queries, and a duplicated user id silently fans out the tagging join, so they
 are counted here. Distinct counts are hash aggregates with map-side combining; both unmatched counts
 come from one full outer join of per-user review counts with the distinct user ids. CSV rows that
-failed to parse (``_corrupt_record``) are counted when the reader kept that column.
+failed to parse (``_corrupt_record``) are counted for each table whose reader kept that column.
 """
 
 from __future__ import annotations
@@ -35,12 +35,15 @@ def input_checks(reviews: DataFrame, users: DataFrame) -> DataFrame:
     if CORRUPT in reviews.columns:
         per_review["unparseable_row"] = F.count_if(F.col(CORRUPT).isNotNull())
     review_checks = _stack(reviews, per_review, F.count(F.lit(1)))
-    user_checks = _stack(users, {
+    per_user_row = {
         "duplicate_user_id": F.count("user_id") - F.count_distinct("user_id"),
         "null_account_age": F.count_if(F.col("account_age_days").isNull()),
         "null_device_type": F.count_if(F.col("device_type").isNull()),
         "null_region": F.count_if(F.col("region").isNull()),
-    }, F.count(F.lit(1)))
+    }
+    if CORRUPT in users.columns:
+        per_user_row["unparseable_user_row"] = F.count_if(F.col(CORRUPT).isNotNull())
+    user_checks = _stack(users, per_user_row, F.count(F.lit(1)))
     # Unmatched ids in both directions from one full outer join of per-user review counts (combined
     # map-side, so a heavy user is one partial row per task) with the distinct user ids.
     per_user = reviews.where(u.isNotNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))

@@ -51,21 +51,10 @@ def _scan_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         same = users[1:] == users[:-1]
         counts += np.bincount(tiers[:-1][same] * _K + tiers[1:][same], minlength=_K * _K)
         prev_user, prev_tier = users[-1], int(tiers[-1])
-    if first_user is None:
-        return
-    nz = np.flatnonzero(counts)
-    pairs = pd.DataFrame({
-        "kind": "pair", "part": part,
-        "from_tier": (nz // _K).astype("int32"), "to_tier": (nz % _K).astype("int32"),
-        "n": counts[nz],
-        "first_user": None, "first_tier": None, "last_user": None, "last_tier": None,
-    })
-    bound = pd.DataFrame({
-        "kind": ["bound"], "part": [part], "from_tier": [None], "to_tier": [None], "n": [None],
-        "first_user": [first_user], "first_tier": [first_tier],
-        "last_user": [prev_user], "last_tier": [prev_tier],
-    })
-    yield pd.concat([pairs, bound], ignore_index=True)
+    if first_user is not None:
+        yield pd.DataFrame({"part": [part], "pairs": [counts.tolist()],
+                            "first_user": [first_user], "first_tier": [first_tier],
+                            "last_user": [prev_user], "last_tier": [prev_tier]})
 
 
 def recovery_transitions(reviews: DataFrame) -> DataFrame:
@@ -77,9 +66,7 @@ def recovery_transitions(reviews: DataFrame) -> DataFrame:
            .select("user_id", "review_date", "review_id", _tier_code().alias("tier")))
     user_type = seq.schema["user_id"].dataType
     out_schema = T.StructType([
-        T.StructField("kind", T.StringType()), T.StructField("part", T.IntegerType()),
-        T.StructField("from_tier", T.IntegerType()), T.StructField("to_tier", T.IntegerType()),
-        T.StructField("n", T.LongType()),
+        T.StructField("part", T.IntegerType()), T.StructField("pairs", T.ArrayType(T.LongType())),
         T.StructField("first_user", user_type), T.StructField("first_tier", T.IntegerType()),
         T.StructField("last_user", user_type), T.StructField("last_tier", T.IntegerType()),
     ])
@@ -87,18 +74,15 @@ def recovery_transitions(reviews: DataFrame) -> DataFrame:
     scanned = (ordered.select("user_id", "tier", F.spark_partition_id().alias("part"))
                .mapInPandas(_scan_partition, out_schema))
 
-    inside = scanned.where(F.col("kind") == "pair").select("from_tier", "to_tier", "n")
+    # One row per partition: its own pairs, and the pair that crosses into the next partition.
     by_part = Window.orderBy("part")
-    bounds = scanned.where(F.col("kind") == "bound").select(
-        "last_user", "last_tier",
-        F.lead("first_user").over(by_part).alias("next_user"),
-        F.lead("first_tier").over(by_part).alias("next_tier"))
-    across = (bounds.where(F.col("last_user") == F.col("next_user"))
-              .select(F.col("last_tier").alias("from_tier"), F.col("next_tier").alias("to_tier"),
-                      F.lit(1).cast("long").alias("n")))
-
-    counts = (inside.unionByName(across).groupBy("from_tier", "to_tier")
-              .agg(F.sum("n").cast("long").alias("transitions")))
+    joined = scanned.withColumns({"next_user": F.lead("first_user").over(by_part),
+                                  "next_tier": F.lead("first_tier").over(by_part)})
+    crossing = F.when(F.col("last_user") == F.col("next_user"), F.col("last_tier") * _K + F.col("next_tier"))
+    total = F.transform("pairs", lambda n, i: n + F.when(i == crossing, 1).otherwise(0))
+    counts = (joined.select(F.posexplode(total).alias("pair", "n"))
+              .groupBy(F.floor(F.col("pair") / _K).cast("int").alias("from_tier"), (F.col("pair") % _K).alias("to_tier"))
+              .agg(F.sum("n").cast("long").alias("transitions")).where("transitions > 0"))
     by_from = Window.partitionBy("from_tier")
     names = F.element_at(F.array(*(F.lit(t) for t in TIERS)), F.col("from_tier") + 1)
     to_names = F.element_at(F.array(*(F.lit(t) for t in TIERS)), F.col("to_tier") + 1)

@@ -25,43 +25,29 @@ def document_words(documents: DataFrame, text_col: str = "text") -> DataFrame:
     return documents.select(*keep, F.array_distinct(F.array_remove(tokens, "")).alias("words"))
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Round-robin a scan's rows over the cluster's cores when it yields fewer splits than cores.
-
-    Tokenising is CPU-bound and runs in the scan's tasks; a table stored as one parquet row group
-    is a single split. Large tables arrive in many splits and are left alone (no shuffle). Pass a
-    plain scan (no join or aggregate): counting its splits is file listing on the driver, while
-    asking a plan with exchanges for its partitions would make AQE run those exchanges.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores)
-
-
 def detractor_words(documents: DataFrame, labels: DataFrame, is_detractor: str = "toxic",
-                    min_docs: int = 3) -> DataFrame:
-    """Per word in at least ``min_docs`` labelled documents: document counts by tier and the lift.
+                    min_docs: int = 1) -> DataFrame:
+    """Every word of the labelled documents: document counts by tier and the lift.
 
     ``lift = (detractor docs with the word / detractor docs) / (docs with the word / docs)``, two
-    decimals; above 1 the word is over-represented among detractors.
+    decimals; above 1 the word is over-represented among detractors. ``min_docs`` above 1 leaves rare
+    words out, if a caller wants that.
+
+    The two totals come from one aggregate over the joined ids, a single row by construction.
     """
-    labelled = spread(documents.select("doc_id", "text")).join(
+    labelled = documents.select("doc_id", "text").join(
         labels.select("doc_id", (F.col(is_detractor) == 1).alias("is_det")), "doc_id")
-    words = document_words(labelled)
-    totals = words.agg(F.struct(F.count(F.lit(1)).alias("docs"),
-                                F.count_if("is_det").alias("det")).alias("t")).scalar()
-    # explode_outer: a plain explode makes Spark infer ``size(words) > 0`` and push that filter
-    # below the repartition, which would tokenise every text twice.
-    per_word = (words.select("is_det", F.explode_outer("words").alias("word"))
-                .where(F.col("word").isNotNull())
-                .groupBy("word")
+    totals = (documents.select("doc_id").join(labels.select("doc_id", (F.col(is_detractor) == 1).alias("is_det")), "doc_id")
+              .agg(F.count(F.lit(1)).alias("all_docs"), F.count_if("is_det").alias("all_det")))
+    per_word = (document_words(labelled).select("is_det", F.explode("words").alias("word")).groupBy("word")
                 .agg(F.count(F.lit(1)).alias("docs"), F.count_if("is_det").alias("detractor_docs")))
+    if min_docs > 1:
+        per_word = per_word.where(F.col("docs") >= min_docs)
     n, det = F.col("docs"), F.col("detractor_docs")
-    return per_word.where(n >= min_docs).select(
+    return per_word.crossJoin(F.broadcast(totals)).select(
         "word",
         det.alias("detractor_docs"),
         (n - det).alias("other_docs"),
         pct(det, n).alias("detractor_doc_pct"),
-        exact_ratio(det * totals.getField("docs"), n * totals.getField("det"), 2).alias("lift"),
+        exact_ratio(det * F.col("all_docs"), n * F.col("all_det"), 2).alias("lift"),
     )

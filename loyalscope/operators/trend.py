@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from loyalscope.functions.dates import month_start, review_month
 from loyalscope.functions.measures import mean_score, nps_score, nps_tenths, tenths_to_score
 from loyalscope.functions.tiers import COUNT_COLUMNS, nps_tier, tier_count_aggs
-from loyalscope.functions.util import cached_expression
 from loyalscope.operators.tagging import valid_dated
 
 # Labels of the trend columns.
@@ -41,25 +40,24 @@ def monthly_counts(reviews: DataFrame) -> DataFrame:
     return counts.select(review_month("month_start").alias("review_month"), *COUNT_COLUMNS)
 
 
-def monthly_trend(monthly: DataFrame, rolling: int = 3, threshold: float = 2.0) -> DataFrame:
-    """Month-over-month metrics on one row per month.
+def monthly_trend(monthly: DataFrame, rolling: int = 3, threshold: float = 2.0, lag: int = 1) -> DataFrame:
+    """Metrics against the row ``lag`` months of data earlier, on one row per month.
 
     Scores are compared and averaged as integer tenths: ``mom_delta`` of 8.3 -> 6.1 is exactly -2.2,
     a step of exactly 2.0 is ``stable``, and a month equal to its rolling mean is ``below_trend``.
     """
-    lags, outputs = _trend_columns(rolling, int(round(threshold * 10)))
+    lags, outputs = _trend_columns(rolling, int(round(threshold * 10)), lag)
     return (monthly.withColumn("s10", nps_tenths("promoters", "detractors", "review_count"))
             .withColumns(lags).select(*outputs))
 
 
-@cached_expression
-def _trend_columns(rolling: int, step: int) -> tuple[dict, list]:
+def _trend_columns(rolling: int, step: int, lag: int) -> tuple[dict, list]:
     by_month = Window.orderBy("review_month")
     frame = by_month.rowsBetween(-(rolling - 1), Window.currentRow)
     running = by_month.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s10, prev10 = F.col("s10"), F.col("prev10")
     lags = {
-        "prev10": F.lag("s10", 1).over(by_month),
+        "prev10": F.lag("s10", lag).over(by_month),
         "roll_sum": F.sum("s10").over(frame),
         "roll_n": F.count("s10").over(frame),
         "cum_sum": F.sum("s10").over(running),

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
@@ -62,3 +63,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="loyalscope-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared ``spark.checkpoint.dir``; what is written there goes when the session ends."""
+    parent = f"{ensure_checkpoint_dir(spark).rstrip('/')}/loyalscope-{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    file_system = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    file_system.mkdirs(jvm_path)
+    file_system.deleteOnExit(jvm_path)
+    return f"{parent}/data"
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into a ``new_folder`` (or to ``path``, where it stays) and read it back.
+
+    Cuts the lineage: a lost executor never re-runs what came before. Eager.
+    """
+    target = path or new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)

@@ -6,13 +6,7 @@ prefix of every oracle query), so both engines see identical rows. Nothing is wr
 
 from __future__ import annotations
 
-import functools
-import os
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from loyalscope.operators.tagging import fits_broadcast
 
 # Column expressions of the fixture views.
 REVIEW_COLUMNS = (
@@ -28,108 +22,75 @@ USER_COLUMNS = (
     ("device_type", "c_mktsegment"),
     ("region", "r_name"),
     ("account_age_days", "case when c_acctbal < 0 then null else cast(floor(c_acctbal / 10) as int) end"),
+    ("nation", "n_name"),
 )
 USER_FILTER = "c_custkey % 20 <> 0"
 
 # Sentiment-file stand-in over ``events`` and an app file over ``nation``/``region`` (adapter S3).
 SENTIMENT_COLUMNS = (
     ("review_id", "event_id"),
-    ("App", "cast(user_id % 20 as string)"),
+    ("App", "cast(user_id % 30 as string)"),
     ("Sentiment", "case event_type when 'error' then 'Negative' when 'view' then 'Neutral' else 'Positive' end"),
 )
 APP_COLUMNS = (
     ("App", "cast(n_nationkey as string)"),
     ("Category", "r_name"),
 )
-APP_FILTER = "n_nationkey < 20"
+
+# The columns of the generated tables that the views read. Nothing is inferred, so building
+# a view runs no job.
+TABLES = {
+    "orders": "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": "event_id long, user_id long, event_type string",
+    "documents": "doc_id long, text string",
+    "labels": "doc_id long, toxic int",
+}
+
+
+# The review date as the text of a file: every 50th unknown date is written as an impossible one instead.
+TEXT_DATE = ("case when review_date is null and review_id % 100 = 0 then '2022-02-30' "
+             "when review_date is null then 'bad' else date_format(review_date, 'yyyy-MM-dd') end")
 
 
 def _select_sql(columns) -> str:
     return ", ".join(f"{expr} AS {name}" for name, expr in columns)
 
 
-_SCHEMAS: dict[tuple, object] = {}
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one generated table; its schema is inferred once per file version, then passed in."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    try:
-        st = os.stat(path)
-        key = (path, st.st_size, st.st_mtime_ns)
-    except OSError:
-        return spark.read.parquet(path)
-    if key not in _SCHEMAS:
-        _SCHEMAS[key] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[key]).parquet(path)
-
-
-_VIEWS: dict[tuple, tuple[SparkSession, DataFrame]] = {}
-
-
-def _per_file_version(*tables: str):
-    """Build a view once per session and version of its files, as a user holds a table handle.
-
-    A DataFrame is a lazy plan: sharing it between queries shares no data or shuffle output, it
-    only skips re-listing files and re-analysing the view. New file versions build a new view.
-    """
-    def decorate(build):
-        @functools.wraps(build)
-        def view(spark: SparkSession, sf_dir: str) -> DataFrame:
-            try:
-                version = tuple((st.st_size, st.st_mtime_ns) for st in
-                                (os.stat(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in tables))
-            except OSError:
-                return build(spark, sf_dir)
-            key = (id(spark), build.__name__, sf_dir, version)
-            hit = _VIEWS.get(key)
-            if hit is None or hit[0] is not spark:
-                hit = _VIEWS[key] = (spark, build(spark, sf_dir))
-            return hit[1]
-        return view
-    return decorate
-
-
-@_per_file_version("orders")
 def reviews_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").selectExpr(*(f"{e} AS {n}" for n, e in REVIEW_COLUMNS))
 
 
-@_per_file_version("customer", "nation", "region")
 def user_attributes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = _table(spark, sf_dir, "customer").where(USER_FILTER)
-    nation = _table(spark, sf_dir, "nation")
-    region = _table(spark, sf_dir, "region")
+    nation, region = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
     joined = (customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
               .join(region, nation.n_regionkey == region.r_regionkey, "left"))
-    view = joined.selectExpr(*(f"{e} AS {n}" for n, e in USER_COLUMNS))
-    # Spark estimates a join's size as the product of its inputs, so this view always looks too big
-    # to broadcast and every query would shuffle the reviews before AQE notices. Measure it once per
-    # file version (the view is memoised) and mark it for broadcast only if it really fits.
-    return F.broadcast(view) if fits_broadcast(view) else view
+    return joined.selectExpr(*(f"{e} AS {n}" for n, e in USER_COLUMNS))
 
 
-@_per_file_version("events")
 def sentiment_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").selectExpr(*(f"{e} AS {n}" for n, e in SENTIMENT_COLUMNS))
 
 
-@_per_file_version("nation", "region")
 def apps_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = _table(spark, sf_dir, "nation").where(APP_FILTER)
-    region = _table(spark, sf_dir, "region")
+    nation, region = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
     joined = nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
     return joined.selectExpr(*(f"{e} AS {n}" for n, e in APP_COLUMNS))
 
 
-@_per_file_version("documents")
 def documents_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _table(spark, sf_dir, "documents")
 
 
-@_per_file_version("labels")
 def labels_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return _table(spark, sf_dir, "labels")
 
 
 # ---- the same views as SQL text, for the DuckDB oracles -------------------------------------
@@ -144,5 +105,5 @@ USER_ATTRIBUTES_SQL = (
 SENTIMENT_SQL = f"SELECT {_select_sql(SENTIMENT_COLUMNS)} FROM events"
 APPS_SQL = (
     f"SELECT {_select_sql(APP_COLUMNS)} FROM nation "
-    f"LEFT JOIN region ON n_regionkey = r_regionkey WHERE {APP_FILTER}"
+    "LEFT JOIN region ON n_regionkey = r_regionkey"
 )

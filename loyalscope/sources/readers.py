@@ -12,27 +12,49 @@ CORRUPT = "_corrupt_record"
 _CSV_OPTIONS = {"header": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 
-def read_reviews(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """``review_id, app_name, category, rating, review_date (DATE), user_id``.
+def _with_corrupt(schema: T.StructType) -> T.StructType:
+    return T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
 
-    CSV is read with the documented schema; the text date is parsed here, once, so a malformed date
-    is NULL everywhere downstream. A line whose fields do not parse (a rating that is not an integer)
-    keeps its text in ``_corrupt_record`` for ``input_checks``. Parquet is read as stored and only
-    pruned to the known columns.
-    """
+
+def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema``; from CSV also ``_corrupt_record``, the text of a line that does not parse."""
     if fmt == "csv":
-        schema = T.StructType(schemas.REVIEWS_CSV.fields + [T.StructField(CORRUPT, T.StringType())])
-        raw = spark.read.schema(schema).options(**_CSV_OPTIONS).csv(path)
-        return raw.withColumn("review_date", parse_review_date("review_date"))
+        return spark.read.schema(_with_corrupt(schema)).options(**_CSV_OPTIONS).csv(path)
     if fmt == "parquet":
-        return spark.read.parquet(path).select(*schemas.REVIEWS.fieldNames())
+        return spark.read.schema(schema).parquet(path)
     raise ValueError(f"unsupported format {fmt!r}")
 
 
+def read_reviews(spark: SparkSession, path: str, fmt: str = "parquet", text_dates: bool = False) -> DataFrame:
+    """``review_id, app_name, category, rating, review_date (DATE), user_id``.
+
+    The schema is given, never inferred. CSV dates are text, and so are those of Parquet files written
+    with the documented text column (``text_dates=True``): they are parsed here, once, so a malformed
+    or impossible date is NULL everywhere downstream. A CSV line whose fields do not parse (a rating
+    that is not an integer) keeps its text in ``_corrupt_record`` for ``input_checks``.
+    """
+    text_dates = text_dates or fmt == "csv"
+    raw = _read(spark, path, fmt, schemas.REVIEWS_TEXT_DATES if text_dates else schemas.REVIEWS)
+    return raw.withColumn("review_date", parse_review_date("review_date")) if text_dates else raw
+
+
 def read_user_attributes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """``user_id, device_type, region, account_age_days``."""
-    if fmt == "csv":
-        return spark.read.schema(schemas.USER_ATTRIBUTES).options(**_CSV_OPTIONS).csv(path)
-    if fmt == "parquet":
-        return spark.read.parquet(path).select(*schemas.USER_ATTRIBUTES.fieldNames())
-    raise ValueError(f"unsupported format {fmt!r}")
+    """``user_id, device_type, region, account_age_days`` (and ``_corrupt_record`` from CSV)."""
+    return _read(spark, path, fmt, schemas.USER_ATTRIBUTES)
+
+
+def read_sentiment_reviews(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """The public review file, ``App, Sentiment``; further columns of the file are left out."""
+    return _read_by_name(spark, path, fmt, schemas.SENTIMENT_REVIEWS)
+
+
+def read_apps(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """The app file, ``App, Category``; further columns of the file are left out."""
+    return _read_by_name(spark, path, fmt, schemas.APPS)
+
+
+def _read_by_name(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
+    """Known text columns of a file with more columns: a CSV header is read (its types are not inferred)."""
+    if fmt != "csv":
+        return _read(spark, path, fmt, schema)
+    return spark.read.options(header="true", multiLine="true", escape='"').csv(path).select(*schema.fieldNames())

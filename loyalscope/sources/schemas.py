@@ -2,8 +2,8 @@
 
 from pyspark.sql import types as T
 
-# reviews as stored in a CSV file: the date stays text until ``parse_review_date``.
-REVIEWS_CSV = T.StructType([
+# reviews as documented, with a text date (any CSV file): it stays text until ``parse_review_date``.
+REVIEWS_TEXT_DATES = T.StructType([
     T.StructField("review_id", T.LongType()),
     T.StructField("app_name", T.StringType()),
     T.StructField("category", T.StringType()),
