@@ -1,9 +1,8 @@
-"""Helpers shared by the operators: stored intermediates, word hashing, per-worker caches."""
+"""Helpers shared by the operators: word hashing, per-worker caches, training rows."""
 
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -11,26 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loyalscope.session import ensure_checkpoint_dir
+from loyalscope.session import stored  # noqa: F401  (the operators take it from here)
 
 MASK64 = (1 << 64) - 1
 #: Words whose hash one Python worker keeps; the cache starts anew beyond it.
 WORD_CACHE = 300_000
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared ``spark.checkpoint.dir`` and read it back.
-
-    Cuts the lineage and survives lost executors. The folder goes when the session ends.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/loyalscope-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
