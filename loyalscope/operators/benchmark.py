@@ -1,62 +1,45 @@
 """Segment benchmarks: each segment against the overall score and its peer group.
 
 In SQL the overall score is an uncorrelated scalar subquery and the peer-group mean ("average score
-of all segments of my type with n >= min_n, me included") a correlated one. Both are computed here
-from the rollup rows themselves, with windows partitioned by segment type, so the plan has a single
-lineage: the scan, the tagging join and the cell aggregation run exactly once (a subquery or a
-self-join over the rollup would plan that subtree twice and depend on exchange reuse to share it).
-
-* Every grouping set partitions all reviews, so the counts of one segment type sum to the overall
-  counts: the per-type window sums are the overall row, repeated for each type.
-* The peer mean is the decorrelated subquery: a per-type window over the segments kept by the
-  sample-size filter.
-
-The windows run after aggregation; a partition holds the segments of one type, so its size is
-bounded by that dimension's number of values, not by the number of reviews.
+of all segments of my type with n >= min_n, me included") a correlated one. Here the overall counts
+are one row, aggregated from the same cells as the segments and joined to every segment, and the peer
+means are one row per segment type, joined on the type. Nothing sees all segments in one task. The
+branches share the cells' exchange, so the reviews are read and joined once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loyalscope.functions.measures import mean_tenths, nps_tenths, tenths_to_score
-from loyalscope.functions.util import cached_expression
 
 
-def with_overall(rolled: DataFrame) -> DataFrame:
-    """Add ``total_reviews`` and ``overall10`` (overall score in tenths) to every segment row."""
-    return rolled.withColumns(_overall_columns())
+def overall_row(cells: DataFrame) -> DataFrame:
+    """``total_reviews`` and ``overall10`` (overall score in tenths): one row."""
+    n, p, d = (F.sum(c) for c in ("review_count", "promoters", "detractors"))
+    return cells.agg(n.cast("long").alias("total_reviews"), nps_tenths(p, d, n).alias("overall10"))
 
 
-@cached_expression
-def _overall_columns() -> dict:
-    by_type = Window.partitionBy("segment_type")
-    total = F.sum("review_count").over(by_type)
-    return {
-        "total_reviews": total.cast("long"),
-        "overall10": nps_tenths(F.sum("promoters").over(by_type),
-                                F.sum("detractors").over(by_type), total),
-    }
+def with_overall(rolled: DataFrame, cells: DataFrame) -> DataFrame:
+    """Add ``total_reviews`` and ``overall10`` to every segment row (an aggregate without keys is one row)."""
+    return rolled.crossJoin(F.broadcast(overall_row(cells)))
 
 
-@cached_expression
-def _peer_tenths() -> Column:
-    by_type = Window.partitionBy("segment_type")
-    return mean_tenths(F.sum("s10").over(by_type), F.count(F.lit(1)).over(by_type))
+def with_peers(segments: DataFrame) -> DataFrame:
+    """Add the sum and number of the scores of each segment's type (itself included), and their rounded mean.
 
+    There is one row of peers per grouping set, so that side is broadcast.
+    """
+    peers = segments.groupBy("segment_type").agg(F.sum("s10").alias("peer_sum"), F.count("s10").alias("peer_n"))
+    return segments.join(F.broadcast(peers), "segment_type").withColumn("peer10", mean_tenths("peer_sum", "peer_n"))
 
-def peer_benchmark(rolled: DataFrame, min_n: int = 20) -> DataFrame:
-    """Segments with ``review_count >= min_n`` with ``overall10`` and ``peer10`` (tenths).
 
-    ``rolled`` is a rollup with ``s10`` (no total row needed). ``peer10`` is the mean of the kept
-    segments' scores of the same type, rounded to one decimal.
-    """
-    segments = with_overall(rolled).where(F.col("review_count") >= min_n)
-    return segments.withColumn("peer10", _peer_tenths())
+def peer_benchmark(rolled: DataFrame, cells: DataFrame, min_n: int = 20) -> DataFrame:
+    """Segments with ``review_count >= min_n`` of a rollup of ``cells`` (with ``s10``) against overall and peers."""
+    return with_overall(with_peers(rolled.where(F.col("review_count") >= min_n)), cells)
 
 
-@cached_expression
 def benchmark_columns() -> list[Column]:
     s10, o10, p10 = F.col("s10"), F.col("overall10"), F.col("peer10")
     return [

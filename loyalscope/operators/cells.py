@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loyalscope.functions.tiers import COUNT_COLUMNS, sum_count_aggs, tier_count_aggs
-from loyalscope.functions.util import cached_expression
 from loyalscope.operators.tagging import tag_with_users, valid_ratings
 
 CELL_KEYS = ("device_type", "region", "age_code", "category")
@@ -32,12 +31,13 @@ SegmentSets = Sequence[tuple[str, Sequence[str]]]
 
 
 def review_cells(reviews: DataFrame, users: DataFrame, strict: bool = False,
-                 extra_keys: Sequence[str] = (), broadcast_users: bool | None = None,
+                 extra_keys: Sequence[str] = (), user_keys: Sequence[str] = (),
                  preaggregate: bool = False) -> DataFrame:
-    """One join, one aggregation: ``CELL_KEYS + extra_keys`` -> additive tier counts.
+    """One join, one aggregation: ``CELL_KEYS + extra_keys + user_keys`` -> additive tier counts.
 
-    ``extra_keys`` are further review columns to keep as cell keys (for example ``app_name``); the
-    cells then grow with that column's cardinality and stay a distributed DataFrame.
+    ``extra_keys`` are further review columns and ``user_keys`` further user columns to keep as cell
+    keys (for example ``app_name``); the cells then grow with that column's cardinality and stay a
+    distributed DataFrame.
 
     ``preaggregate=True`` first counts reviews per ``(user_id, category, rating, extra_keys)``. The
     map-side half of that aggregate collapses a heavy user's reviews inside every task before
@@ -46,15 +46,14 @@ def review_cells(reviews: DataFrame, users: DataFrame, strict: bool = False,
     large share of them); with about one review per user the plain plan moves less data.
     """
     keys = ("category", "rating", *extra_keys)
+    cell = (*CELL_KEYS, *extra_keys, *user_keys)
     if not preaggregate:
-        tagged = tag_with_users(reviews, users, strict=strict, review_columns=keys,
-                                broadcast_users=broadcast_users)
-        return tagged.groupBy(*CELL_KEYS, *extra_keys).agg(*tier_count_aggs())
+        tagged = tag_with_users(reviews, users, strict=strict, review_columns=keys, user_columns=tuple(user_keys))
+        return tagged.groupBy(*cell).agg(*tier_count_aggs())
     counted = (valid_ratings(reviews, strict=strict).groupBy("user_id", *keys)
                .agg(F.count(F.lit(1)).alias("_reviews")))
-    tagged = tag_with_users(counted, users, strict=strict, review_columns=(*keys, "_reviews"),
-                            broadcast_users=broadcast_users)
-    return tagged.groupBy(*CELL_KEYS, *extra_keys).agg(*tier_count_aggs(weight="_reviews"))
+    tagged = tag_with_users(counted, users, strict=strict, review_columns=(*keys, "_reviews"), user_columns=tuple(user_keys))
+    return tagged.groupBy(*cell).agg(*tier_count_aggs(weight="_reviews"))
 
 
 def grouping_id_of(dims: Sequence[str], columns: Sequence[str]) -> int:
@@ -84,7 +83,6 @@ def _freeze(sets: SegmentSets) -> tuple:
     return tuple((name, tuple(dims)) for name, dims in sets)
 
 
-@cached_expression
 def _segment_type(sets: tuple, columns: tuple) -> Column:
     """Segment type name from the grouping id of each grouping set."""
     segment_type = None
@@ -94,33 +92,11 @@ def _segment_type(sets: tuple, columns: tuple) -> Column:
     return segment_type
 
 
-def union_segments(tagged: DataFrame, labels: Mapping[str, Column], sets: SegmentSets,
-                   aggs: Sequence[Column]) -> DataFrame:
-    """The same table as ``rollup``, written as one aggregate per set stacked with UNION ALL.
-
-    This is the naive plan (one scan, join and aggregate per branch); it exists to be measured and
-    to cross-check ``rollup``.
-    """
-    labelled = tagged.select(*(expr.alias(name) for name, expr in labels.items()), "nps_tier", "rating")
-    branches = []
-    for name, dims in sets:
-        part = labelled.groupBy(*dims).agg(*aggs)
-        for col in labels:
-            if col not in dims:
-                part = part.withColumn(col, F.lit(None).cast("string"))
-        branches.append(part.withColumn("segment_type", F.lit(name)))
-    out = branches[0]
-    for b in branches[1:]:
-        out = out.unionByName(b)
-    return out
-
-
 def segment_value(sets: SegmentSets, separator: str = LABEL_SEPARATOR) -> Column:
     """The grouped value(s) of each row: the dimension itself, or ``v1 · v2`` (NULL-propagating)."""
     return _segment_value(_freeze(sets), separator)
 
 
-@cached_expression
 def _segment_value(sets: tuple, separator: str) -> Column:
     expr = None
     for name, dims in sets:

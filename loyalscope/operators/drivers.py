@@ -8,39 +8,38 @@ that sort before them, so they are the same as ranks over the whole table.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loyalscope.functions.measures import negative_impact, tenths_to_score
-from loyalscope.functions.util import cached_expression
 from loyalscope.operators.benchmark import with_overall
-from loyalscope.operators.cells import TOTAL, SegmentSets, rollup, segment_value
-from loyalscope.functions.measures import score_columns
+from loyalscope.operators.cells import SegmentSets, segment_value
 
 
-@cached_expression
 def rank_order() -> list:
     """Impact descending, then a total order on (type, label) so the cut is deterministic."""
     return [F.desc("negative_impact_score"), F.asc_nulls_first("segment_type"),
             F.asc_nulls_first("segment_label")]
 
 
-def score_below_overall(rolled: DataFrame, sets: SegmentSets, min_n: int = 30) -> DataFrame:
-    """Segments with ``review_count >= min_n`` whose rounded score is below the rounded overall.
-
-    ``rolled`` is a rollup with ``s10``; the overall comes from its own per-type sums
-    (``with_overall``). The comparison uses the rounded scores, as the gap and the impact do.
-    """
-    segments = with_overall(rolled.where(F.col("segment_type") != TOTAL))
-    scored = segments.where((F.col("review_count") >= min_n) & (F.col("s10") < F.col("overall10")))
-    return scored.withColumns({
+def with_impact(rolled: DataFrame, cells: DataFrame, sets: SegmentSets) -> DataFrame:
+    """Every segment of a rollup (with ``s10``) of the ``cells`` with its label, the overall score and its impact."""
+    return with_overall(rolled, cells).withColumns({
         "segment_label": segment_value([s for s in sets if s[1]]),
         "negative_impact_score": negative_impact("s10", "overall10", "review_count", "total_reviews"),
     })
 
 
+def score_below_overall(rolled: DataFrame, cells: DataFrame, sets: SegmentSets, min_n: int = 30) -> DataFrame:
+    """Segments with ``review_count >= min_n`` whose rounded score is below the rounded overall.
+
+    The comparison uses the rounded scores, as the gap and the impact do.
+    """
+    return with_impact(rolled, cells, sets).where((F.col("review_count") >= min_n) & (F.col("s10") < F.col("overall10")))
+
+
 def rank_top(scored: DataFrame, top: int = 15) -> DataFrame:
     """The ``top`` highest-impact segments with their dense rank (ties share a rank).
 
@@ -52,7 +51,6 @@ def rank_top(scored: DataFrame, top: int = 15) -> DataFrame:
                            F.dense_rank().over(Window.orderBy(F.desc("negative_impact_score"))))
 
 
-@cached_expression
 def driver_columns() -> list:
     s10, o10 = F.col("s10"), F.col("overall10")
     return [
@@ -64,14 +62,14 @@ def driver_columns() -> list:
 
 
 def coverage(labelled_cells: DataFrame, top_segments: DataFrame, sets: SegmentSets,
-             dims: Sequence[str]) -> DataFrame:
+             dims: Sequence[str], top: int = 100) -> DataFrame:
     """Share of reviews and detractors inside the union of ``top_segments`` (X3): one row.
 
     A review is covered when its cell matches any of the segments; overlapping segments count it
     once. Each labelled cell is expanded into its key under every grouping set (a handful of rows per
     cell), semi-joined with the top segments on (type, keys) with NULL-safe equality, and the covered
-    cells are de-duplicated before summing. ``top_segments`` is the output of a LIMIT, so its size is
-    bounded by construction and it is broadcast. ``labelled_cells`` must have unique label keys.
+    cells are de-duplicated before summing. At most ``top`` segments are taken, so what is broadcast is
+    bounded here. ``labelled_cells`` must have unique label keys.
     Covered and total counts are summed in one aggregate over both row sets.
     """
     cell_cols = [f"cell_{d}" for d in dims]
@@ -85,7 +83,7 @@ def coverage(labelled_cells: DataFrame, top_segments: DataFrame, sets: SegmentSe
     expanded = keyed.select("*", F.explode(variants).alias("k")).select(
         *cell_cols, "review_count", "detractors", "k.*")
     keys = ["segment_type", *dims]
-    targets = F.broadcast(top_segments.select(*keys))
+    targets = F.broadcast(top_segments.select(*keys).limit(top))
     cond = [expanded[k].eqNullSafe(targets[k]) for k in keys]
     covered = (expanded.join(targets, cond, "left_semi")
                .select(*cell_cols, "review_count", "detractors").distinct()
@@ -99,56 +97,3 @@ def coverage(labelled_cells: DataFrame, top_segments: DataFrame, sets: SegmentSe
         F.coalesce(F.sum(F.when(cov, d)), zero).cast("long").alias("detractors_covered"),
         F.coalesce(F.sum(F.when(~cov, d)), zero).cast("long").alias("total_detractors"),
     )
-
-
-# Fixed values of this module's own encoding: the internal type of cell-level rollup rows and the
-# separator / NULL marker of segment keys (control characters that labels do not contain).
-CELL_TYPE = "__cell__"
-KEY_SEPARATOR = "\u0001"
-KEY_NULL = "\u0000"
-
-
-def _segment_key(segment_type: Column, values: Sequence[Column]) -> Column:
-    return F.concat_ws(KEY_SEPARATOR, segment_type, *(F.coalesce(v, F.lit(KEY_NULL)) for v in values))
-
-
-def top_coverage(cells: DataFrame, labels: Mapping[str, Column], sets: SegmentSets, top: int = 3,
-                 min_n: int = 30) -> DataFrame:
-    """Coverage of the ``top`` driver segments (X3) in a single lineage over the cells: one row.
-
-    One GROUPING SETS pass produces the segment rows and, as one more set, the labelled cells
-    themselves. Segments are scored and ranked with windows over those rows (bounded by the
-    dimension domains); the keys of the ``top`` segments are gathered with one window
-    ``collect_set``; a cell is covered when any of its keys under the driver sets is among them, so
-    overlapping segments count each review once. The scan and the join run once, whatever the join
-    strategy (two branches over the cells would each plan their own join when it is a broadcast).
-    """
-    dims = list(labels)
-    frozen = tuple((name, tuple(d)) for name, d in sets if d)
-    rolled = rollup(cells, labels, (*frozen, (CELL_TYPE, tuple(dims)))).withColumns(score_columns())
-    scored = with_overall(rolled)
-    is_cell = F.col("segment_type") == CELL_TYPE
-    eligible = (~is_cell & (F.col("review_count") >= min_n) & (F.col("s10") < F.col("overall10")))
-    ranked = scored.withColumns({
-        "_eligible": eligible,
-        "negative_impact_score": negative_impact("s10", "overall10", "review_count", "total_reviews"),
-        "segment_label": segment_value(frozen),
-    }).withColumn("_rn", F.row_number().over(Window.orderBy(
-        F.desc("_eligible"), *rank_order())))
-    key = _segment_key(F.col("segment_type"), [F.col(d) for d in dims])
-    whole = Window.partitionBy(F.lit(0))
-    with_top = ranked.withColumn(
-        "_top_keys", F.collect_set(F.when(F.col("_eligible") & (F.col("_rn") <= top), key)).over(whole))
-    projections = F.array(*(
-        _segment_key(F.lit(name), [F.col(d) if d in set_dims else F.lit(None).cast("string")
-                                   for d in dims])
-        for name, set_dims in frozen))
-    cells_only = with_top.where(is_cell).withColumn(
-        "_covered", F.arrays_overlap(projections, F.col("_top_keys")))
-    cov, n, d, zero = F.col("_covered"), F.col("review_count"), F.col("detractors"), F.lit(0)
-    return cells_only.agg(
-        F.coalesce(F.sum(F.when(cov, n)), zero).cast("long").alias("reviews_covered"),
-        F.coalesce(F.sum(n), zero).cast("long").alias("total_reviews"),
-        F.coalesce(F.sum(F.when(cov, d)), zero).cast("long").alias("detractors_covered"),
-        F.coalesce(F.sum(d), zero).cast("long").alias("total_detractors"),
-    )

@@ -31,46 +31,18 @@ def tag_reviews(reviews: DataFrame, strict: bool = True) -> DataFrame:
 
 def tag_with_users(reviews: DataFrame, users: DataFrame, strict: bool = False,
                    review_columns: tuple[str, ...] = ("review_id", "category", "rating"),
-                   broadcast_users: bool | None = None) -> DataFrame:
+                   user_columns: tuple[str, ...] = ()) -> DataFrame:
     """Rated reviews LEFT JOIN user attributes on ``user_id``, with tier and age code.
 
-    Reviews without a matching user keep NULL attributes; users without reviews are dropped.
-
-    ``broadcast_users=None`` leaves the strategy to Spark: a broadcast when the static size estimate
-    is under the threshold, else a shuffle join that AQE turns into a broadcast once the user side's
-    real size is known, and whose skewed partitions (a hot user, or the NULL ids of anonymous
-    reviews) AQE splits into several tasks. ``broadcast_users=True`` measures the user side first
-    (``fits_broadcast``, one job over the dimension) and broadcasts it only if it fits, so the
-    reviews are never shuffled; worth it when reviews are huge and users few. ``False`` never hints.
-    A duplicated ``user_id`` in ``users`` fans the join out; ``input_checks`` reports it.
+    Reviews without a matching user keep NULL attributes; users without reviews are dropped. The
+    strategy is left to Spark: a broadcast when its size estimate is under the threshold, else a
+    shuffle join that AQE turns into a broadcast once the user side's real size is known, and whose
+    skewed partitions (a hot user, or the NULL ids of anonymous reviews) AQE splits into several tasks.
+    ``user_columns`` are further user attributes to keep. A duplicated ``user_id`` in ``users`` fans the
+    join out; ``input_checks`` reports it.
     """
     left = valid_ratings(reviews, strict=strict).select("user_id", *review_columns)
-    right = users.select("user_id", *USER_DIMENSIONS)
-    if broadcast_users and fits_broadcast(right):
-        right = F.broadcast(right)
+    right = users.select("user_id", *USER_DIMENSIONS, *user_columns)
     return (left.join(right, "user_id", "left")
             .withColumns({"nps_tier": nps_tier("rating", strict=strict),
                           "age_code": age_code("account_age_days")}))
-
-
-# Per-value byte widths Spark uses for its own size estimates.
-_TYPE_BYTES = {"long": 8, "bigint": 8, "int": 4, "integer": 4, "double": 8, "date": 4,
-               "timestamp": 8, "boolean": 1, "string": 20}
-
-
-def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
-    """Measured size check for a join side: row count x row width <= the broadcast threshold.
-
-    The count of a parquet table is answered from file footers; a derived dimension costs one job
-    over the dimension only. ``limit`` defaults to ``spark.sql.autoBroadcastJoinThreshold``
-    (a negative threshold disables broadcasting).
-    """
-    if limit is None:
-        limit = int(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-                    .rstrip("bB"))
-    if limit <= 0:
-        return False
-    width = 8 + sum(_TYPE_BYTES.get(f.dataType.simpleString(), 32) for f in df.schema.fields)
-    max_rows = limit // width
-    # Count at most one row past the limit: a huge side stops being counted early.
-    return df.limit(max_rows + 1).count() <= max_rows

@@ -7,20 +7,16 @@ base cells -> one GROUPING SETS pass -> a few hundred rows of scoring.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loyalscope.functions.buckets import age_label, or_unknown
 from loyalscope.functions.measures import avg_star, nps_score, pct, score_columns
 from loyalscope.functions.tiers import sum_count_aggs, tier_count_aggs
-from loyalscope.functions.util import cached_expression
 from loyalscope.operators.benchmark import benchmark_columns, peer_benchmark
-from loyalscope.operators.cells import (
-    review_cells,
-    rollup,
-    segment_value,
-    union_segments,
-)
+from loyalscope.operators.cells import CELL_KEYS, review_cells, rollup, segment_value
 from loyalscope.operators.drivers import driver_columns, rank_order, rank_top, score_below_overall
 from loyalscope.operators.tagging import tag_reviews, tag_with_users
 from loyalscope.operators.trend import monthly_counts, monthly_trend
@@ -32,11 +28,11 @@ AGE = "account_age"
 CATEGORY = "category"
 DEVICE_X_AGE = "device × age"
 
+DIMS = (DEVICE, REGION, AGE, CATEGORY)
 SINGLE_SETS = ((DEVICE, ("device_type",)), (REGION, ("region",)),
                (AGE, ("age_bucket",)), (CATEGORY, ("category",)))
 
 
-@cached_expression
 def labels(device_null: str = "keep", age_labels: str = "long", age_null: str = "veteran") -> dict:
     """Label expressions over cell keys.
 
@@ -69,21 +65,31 @@ def overall_nps(reviews: DataFrame) -> DataFrame:
 
 # ---- Q2 ---------------------------------------------------------------------------------------
 
-def segment_nps(reviews: DataFrame, users: DataFrame) -> DataFrame:
-    """Q2: NPS per value of device, region, age bucket and category, stacked.
+def segment_nps(reviews: DataFrame, users: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
+    """Q2: NPS per value of every dimension in ``dims``, stacked.
 
-    NULL values are grouped as NULL and labelled ``'unknown'`` afterwards, so a literal ``'unknown'``
-    and a NULL give two rows with the same label. A NULL age is a veteran here.
+    ``dims`` are ``device_type``, ``region``, ``account_age`` (buckets of ``account_age_days``),
+    ``category`` and any other column of the users or the reviews (a name that both have is the
+    users'). NULL values are grouped as NULL and labelled ``'unknown'`` afterwards, so a literal
+    ``'unknown'`` and a NULL give two rows with the same label. A NULL age is a veteran here.
     """
-    return segment_nps_from_cells(review_cells(reviews, users))
-
-
-def segment_nps_from_cells(cells: DataFrame) -> DataFrame:
-    """Q2 from precomputed base cells (``review_cells``, or a stored or streamed cell table)."""
-    rolled = rollup(cells, labels(), SINGLE_SETS)
+    user_keys = [d for d in dims if d not in (*DIMS, *CELL_KEYS) and d in users.columns]
+    extra_keys = [d for d in dims if d not in (*DIMS, *CELL_KEYS, *user_keys)]
+    missing = [d for d in extra_keys if d not in reviews.columns]
+    if missing:
+        raise ValueError(f"no such dimension: {', '.join(missing)}")
+    return segment_nps_from_cells(review_cells(reviews, users, extra_keys=extra_keys, user_keys=user_keys), dims)
+
+
+def segment_nps_from_cells(cells: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
+    """Q2 from precomputed base cells (``review_cells``, or a stored cell table)."""
+    known = labels()
+    by_name = {d: known["age_bucket"] if d == AGE else known.get(d, F.col(d).cast("string")) for d in dims}
+    sets = tuple((d, (d,)) for d in dims)
+    rolled = rollup(cells, by_name, sets)
     return (rolled.select(
         "segment_type",
-        F.coalesce(segment_value(SINGLE_SETS), F.lit("unknown")).alias("segment_value"),
+        F.coalesce(segment_value(sets), F.lit("unknown")).alias("segment_value"),
         "review_count", "promoters", "passives", "detractors",
         nps_score("promoters", "detractors", "review_count").alias("nps_score"))
         .orderBy("segment_type", "nps_score", F.asc_nulls_first("segment_value")))
@@ -91,11 +97,11 @@ def segment_nps_from_cells(cells: DataFrame) -> DataFrame:
 
 # ---- Q3 ---------------------------------------------------------------------------------------
 
-def monthly_nps_trend(reviews: DataFrame, rolling: int = 3, threshold: float = 2.0) -> DataFrame:
+def monthly_nps_trend(reviews: DataFrame, rolling: int = 3, threshold: float = 2.0, lag: int = 1) -> DataFrame:
     """Q3: one row per month with lag, deltas, rolling and cumulative means, rank and direction."""
     # The trend windows have no partition keys, so their output is one partition already: sorting
     # within it orders the result without another exchange.
-    return monthly_trend(monthly_counts(reviews), rolling=rolling, threshold=threshold) \
+    return monthly_trend(monthly_counts(reviews), rolling=rolling, threshold=threshold, lag=lag) \
         .sortWithinPartitions("review_month")
 
 
@@ -141,7 +147,7 @@ def segment_benchmark(reviews: DataFrame, users: DataFrame, min_n: int = 20) ->
 def segment_benchmark_from_cells(cells: DataFrame, min_n: int = 20) -> DataFrame:
     rolled = rollup(cells, labels(device_null="unknown", age_labels="short"), SINGLE_SETS) \
         .withColumns(score_columns())
-    bench = peer_benchmark(rolled, min_n=min_n)
+    bench = peer_benchmark(rolled, cells, min_n=min_n)
     return (bench.select(
         "segment_type", segment_value(SINGLE_SETS).alias("segment_value"),
         "review_count", "nps_score", "detractor_pct", *benchmark_columns())
@@ -153,33 +159,21 @@ def segment_benchmark_from_cells(cells: DataFrame, min_n: int = 20) -> DataFrame
 DRIVER_SETS = (*SINGLE_SETS, (DEVICE_X_AGE, ("device_type", "age_bucket")))
 
 
-def driver_segments(reviews: DataFrame, users: DataFrame, min_n: int = 30,
-                    sets=DRIVER_SETS, strategy: str = "cells") -> DataFrame:
-    """Q6 before the cut: every segment with ``n >= min_n`` below the overall score, with its impact.
+def driver_segments_from_cells(cells: DataFrame, min_n: int = 30, sets=DRIVER_SETS) -> DataFrame:
+    """Q6 before the cut: every segment with ``n >= min_n`` below the overall score, with its impact."""
+    return score_below_overall(driver_rollup(cells, sets), cells, sets, min_n=min_n)
 
-    ``strategy='cells'`` re-aggregates the base cells; ``'union'`` is the literal plan with one
-    aggregate per segment type over the joined rows (kept for measurement and cross-checks).
-    """
-    lab = labels(device_null="unknown", age_null="unknown")
-    if strategy == "cells":
-        rolled = rollup(review_cells(reviews, users), lab, sets)
-    elif strategy == "union":
-        tagged = tag_with_users(reviews, users)
-        rolled = union_segments(tagged, lab, sets, tier_count_aggs())
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    return score_below_overall(rolled.withColumns(score_columns()), sets, min_n=min_n)
-
-
-def negative_drivers(reviews: DataFrame, users: DataFrame, min_n: int = 30, top: int = 15,
-                     strategy: str = "cells") -> DataFrame:
+
+def driver_rollup(cells: DataFrame, sets=DRIVER_SETS) -> DataFrame:
+    """The segments under Q6's labels (NULL dimensions and ages are ``'unknown'``) with their scores."""
+    return rollup(cells, labels(device_null="unknown", age_null="unknown"), sets).withColumns(score_columns())
+
+
+def negative_drivers(reviews: DataFrame, users: DataFrame, min_n: int = 30, top: int = 15) -> DataFrame:
     """Q6: the ``top`` segments that pull the overall score down most, by volume x gap."""
-    scored = driver_segments(reviews, users, min_n=min_n, strategy=strategy)
-    return rank_top(scored, top=top).select(*driver_columns()).sortWithinPartitions(*rank_order())
+    return negative_drivers_from_cells(review_cells(reviews, users), min_n=min_n, top=top)
 
 
 def negative_drivers_from_cells(cells: DataFrame, min_n: int = 30, top: int = 15) -> DataFrame:
-    lab = labels(device_null="unknown", age_null="unknown")
-    rolled = rollup(cells, lab, DRIVER_SETS).withColumns(score_columns())
-    scored = score_below_overall(rolled, DRIVER_SETS, min_n=min_n)
+    scored = driver_segments_from_cells(cells, min_n=min_n)
     return rank_top(scored, top=top).select(*driver_columns()).sortWithinPartitions(*rank_order())

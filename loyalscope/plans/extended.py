@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loyalscope.functions.measures import nps_band, nps_score, pct, tenths_to_score
+from loyalscope.functions.measures import exact_ratio, nps_band, nps_score, pct, score_columns, tenths_to_score
 from loyalscope.functions.tiers import nps_tier, sum_count_aggs, tier_count_aggs
 from loyalscope.operators import checks, recovery, text, trend
+from loyalscope.operators.benchmark import with_peers
 from loyalscope.operators.cells import TOTAL, review_cells, rollup, segment_value
-from loyalscope.operators.drivers import top_coverage
+from loyalscope.operators.drivers import coverage, rank_order, with_impact
 from loyalscope.operators.tagging import valid_ratings
 from loyalscope.plans.core import (
     DRIVER_SETS,
     SINGLE_SETS,
-    driver_segments,
+    driver_rollup,
+    driver_segments_from_cells,
     labels,
-    segment_benchmark,
 )
+from loyalscope.session import stored
 from loyalscope.sources.sentiment import adapt_sentiment_reviews
 
 # Name of the three-way segment type and label of the grand-total row.
@@ -50,22 +52,30 @@ def device_region_nps(reviews: DataFrame, users: DataFrame) -> DataFrame:
         nps_score(p, d, n).alias("nps_score"), pct(d, n).alias("detractor_pct"))
 
 
-def three_way_nps(reviews: DataFrame, users: DataFrame, min_n: int = 30) -> DataFrame:
-    """Device x region x age bucket below the overall score, with gap and impact."""
+def three_way_nps(reviews: DataFrame, users: DataFrame) -> DataFrame:
+    """Every device x region x age bucket combination with its gap to the overall score and its
+    impact (0 at or above it). Which of them are worst is the caller's ``orderBy``."""
+    cells = review_cells(reviews, users)
     sets = ((DEVICE_X_REGION_X_AGE, ("device_type", "region", "age_bucket")),)
-    scored = driver_segments(reviews, users, min_n=min_n, sets=sets)
-    s10, o10 = F.col("s10"), F.col("overall10")
+    scored = with_impact(driver_rollup(cells, sets), cells, sets)
     return scored.select(
         "device_type", "region", "age_bucket", "review_count", "nps_score",
-        tenths_to_score(s10 - o10).alias("gap_vs_overall"), "detractor_pct",
+        tenths_to_score(F.col("s10") - F.col("overall10")).alias("gap_vs_overall"), "detractor_pct",
         "negative_impact_score")
 
 
 def driver_coverage(reviews: DataFrame, users: DataFrame, top: int = 3, min_n: int = 30) -> DataFrame:
-    """Share of all reviews and of all detractors inside the union of the top drivers."""
-    cov = top_coverage(review_cells(reviews, users), labels(device_null="unknown", age_null="unknown"),
-                       DRIVER_SETS, top=top, min_n=min_n)
-    return cov.select(
+    """Share of all reviews and of all detractors inside the union of the top drivers.
+
+    The segments and the cells they cover are two readings of the same cells, so the cells are written
+    once first (eager: the scan and the join run now, and once).
+    """
+    cells = stored(review_cells(reviews, users), "coverage-cells")
+    lab = labels(device_null="unknown", age_null="unknown")
+    labelled = (cells.select(*(e.alias(k) for k, e in lab.items()), "review_count", "promoters", "passives",
+                             "detractors", "rating_sum").groupBy(*lab).agg(*sum_count_aggs()))
+    best = driver_segments_from_cells(cells, min_n=min_n).orderBy(*rank_order()).limit(top)
+    return coverage(labelled, best, DRIVER_SETS, list(lab), top=top).select(
         F.lit(top).alias("top_k"),
         "reviews_covered", "total_reviews",
         pct("reviews_covered", "total_reviews").alias("review_share_pct"),
@@ -101,8 +111,15 @@ def sentiment_category_nps(sentiment_reviews: DataFrame, apps: DataFrame) -> Dat
 
 
 def peer_gap_all(reviews: DataFrame, users: DataFrame) -> DataFrame:
-    """The peer benchmark without a sample-size filter."""
-    return segment_benchmark(reviews, users, min_n=0)
+    """Every segment's score less the unrounded mean score of its type, without a sample-size filter.
+
+    The gap is an exact quotient of integers; nine decimals only drop the noise of binary fractions.
+    """
+    rolled = rollup(review_cells(reviews, users), labels(device_null="unknown", age_labels="short"), SINGLE_SETS).withColumns(score_columns())
+    bench = with_peers(rolled)
+    gap = exact_ratio(F.col("peer_n") * F.col("s10") - F.col("peer_sum"), F.col("peer_n") * 10, 9)
+    return bench.select("segment_type", segment_value(SINGLE_SETS).alias("segment_value"), "review_count", "nps_score",
+                        gap.alias("vs_segment_avg"))
 
 
 def trend_endpoints(reviews: DataFrame) -> DataFrame:
@@ -115,9 +132,9 @@ def monthly_nps_interval(reviews: DataFrame, z: float = trend.Z_95) -> DataFrame
     return trend.monthly_interval(trend.monthly_counts(reviews), z=z).orderBy("review_month")
 
 
-def detractor_words(documents: DataFrame, labels_df: DataFrame, min_docs: int = 3) -> DataFrame:
-    """Words in detractor texts against all labelled texts."""
-    return text.detractor_words(documents, labels_df, min_docs=min_docs)
+def detractor_words(documents: DataFrame, labels_df: DataFrame) -> DataFrame:
+    """Every word of detractor texts against all labelled texts."""
+    return text.detractor_words(documents, labels_df)
 
 
 def recovery_transitions(reviews: DataFrame) -> DataFrame:

@@ -163,6 +163,18 @@ ORACLES["segment_nps"] = f"""{_q2_segments()}
 SELECT segment_type, segment_value, n AS review_count, p AS promoters, q AS passives,
   d AS detractors, {SCORE} AS nps_score FROM segs"""
 
+ORACLES["parquet_segment_nps"] = ORACLES["segment_nps"]
+
+ORACLES["segment_nps_free_dims"] = f"""{PREFIX},
+t AS (SELECT r.app_name, u.nation, r.rating, {LAX.replace('rating', 'r.rating')} AS nps_tier,
+  {age_case(col='u.account_age_days')} AS age_bucket
+  FROM reviews r LEFT JOIN user_attributes u ON r.user_id = u.user_id WHERE r.rating IS NOT NULL),
+segs AS ({stacked("t", [("app_name", "COALESCE(app_name, 'unknown')", "app_name"),
+                        ("nation", "COALESCE(nation, 'unknown')", "nation"),
+                        ("account_age", "age_bucket", "age_bucket")])})
+SELECT segment_type, segment_value, n AS review_count, p AS promoters, q AS passives,
+  d AS detractors, {SCORE} AS nps_score FROM segs"""
+
 ORACLES["monthly_trend"] = f"""{_monthly()},
 w AS (SELECT *,
   LAG(s10) OVER (ORDER BY review_month) AS prev10,
@@ -182,6 +194,8 @@ SELECT review_month, n AS total_reviews, p AS promoters, q AS passives, d AS det
        WHEN s10 < prev10 - 20 THEN 'declining' ELSE 'stable' END AS trend_direction
 FROM w"""
 
+ORACLES["csv_monthly_trend"] = ORACLES["monthly_trend"]
+
 ORACLES["device_age_nps"] = f"""{PREFIX}, {TAGGED},
 g AS (SELECT device_type, age_bucket, {COUNTS}
       FROM (SELECT *, {age_case('short')} AS age_bucket FROM tagged) GROUP BY device_type, age_bucket)
@@ -204,14 +218,21 @@ SELECT '{_label}' AS approach, device_type, n AS total, p AS promoters, q AS pas
   d AS detractors, {SCORE} AS nps_score FROM g"""
 
 ORACLES["segment_benchmark"] = _benchmark(20)
-ORACLES["peer_gap_all"] = _benchmark(0)
+
+# The documented benchmark formula: a segment's score less the plain mean score of its type.
+ORACLES["peer_gap_all"] = f"""{PREFIX}, {TAGGED}, {T5},
+nps_by_segment AS (SELECT segment_type, segment_value, n AS review_count, {SCORE} AS nps_score FROM (
+  {stacked("t5", [("device_type", "dev", "dev"), ("region", "reg", "reg"), ("account_age", "age", "age"),
+                  ("category", "category", "category")])}))
+SELECT segment_type, segment_value, review_count, nps_score, ROUND(nps_score - (
+  SELECT AVG(nps_score) FROM nps_by_segment b WHERE b.segment_type = a.segment_type), 9) + 0.0 AS vs_segment_avg
+FROM nps_by_segment a"""
 
 ORACLES["negative_drivers"] = f"""{_drivers_ranked()}
 SELECT impact_rank, segment_type, segment_label, n AS review_count, {SCORE} AS nps_score,
   {ratio('o10', '10', 1)} AS overall_nps, {ratio('s10 - o10', '10', 1)} AS gap_vs_overall,
   {ratio('100 * d', 'n', 1)} AS detractor_pct, impact AS negative_impact_score
 FROM ranked {ORDER_RANKED} LIMIT 15"""
-ORACLES["negative_drivers_union"] = ORACLES["negative_drivers"]
 
 ORACLES["segment_rollup"] = f"""{_q2_segments(with_total=True)}
 SELECT segment_type, segment_value, n AS review_count, p AS promoters, q AS passives,
@@ -238,7 +259,7 @@ s AS (SELECT g.*, {S10} AS s10, (SELECT o10 FROM ov) AS o10, (SELECT total FROM
 SELECT dev AS device_type, reg AS region, age AS age_bucket, n AS review_count, {SCORE} AS nps_score,
   {ratio('s10 - o10', '10', 1)} AS gap_vs_overall, {ratio('100 * d', 'n', 1)} AS detractor_pct,
   {ratio('ABS(LEAST(s10 - o10, 0)) * n', '10 * total', 2)} AS negative_impact_score
-FROM s WHERE n >= 30 AND s10 < o10"""
+FROM s"""
 
 ORACLES["driver_coverage"] = f"""{_drivers_ranked()},
 top AS (SELECT * FROM ranked {ORDER_RANKED} LIMIT 3),
@@ -297,7 +318,7 @@ pw AS (SELECT word, COUNT(*) AS docs, COUNT(*) FILTER (WHERE is_det) AS det
 """ + f"""SELECT word, det AS detractor_docs, docs - det AS other_docs,
   {ratio('100 * det', 'docs', 1)} AS detractor_doc_pct,
   {ratio('det * (SELECT docs FROM tot)', 'docs * (SELECT det FROM tot)', 2)} AS lift
-FROM pw WHERE docs >= 3"""
+FROM pw"""
 
 ORACLES["recovery_transitions"] = f"""{PREFIX},
 seq AS (SELECT user_id, review_date, review_id, {TIER_CODE} AS tier FROM reviews

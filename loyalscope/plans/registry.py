@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from loyalscope.functions.buckets import age_bucket, or_unknown
 from loyalscope.operators.tagging import tag_reviews, tag_with_users
 from loyalscope.plans import core, extended
+from loyalscope.session import new_folder
 from loyalscope.sources import fixtures as fx
+from loyalscope.sources.readers import read_reviews, read_user_attributes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,18 +46,41 @@ def tagged_with_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def csv_monthly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviews as a CSV file with text dates, some of them impossible, through the reader."""
+    rows = fx.reviews_view(spark, sf_dir).withColumn("review_date", F.expr(fx.TEXT_DATE))
+    path = new_folder(spark, "reviews-csv")
+    rows.write.option("header", "true").csv(path)
+    return core.monthly_nps_trend(read_reviews(spark, path, fmt="csv"))
+
+
+def parquet_segment_nps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables as Parquet files with text dates and text ids, through the readers."""
+    reviews, users = _ru(spark, sf_dir)
+    text_id = F.col("user_id").cast("string")
+    folders = [new_folder(spark, name) for name in ("reviews-parquet", "users-parquet")]
+    reviews.withColumns({"review_date": F.expr(fx.TEXT_DATE), "user_id": text_id}).write.parquet(folders[0])
+    users.withColumn("user_id", text_id).write.parquet(folders[1])
+    return core.segment_nps(read_reviews(spark, folders[0], text_dates=True), read_user_attributes(spark, folders[1]))
+
+
+#: A review column, a user column and a bucket.
+FREE_DIMS = ("app_name", "nation", "account_age")
+
 QUERIES: dict[str, Query] = {
     "overall_nps": lambda s, d: core.overall_nps(fx.reviews_view(s, d)),
     "tagged_reviews": tagged_reviews,
     "tagged_with_users": tagged_with_users,
     "segment_nps": lambda s, d: core.segment_nps(*_ru(s, d)),
+    "segment_nps_free_dims": lambda s, d: core.segment_nps(*_ru(s, d), dims=FREE_DIMS),
+    "csv_monthly_trend": csv_monthly_trend,
+    "parquet_segment_nps": parquet_segment_nps,
     "monthly_trend": lambda s, d: core.monthly_nps_trend(fx.reviews_view(s, d)),
     "device_age_nps": lambda s, d: core.device_age_nps(*_ru(s, d)),
     "tier_counts_case": lambda s, d: core.tier_counts_by_device(*_ru(s, d), style="case"),
     "tier_counts_filter": lambda s, d: core.tier_counts_by_device(*_ru(s, d), style="filter"),
     "segment_benchmark": lambda s, d: core.segment_benchmark(*_ru(s, d)),
     "negative_drivers": lambda s, d: core.negative_drivers(*_ru(s, d)),
-    "negative_drivers_union": lambda s, d: core.negative_drivers(*_ru(s, d), strategy="union"),
     "segment_rollup": lambda s, d: extended.segment_rollup(*_ru(s, d)),
     "device_region_nps": lambda s, d: extended.device_region_nps(*_ru(s, d)),
     "three_way_nps": lambda s, d: extended.three_way_nps(*_ru(s, d)),

@@ -13,8 +13,6 @@ write the checkpoint files.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +22,7 @@ from loyalscope.functions.tiers import COUNT_COLUMNS, MAX_STARS, MIN_STARS, sum_
 from loyalscope.operators.cells import CELL_KEYS, review_cells
 from loyalscope.operators.trend import monthly_trend
 from loyalscope.plans import core
-from loyalscope.session import ensure_checkpoint_dir
+from loyalscope.session import stored
 
 REPORT_KEYS = ("month_start", "in_range")
 
@@ -59,20 +57,17 @@ def monthly_from_cells(cells: DataFrame) -> DataFrame:
     return monthly_trend(monthly).sortWithinPartitions("review_month")
 
 
-def write_cells(cells: DataFrame) -> DataFrame:
-    """Write the cells once under the shared checkpoint folder and read them back (one job)."""
-    spark = cells.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/loyalscope-report-cells/{uuid.uuid4().hex}"
-    cells.write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def nps_report(reviews: DataFrame, users: DataFrame, materialize: bool = True) -> dict[str, DataFrame]:
-    """Q1-Q6 from one pass. ``materialize`` writes the cells first (eager: runs the pass now)."""
+def nps_report(reviews: DataFrame, users: DataFrame, materialize: bool = True,
+               path: str | None = None) -> dict[str, DataFrame]:
+    """Q1-Q6 from one pass. ``materialize`` writes the cells first (eager: runs the pass now), and from them
+    the segment cells that four reports share, so each is aggregated once. The tables lie under ``path``
+    and stay there, or in the checkpoint folder until the session ends."""
     cells = report_cells(reviews, users)
     if materialize:
-        cells = write_cells(cells)
+        cells = stored(cells, "report-cells", path and f"{path.rstrip('/')}/report_cells")
     segment_cells = _counts_by(cells, *CELL_KEYS)
+    if materialize:
+        segment_cells = stored(segment_cells, "segment-cells", path and f"{path.rstrip('/')}/segment_cells")
     return {
         "overall_nps": overall_from_cells(cells),
         "segment_nps": core.segment_nps_from_cells(segment_cells),

@@ -259,21 +259,14 @@ def test_unparseable_csv_rows_are_counted(spark, tmp_path):
     assert checks["unparseable_row"] == 1 and checks["null_rating"] == 1
 
 
-def test_fits_broadcast_measures_rows(spark):
-    from loyalscope.operators.tagging import fits_broadcast
-    small = spark.range(100).withColumn("s", F.lit("x"))
-    assert fits_broadcast(small, limit=100 * 36)
-    assert not fits_broadcast(small, limit=99 * 36)
-    assert not fits_broadcast(small, limit=-1)
-
-
 def test_user_attributes_csv_is_typed(spark, tmp_path):
     from loyalscope.sources.readers import read_user_attributes
     path = tmp_path / "users.csv"
     path.write_text("user_id,device_type,region,account_age_days\n"
                     "user_00042,iOS,North America,31\nuser_00043,Android budget,,\n")
     users = read_user_attributes(spark, str(path), fmt="csv")
-    assert [f.dataType.simpleString() for f in users.schema.fields] == ["string", "string", "string", "int"]
+    assert [f.dataType.simpleString() for f in users.schema.fields[:4]] == ["string", "string", "string", "int"]
+    assert users.columns[4:] == ["_corrupt_record"]
     got = rows_of(users, "user_id", "region", "account_age_days")
     assert got == [("user_00042", "North America", 31), ("user_00043", None, None)]
 

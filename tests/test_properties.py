@@ -10,12 +10,14 @@ from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from loyalscope.functions.tiers import tier_count_aggs
 from loyalscope.operators.cells import review_cells, rollup
-from loyalscope.operators.drivers import coverage
+from loyalscope.operators.drivers import coverage, rank_order
 from loyalscope.operators.recovery import recovery_transitions
+from loyalscope.operators.tagging import tag_with_users
 from loyalscope.plans import core, extended
 from loyalscope.sources.sentiment import adapt_sentiment_reviews
-from tests.conftest import make_reviews, make_users, rows_of
+from tests.conftest import _key, make_reviews, make_users, rows_of
 
 DEVICES = [None, "iOS", "Android", "unknown"]
 REGIONS = [None, "EU", "NA"]
@@ -78,10 +80,16 @@ def test_filter_equals_case_and_cells_equal_union(spark, reviews, users):
     c = rows_of(core.tier_counts_by_device(rv, us, "case").drop("approach"),
                 "device_type", "total", "promoters", "passives", "detractors", "nps_score")
     assert f == c
-    cols = ("segment_type", "segment_label", "review_count", "s10", "negative_impact_score")
-    a = rows_of(core.driver_segments(rv, us, min_n=0, strategy="cells"), *cols)
-    b = rows_of(core.driver_segments(rv, us, min_n=0, strategy="union"), *cols)
-    assert a == b
+    cells = review_cells(rv, us)
+    rolled = core.driver_rollup(cells)
+    tagged = tag_with_users(rv, us)
+    lab = core.labels(device_null="unknown", age_null="unknown")
+    named = tagged.select(*(e.alias(k) for k, e in lab.items()), "nps_tier", "rating")
+    union = []
+    for kind, dims in core.DRIVER_SETS:       # the literal form: one aggregate per segment type
+        union += [(kind, *(r[d] if d in dims else None for d in lab), r.review_count, r.promoters, r.detractors)
+                  for r in named.groupBy(*dims).agg(*tier_count_aggs()).collect()]
+    assert rows_of(rolled, "segment_type", *lab, "review_count", "promoters", "detractors") == sorted(union, key=_key)
 
 
 def test_results_do_not_depend_on_partitioning(spark):
@@ -144,8 +152,8 @@ def _brute_transitions(reviews):
     return out
 
 
-@pytest.mark.parametrize("partitions", [1, 5, 23])
-def test_recovery_matches_brute_force_with_a_hot_user(spark, partitions):
+@pytest.mark.parametrize("partitions, coalesce", [(1, True), (5, True), (5, False), (23, True), (23, False)])
+def test_recovery_matches_brute_force_with_a_hot_user(spark, partitions, coalesce):
     import datetime as dt
     rnd = random.Random(partitions)
     reviews = []
@@ -153,10 +161,10 @@ def test_recovery_matches_brute_force_with_a_hot_user(spark, partitions):
         user = "hot" if rnd.random() < 0.4 else rnd.choice([f"u{i}" for i in range(40)] + [None])
         date = rnd.choice([None, dt.date(2022, 1, 1) + dt.timedelta(days=rnd.randrange(60))])
         reviews.append((rnd.choice([None, 1, 2, 3, 4, 5, 6]), user, "Tools", date))
-    prev = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions",
-                                           "spark.sql.adaptive.coalescePartitions.enabled")}
+    prev = {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
+            "spark.sql.adaptive.coalescePartitions.enabled": "true"}
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true" if coalesce else "false")
     try:
         got = {(r.from_tier, r.to_tier): r.transitions
                for r in recovery_transitions(make_reviews(spark, reviews)).collect()}
@@ -199,25 +207,18 @@ def test_sentiment_adapter(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_single_lineage_coverage_equals_join_based_coverage(spark, seed):
-    from loyalscope.functions.measures import score_columns
-    from loyalscope.functions.tiers import sum_count_aggs
-    from loyalscope.operators.drivers import rank_top, score_below_overall, top_coverage
+def test_driver_coverage_matches_brute_force(spark, seed):
     rnd = random.Random(seed)
-    reviews = [(rnd.choice([1, 2, 3, 4, 5, 5, 5]), f"u{rnd.randrange(40)}", rnd.choice(CATS))
-               for _ in range(700)]
-    users = [(f"u{i}", rnd.choice(DEVICES), rnd.choice(REGIONS), rnd.choice([None, 5, 60, 200, 900]))
-             for i in range(35)]
+    odd = [*DEVICES, "a\u0001b", "\u0000"]           # labels are open strings
+    reviews = [(rnd.choice([1, 2, 3, 4, 5, 5, 5]), f"u{rnd.randrange(40)}", rnd.choice(CATS)) for _ in range(700)]
+    users = [(f"u{i}", rnd.choice(odd), rnd.choice(REGIONS), rnd.choice([None, 5, 60, 200, 900])) for i in range(35)]
     rv, us = make_reviews(spark, reviews), make_users(spark, users)
-    cells = review_cells(rv, us)
     lab = core.labels(device_null="unknown", age_null="unknown")
-    sets = core.DRIVER_SETS
-    labelled = (cells.select(*(e.alias(k) for k, e in lab.items()), "review_count", "promoters",
-                             "passives", "detractors", "rating_sum")
-                .groupBy(*lab).agg(*sum_count_aggs()))
-    rolled = rollup(cells, lab, sets).withColumns(score_columns())
+    rows = tag_with_users(rv, us).select(*(e.alias(k) for k, e in lab.items()), "nps_tier").collect()
+    dims = dict(core.DRIVER_SETS)
     for top in (1, 3, 8):
-        joined = coverage(labelled, rank_top(score_below_overall(rolled, sets, min_n=10), top=top),
-                          sets, list(lab)).collect()[0]
-        single = top_coverage(cells, lab, sets, top=top, min_n=10).collect()[0]
-        assert tuple(joined) == tuple(single), (seed, top)
+        best = core.driver_segments_from_cells(review_cells(rv, us), min_n=10).orderBy(*rank_order()).limit(top).collect()
+        hit = [r for r in rows if any(all(r[d] == s[d] for d in dims[s.segment_type]) for s in best)]
+        got = extended.driver_coverage(rv, us, top=top, min_n=10).head()
+        assert (got.reviews_covered, got.total_reviews, got.detractors_covered, got.total_detractors) == (
+            len(hit), len(rows), sum(r.nps_tier == "detractor" for r in hit), sum(r.nps_tier == "detractor" for r in rows))

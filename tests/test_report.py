@@ -45,7 +45,7 @@ def test_batch_job_reads_csv_inputs(spark, tmp_path):
         "review_id", "app_name", "category", "rating",
         F.date_format("review_date", "yyyy-MM-dd").alias("review_date"),
         F.col("user_id").cast("string").alias("user_id"))
-    users = fx.user_attributes_view(spark, SF).withColumn("user_id", F.col("user_id").cast("string"))
+    users = fx.user_attributes_view(spark, SF).withColumn("user_id", F.col("user_id").cast("string")).drop("nation")
     reviews.write.option("header", "true").csv(str(tmp_path / "reviews"))
     users.write.option("header", "true").csv(str(tmp_path / "users"))
     run(spark, str(tmp_path / "reviews"), str(tmp_path / "users"), str(tmp_path / "out"), fmt="csv")
