@@ -95,7 +95,7 @@ def _distance(p: str, q: str) -> Column:
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
-                  least_words: int = 50, class_limit: float = 0.25, word_limit: float = 0.55,
+                  least_words: int = 50, class_limit: float = 0.3, word_limit: float = 0.55,
                   class_words: int = 50, word_words: int = 100) -> DataFrame:
     """Base measures, ``base_failed``, the two distances and ``kept`` per row.
 
