@@ -11,7 +11,8 @@
    or more anywhere, merges them into maximal removal intervals and cuts these out.
 
 Blocks hold about ``block_bytes`` of text and buckets about ``bucket_bytes`` of hashes whatever the
-size of the input. A hash is 64 bits: with w distinct windows, w*w/2**65 false matches are expected
+size of the input; blocks times buckets rows travel, so both sizes should grow together with inputs of
+many TB. A hash is 64 bits: with w distinct windows, w*w/2**65 false matches are expected
 (about 1e-3 for 2e8 windows).
 """
 
