@@ -9,7 +9,8 @@
 3. Links to hubs are confirmed on full sets and joined into components.
 4. The rest, exactly: regions whose members are in different components compare those members by
    signature in blocks (several blocks for large regions) and every pair that may be similar enough is
-   confirmed on full sets, first the best ones, then all whose components still differ.
+   confirmed on full sets, first the best ones, then all whose components still differ and whose longer
+   signatures allow it. A pair of similarity 0.8 fails a signature's test with a chance of about 3e-6.
 
 A region, hub or component is never gathered in one task: counts and minima are combined before the
 shuffle, hubs are salted by their number of links, regions split into blocks of ``block`` documents.
@@ -29,8 +30,10 @@ from loyalscope.llm.components import connected_components
 #: Orders, prefix lengths by level, and MinHash values of a signature (orders x first prefix).
 TREES, DEPTHS = 24, (5, 10, 20)
 HASHES = TREES * DEPTHS[0]
-#: Signature values that two sets of the wanted similarity s share at least: s * HASHES less this many deviations.
-DEVIATIONS = 5.0
+#: Values of the longer signature that sorts out the rest before full sets are compared.
+LONG = 1024
+#: Of m values, two sets of similarity s have at least s * m less this many standard deviations in common.
+DEVIATIONS = 4.5
 
 
 def shingle_set(words: list[bytes], width: int, memo) -> np.ndarray:
@@ -46,8 +49,8 @@ def shingle_set(words: list[bytes], width: int, memo) -> np.ndarray:
     return np.unique(acc)
 
 
-def multipliers() -> np.ndarray:
-    return np.random.default_rng(20).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def multipliers(count: int = HASHES, seed: int = 20) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signature(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -81,7 +84,7 @@ def _matrix(column, dtype=np.uint16) -> np.ndarray:
 
 
 def _forest(batches):
-    """(id, keys at every depth) for each order."""
+    """(id, order, keys at every depth) for each order."""
     for batch in batches:
         ids, sig = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)).astype(np.uint64)
         if not len(ids):
@@ -92,7 +95,8 @@ def _forest(batches):
                 acc = mix(acc + sig[:, (tree * DEPTHS[0] + j) % HASHES] + np.uint64(1))
                 if j + 1 in DEPTHS:
                     keys.append(pa.array(acc.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *keys], names=["node", *(f"k{i}" for i in range(len(DEPTHS)))])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.full(len(ids), tree, np.int32)), *keys],
+                                             names=["node", "tree", *(f"k{i}" for i in range(len(DEPTHS)))])
 
 
 def hubs(forest: DataFrame, region: int) -> DataFrame:
@@ -156,13 +160,23 @@ def _shingle_sets(width: int):
     return run
 
 
-def _whole_blocks(batches, rows: int = 50_000):
-    """(key, node, label, n, sig) arrays of about ``rows`` sorted rows that never cut a key."""
+def _sketches(batches):
+    """A longer signature, of one byte per value, from the full set."""
+    factors = multipliers(LONG, seed=21)
+    for batch in batches:
+        raw = (np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(v, factors).astype(np.uint8).tobytes() for v in raw], pa.binary())],
+                                         names=["node", "sketch"])
+
+
+def _whole_blocks(batches, rows: int = 20_000):
+    """Columns of about ``rows`` sorted rows that never cut a key: five of numbers, then signatures and sketches."""
     held: list[tuple] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append((*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), _matrix(batch.column(4))))
+        held.append((*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)), _matrix(batch.column(6)),
+                     _matrix(batch.column(7), np.uint8)))
         if sum(len(x[0]) for x in held) >= rows:
             columns = [np.concatenate(c) for c in zip(*held)]
             cut = int(np.searchsorted(columns[0], columns[0][-1]))
@@ -173,66 +187,86 @@ def _whole_blocks(batches, rows: int = 50_000):
         yield tuple(np.concatenate(c) for c in zip(*held))
 
 
-def _compare(share: int, best: bool):
-    """Pairs of a block whose labels differ and whose sizes and signatures allow the similarity."""
+def _least_equal(values: int, share: int) -> float:
     wanted = share / 100
-    least = HASHES * wanted - DEVIATIONS * (HASHES * wanted * (1 - wanted)) ** 0.5
+    return values * wanted - DEVIATIONS * (values * wanted * (1 - wanted)) ** 0.5
+
+
+def _compare(share: int, best: bool):
+    """Pairs of a block whose labels differ and whose sizes and signatures allow the similarity.
+
+    Rows of side 2 meet all others of their block, else sides meet. With ``best`` each node gives its most
+    similar partner only; else a pair comes out in the first order that brings it together, once.
+    """
+    least, least_long = _least_equal(HASHES, share), _least_equal(LONG, share)
 
-    def block_pairs(key, node, label, n, sig):
+    def block_pairs(key, node, label, n, side, tree, sig, sketch):
         at = np.arange(len(key))
         for k in range(1, len(key)):
             at = at[at < len(key) - k]
             at = at[key[at] == key[at + k]]
             if not len(at):
                 return
-            i = at[label[at] != label[at + k]]
+            i = at[(label[at] != label[at + k]) & ((side[at] != side[at + k]) | (side[at] == 2))]
             small, large = np.minimum(n[i], n[i + k]), np.maximum(n[i], n[i + k])
             i = i[100 * small >= share * large]
-            for lo in range(0, len(i), 20_000):
-                part = i[lo:lo + 20_000]
-                same = (sig[part] == sig[part + k]).sum(axis=1)
-                part, same = part[same >= least], same[same >= least]
-                yield part, part + k, same
+            for lo in range(0, len(i), 5_000):
+                part = i[lo:lo + 5_000]
+                equal = sig[part] == sig[part + k]
+                same = equal.sum(axis=1)
+                good = same >= least
+                if not best:
+                    good &= equal.reshape(-1, TREES, DEPTHS[0]).all(axis=2).argmax(axis=1) == tree[part]
+                    part, same = part[good], same[good]
+                    good = (sketch[part] == sketch[part + k]).sum(axis=1) >= least_long
+                yield part[good], part[good] + k, same[good]
 
     def run(batches):
-        for key, node, label, n, sig in _whole_blocks(batches):
-            found = list(block_pairs(key, node, label, n, sig))
+        for columns in _whole_blocks(batches):
+            found = list(block_pairs(*columns))
             if found:
-                yield pairs_of(node, *map(np.concatenate, zip(*found)))
+                yield pairs_of(columns[1], *map(np.concatenate, zip(*found)))
 
     def pairs_of(node, i, j, same):
-        if best:                                   # each node's most similar partner in the block
+        if best:                                   # each node's most similar partner here
             both, other, score = np.append(i, j), np.append(j, i), np.append(same, same)
             order = np.lexsort((node[other], -score, both))
-            first = np.append(True, both[order][1:] != both[order][:-1])
+            first = np.append(True, both[order][1:] != both[order][:-1])[:len(order)]
             i, j = both[order][first], other[order][first]
         a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     return run
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, share: int, best: bool, block: int) -> DataFrame:
+def rest_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, share: int, best: bool, block: int) -> DataFrame:
     """Pairs of one region that may be similar and are in different components.
 
     Regions of up to ``block`` nodes are one block. In larger ones the nodes of the largest component and
     the others are cut into blocks; others meet all blocks, the largest component only the others.
     """
     parts = shuffle_partitions(members.sparkSession)
-    labelled = members.join(labels, "node", "left").select("k0", "node", F.coalesce("label", "node").alias("label"))
+    labelled = members.join(labels, "node", "left").select("k0", "tree", "node", F.coalesce("label", "node").alias("label"))
     sizes = labelled.groupBy("k0", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed = (sizes.groupBy("k0").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("top"))
              .where("labels > 1").select("k0", "size", F.col("top.c").alias("most"), F.col("top.label").alias("top")))
     rows = labelled.join(mixed, "k0")
     own, others = F.ceil(F.col("most") / block).cast("int"), F.ceil((F.col("size") - F.col("most")) / block).cast("int")
     rows = rows.withColumns({"own": own, "others": others, "major": F.col("label") == F.col("top")})
-    spread = F.expr(f"""CASE WHEN size <= {block} THEN array(xxhash64(k0))
-        WHEN major THEN transform(sequence(0, others - 1), o -> xxhash64(k0, 'm', pmod(xxhash64(node), own), o))
-        ELSE concat(transform(sequence(0, own - 1), m -> xxhash64(k0, 'm', CAST(m AS BIGINT), CAST(pmod(xxhash64(node), others) AS INT))),
-                    transform(sequence(0, others - 1), o -> xxhash64(k0, 'o', least(CAST(o AS BIGINT), pmod(xxhash64(node), others)),
-                                                                   greatest(CAST(o AS BIGINT), pmod(xxhash64(node), others))))) END""")
-    dealt = rows.select("node", "label", F.explode(spread).alias("key")).join(reps.select("node", "n", "sig"), "node")
-    return (dealt.select("key", "node", "label", "n", "sig").repartition(parts, "key").sortWithinPartitions("key", "node")
-            .mapInArrow(_compare(share, best), "a long, b long").distinct())
+    rows = rows.withColumn("mine", F.expr("CAST(pmod(xxhash64(node), CASE WHEN major THEN own ELSE others END) AS INT)"))
+    spread = F.expr(f"""CASE WHEN size <= {block} THEN array(named_struct('key', xxhash64(k0), 'side', 2))
+        WHEN major THEN transform(sequence(0, others - 1), o -> named_struct('key', xxhash64(k0, 'm', mine, o), 'side', 0))
+        ELSE concat(transform(sequence(0, own - 1), m -> named_struct('key', xxhash64(k0, 'm', m, mine), 'side', 1)),
+                    transform(sequence(0, others - 1), o -> named_struct('key', xxhash64(k0, 'o', least(o, mine), greatest(o, mine)),
+                        'side', CASE WHEN o = mine THEN 2 WHEN mine < o THEN 0 ELSE 1 END))) END""")
+    dealt = rows.select("node", "label", "tree", F.explode(spread).alias("at")).join(reps.select("node", "n", "sig"), "node")
+    if best:
+        dealt = dealt.withColumn("sketch", F.lit(b""))
+    else:
+        near = rows.select("node").distinct()
+        sketches = stored(sets.join(near, "node").select("node", "set").mapInArrow(_sketches, "node long, sketch binary"), "sketches")
+        dealt = dealt.join(sketches, "node")
+    return (dealt.select("at.key", "node", "label", "n", "at.side", "tree", "sig", "sketch").repartition(parts, "key")
+            .sortWithinPartitions("key", "node").mapInArrow(_compare(share, best), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: int = 80,
@@ -253,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     filled = signed.where("n > 0 AND id IS NOT NULL")
     reps = stored(filled.groupBy("print").agg(F.min("id").cast("long").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
     keys = ", ".join(f"k{i} long" for i in range(len(DEPTHS)))
-    forest = reps.select("node", "sig").mapInArrow(_forest, f"node long, {keys}")
+    forest = reps.select("node", "sig").mapInArrow(_forest, f"node long, tree int, {keys}")
     shared = forest.groupBy("k0").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("k0")
     forest = stored(forest.join(shared, "k0"), "forest")
     votes = hubs(forest, region).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("votes"))
@@ -263,9 +297,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = own.join(near, F.col("id") == F.col("node")).select("node", "text")
     sets = stored(texts.mapInArrow(_shingle_sets(width), "node long, set binary").dropDuplicates(["node"]), "sets")
     labels = connected_components(stored(confirmed(pairs, sets, share), "links"))
-    members = forest.select("k0", "node")
+    members = forest.select("k0", "tree", "node")
     for best in (True, False):
-        rest = stored(rest_pairs(members, labels, reps, share, best, block), "rest")
+        rest = stored(rest_pairs(members, labels, reps, sets, share, best, block), "rest")
         labels = connected_components(stored(confirmed(rest, sets, share), "links"), labels)
     classes = reps.select("print", "node").join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("component"))
     out = signed.join(classes, "print", "left")
