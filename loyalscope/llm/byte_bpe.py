@@ -25,7 +25,9 @@ from loyalscope.llm.common import Memo, raw_texts, worker_cache
 from loyalscope.llm.packing import read_vocabulary
 
 #: Entries of a worker's memos.
-RUN_CACHE, PIECE_CACHE = 300_000, 300_000
+RUN_CACHE, PIECE_CACHE = 200_000, 200_000
+#: Rows that a worker holds results of.
+ROWS = 1_000
 # Unicode white space.
 SPACE = "\t-\r \x85\xa0  -     　"
 # Code points that became letters or numbers after Unicode 16, which tiktoken follows.
@@ -153,10 +155,12 @@ def _coder(vocabulary, pattern: str) -> Coder:
 def _over(columns: int, make):
     """A mapInArrow function that appends ``make(batch)`` to the first ``columns`` columns."""
     def run(batches):
-        for batch in batches:
-            own = [batch.column(i) for i in range(columns)]
-            name, new = make(batch)
-            yield pa.RecordBatch.from_arrays([*own, new], names=[*batch.schema.names[:columns], name])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(lo, ROWS)
+                own = [batch.column(i) for i in range(columns)]
+                name, new = make(batch)
+                yield pa.RecordBatch.from_arrays([*own, new], names=[*batch.schema.names[:columns], name])
     return run
 
 
