@@ -31,7 +31,7 @@ from loyalscope.llm.components import connected_components
 TREES, DEPTHS = 24, (5, 10, 20)
 HASHES = TREES * DEPTHS[0]
 #: Values of the longer signature that sorts out the rest before full sets are compared.
-LONG = 1024
+LONG = 2048
 #: Of m values, two sets of similarity s have at least s * m less this many standard deviations in common.
 DEVIATIONS = 4.5
 
@@ -195,8 +195,8 @@ def _least_equal(values: int, share: int) -> float:
 def _compare(share: int, best: bool):
     """Pairs of a block whose labels differ and whose sizes and signatures allow the similarity.
 
-    Rows of side 2 meet all others of their block, else sides meet. With ``best`` each node gives its most
-    similar partner only; else a pair comes out in the first order that brings it together, once.
+    Rows of side 2 meet all others of their block, else sides meet. A pair counts in the first order that
+    brings it together, once. With ``best`` each node gives its most similar partner in the block only.
     """
     least, least_long = _least_equal(HASHES, share), _least_equal(LONG, share)
 
@@ -214,12 +214,12 @@ def _compare(share: int, best: bool):
                 part = i[lo:lo + 5_000]
                 equal = sig[part] == sig[part + k]
                 same = equal.sum(axis=1)
-                good = same >= least
+                good = (same >= least) & (equal.reshape(-1, TREES, DEPTHS[0]).all(axis=2).argmax(axis=1) == tree[part])
+                part, same = part[good], same[good]
                 if not best:
-                    good &= equal.reshape(-1, TREES, DEPTHS[0]).all(axis=2).argmax(axis=1) == tree[part]
-                    part, same = part[good], same[good]
                     good = (sketch[part] == sketch[part + k]).sum(axis=1) >= least_long
-                yield part[good], part[good] + k, same[good]
+                    part, same = part[good], same[good]
+                yield part, part + k, same
 
     def run(batches):
         for columns in _whole_blocks(batches):
