@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import itertools
 import random
 import re
+from re import _parser as parser
 
-from loyalscope.llm.licenses import BASE, rules, scan_licenses
+from loyalscope.llm.licenses import BASE, detections, gates, normalise, rules, scan_licenses
 from tests.llm.helpers import make_docs, real_docs
 
 WORDS = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -63,3 +65,53 @@ def test_random_texts_and_edges(spark):
     assert scan_licenses(docs.limit(0)).collect() == []
     rows = scan_licenses(make_docs(spark, [(None, "cc by"), (None, "cc by")])).collect()
     assert [base(r) for r in rows] == [(2, [(0, "cc-by")])] * 2
+
+
+def variants(tree, most=100):
+    """Texts that a pattern matches: branches, repeats at their least and once more; ``most`` of them, evenly spread."""
+    texts = [""]
+    for kind, value in tree:
+        if kind is parser.LITERAL:
+            some = [chr(value)]
+        elif kind is parser.IN:
+            first, x = value[0]
+            some = [chr(x if first is parser.LITERAL else x[0]) if first is not parser.CATEGORY else "7"]
+        elif kind is parser.ANY:
+            some = ["x"]
+        elif kind is parser.SUBPATTERN:
+            some = variants(value[-1], most)
+        elif kind is parser.BRANCH:
+            some = [t for branch in value[1] for t in variants(branch, most)]
+        elif kind in (parser.MAX_REPEAT, parser.MIN_REPEAT):
+            low, high, inner = value
+            some = [t for n in range(low, min(high, low + 1) + 1) for t in map("".join, itertools.product(variants(inner, most), repeat=n))]
+        else:
+            assert kind in (parser.ASSERT, parser.AT), kind
+            some = [""]
+        texts = [a + b for a, b in itertools.product(texts, some)]
+        texts = texts[::-(-len(texts) // most)]
+    return texts
+
+
+def test_every_rule_is_reached_by_each_of_its_texts():
+    by_keywords = [(last, first, r) for last, own in gates() for first, r in own]
+    assert len(by_keywords) == len(rules())
+    for last, first, r in by_keywords:
+        texts = variants(parser.parse(r.pattern.pattern.decode()))
+        assert texts
+        for words in texts:
+            text = words.encode() + b" "
+            assert r.pattern.search(text), (r, text)
+            assert any(k in text for k in last) and any(k in text for k in first), (r, text)
+        assert any(r in [x for *_, x in detections(w.encode() + b" ")] for w in texts), r
+
+
+def test_texts_without_a_common_license_word():
+    cases = {
+        "Released under GPL v3": "gpl-3.0", "distributed under the terms of the MPL 2.0": "mpl-2.0", "available under BSD 3-Clause": "bsd-3-clause",
+        "https://creativecommons.org/publicdomain/zero/1.0/": "cc0", "for non-commercial use only": "non-commercial",
+        "unauthorized copying of this file is strictly prohibited": "proprietary", "the terms of the MPL 2.0": "mpl-2.0",
+        "neither the name of X nor the names of its contributors may be used to endorse or promote": "bsd-3-clause",
+    }
+    for text, label in cases.items():
+        assert [r.label for *_, r in detections(b" " + b" ".join(normalise(text.encode())) + b" ")] == [label], text
