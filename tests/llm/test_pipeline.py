@@ -71,6 +71,21 @@ def test_edges(spark):
     assert len(corpus_pipeline.packed(spark, docs, DIR).collect()) == 6
 
 
+def test_copies_under_one_id_or_none_come_out_once_with_their_words(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    near = c.replace("c59", "other")
+    docs = make_docs(spark, [(1, a), (1, a), (2, b), (None, b), (None, c), (None, c), (None, near), (3, d), (3, e), (3, e + " more"),
+                             (4, a), (5, None), (None, ""), (None, "")])
+    single = corpus_pipeline.stored(corpus_pipeline.near_dedup(spark, docs, DIR), "t")
+    assert sorted(r.doc_id for r in single.collect() if r.doc_id) == [1, 2, 3, 3, 5]
+    left = corpus_pipeline.repeated_passages(spark, single, DIR)
+    assert left.columns == corpus_pipeline.COLUMNS
+    got = [(r.doc_id, r.text) for r in left.collect() if r.text]
+    assert len(got) == 5 and {(1, a), (2, b), (3, d)} < set(got)
+    assert {t for i, t in got if i is None} < {c, near} and {t for i, t in got if i == 3} - {d} < {e, e + " more"}
+    assert sorted(str(r.doc_id) for r in left.collect() if not r.text) == ["5", "None", "None"]
+
+
 def test_the_other_queries_work_without_the_subpackage(tmp_path):
     for p in REPO.iterdir():
         if p.name not in ("loyalscope", "tests", ".git", "corpus_pipeline.py"):
