@@ -2,11 +2,12 @@
 
 1. Equal vectors collapse into one (with its smallest ids, as many as a result can hold), so a vector
    that a third of all rows share is one point.
-2. The forest is fitted on a bounded sample: every node splits its points at the median of a random
-   projection, down to ``leaf`` points. For inner products of vectors of different length an extra
-   component makes all points equally long, which turns them into nearest neighbours.
-3. Every point is routed to its leaf in every tree. A query walks all trees through one shared priority
-   queue, always opening the node it came closest to, until a share of the leaves is open.
+2. Vectors are dealt into bands of similar length, so that one long vector does not steer the others. In a
+   band, points are scaled by the longest and an extra component makes all equally long, which turns inner
+   products into nearest neighbours. Every band has its own trees, fitted on a bounded sample: a node splits
+   its points at the median of a random projection, down to ``leaf`` points; a band of fewer is one leaf.
+3. Every point is routed to its leaf in every tree of its band. A query walks the trees of all bands through
+   one shared priority queue, always opening the node it came closest to, until a share of the rows is open.
 4. Points and queries meet by leaf (large leaves are dealt into blocks of points, each of which sees the leaf's
    queries); every block keeps its best points per query, the blocks' lists are merged, and the exact
    inner product in double precision ranks the candidates.
@@ -15,6 +16,7 @@
 from __future__ import annotations
 
 import heapq
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +27,59 @@ from loyalscope.llm.common import shuffle_partitions, stored
 
 #: Points of a leaf that one block holds, and candidates beyond ``k`` that outlive rounding differences.
 BLOCK, SPARE = 4096, 4
+#: Lengths in a band differ by this factor at most, unless the band is one leaf.
+RATIO = 1.25
+# Fixed value: no tree.
+ABSENT = np.iinfo(np.int32).min
+
+
+class Bands:
+    """Ranges of lengths, longest first: ``low`` and ``top`` length and number of ``rows`` of each."""
+
+    def __init__(self, buckets: list[tuple[float, float, int]], least: int):
+        """``buckets``: (low, top, rows), longest first; neighbours join up to ``least`` rows."""
+        joined: list[list] = []
+        for low, top, rows in buckets:
+            if joined and joined[-1][2] + rows <= least:
+                joined[-1][0], joined[-1][2] = low, joined[-1][2] + rows
+            else:
+                joined.append([low, top, rows])
+        self.low, self.top, self.rows = (np.array(x, float) for x in zip(*joined))
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(-self.low, -lengths(points)), len(self.low) - 1)
+
+    def lift(self, points: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Points over their band's longest, with the component that brings them to length 1."""
+        scaled = points / self.top[band][:, None]
+        return np.hstack([scaled, np.sqrt(np.maximum(1 - (scaled * scaled).sum(axis=1), 0))[:, None]])
+
+
+def lengths(points: np.ndarray) -> np.ndarray:
+    peak = np.abs(points).max(axis=1)
+    return peak * np.sqrt(((points / peak[:, None]) ** 2).sum(axis=1))
 
 
 class Forest:
-    """Trees as arrays: node i has plane[i], threshold[i] and children; a negative child is leaf -1 - child."""
+    """Trees as arrays: node i has plane[i], threshold[i] and children; a negative child is leaf -1 - child.
+
+    ``roots`` by band and tree; ``weights`` are the rows that each leaf stands for.
+    """
 
-    def __init__(self, points: np.ndarray, trees: int, leaf: int, seed: int = 0):
+    def __init__(self, points: np.ndarray, bands: Bands, trees: int, leaf: int, seed: int = 0):
         rng = np.random.default_rng(seed)
-        self.planes, self.thresholds, self.children, self.roots, self.leaves = [], [], [], [], 0
-        for _ in range(trees):
-            self.roots.append(self._grow(points, np.arange(len(points)), leaf, rng))
-        dim = points.shape[1]
+        self.bands, self.trees = bands, trees
+        self.planes, self.thresholds, self.children, self.leaves, self.weights = [], [], [], 0, []
+        self.roots = np.full((len(bands.rows), trees), ABSENT, np.int32)
+        at, dim = bands.of(points), points.shape[1] + 1
+        points = bands.lift(points, at)
+        for band, rows in enumerate(bands.rows):
+            own = np.flatnonzero(at == band)
+            for t in range(trees if len(own) > leaf else 1):
+                first = self.leaves
+                self.roots[band, t] = self._grow(points, own, leaf, rng)
+                some = np.array(self.weights[first:], float)
+                self.weights[first:] = (rows * some / some.sum()).tolist() if some.sum() else [rows]
         self.planes = np.array(self.planes, np.float32).reshape(-1, dim)
         self.thresholds = np.array(self.thresholds, np.float32)
         self.children = np.array(self.children, np.int32).reshape(-1, 2)
@@ -54,37 +98,45 @@ class Forest:
                 self.children[i] = (self._grow(points, left, leaf, rng), self._grow(points, right, leaf, rng))
                 return i
         self.leaves += 1
+        self.weights.append(len(at))
         return -self.leaves
 
     def margins(self, points: np.ndarray) -> np.ndarray:
         return points.astype(np.float32) @ self.planes.T - self.thresholds
 
     def route(self, points: np.ndarray) -> np.ndarray:
-        """The leaf of every point in every tree."""
-        out = np.empty((len(points), len(self.roots)), np.int32)
+        """The leaf of every point in every tree of its band, -1 where the band has fewer trees."""
+        out = np.empty((len(points), self.trees), np.int32)
         for lo in range(0, len(points), 512):
-            margin = self.margins(points[lo:lo + 512])
+            band = self.bands.of(points[lo:lo + 512])
+            margin = self.margins(self.bands.lift(points[lo:lo + 512], band))
             rows = np.arange(len(margin))
-            for t, root in enumerate(self.roots):
-                node = np.full(len(margin), root, np.int32)
+            for t in range(self.trees):
+                node = self.roots[band, t]
                 while (inner := node >= 0).any():
                     at = node[inner]
                     node[inner] = self.children[at, (margin[rows[inner], at] > 0).astype(np.int8)]
-                out[lo:lo + 512, t] = -1 - node
+                out[lo:lo + 512, t] = np.where(node == ABSENT, -1, -1 - np.maximum(node, -self.leaves))
         return out
 
-    def search(self, margin: np.ndarray, visits: int) -> list[int]:
-        """Leaves for one query's margins, nearest first, from one queue over all trees."""
-        queue, out, children = [(0.0, r) for r in self.roots], [], self.children
+    def asked(self, queries: np.ndarray) -> np.ndarray:
+        """Margins of queries, which have length 1 and nothing in the extra component."""
+        return self.margins(np.hstack([queries / lengths(queries)[:, None], np.zeros((len(queries), 1))]))
+
+    def search(self, margin: np.ndarray, share: float) -> list[int]:
+        """Leaves for one query's margins, nearest first (longer bands first among equals), from one queue over all trees."""
+        queue = [(0.0, int(band), int(r)) for band, roots in enumerate(self.roots) for r in roots if r != ABSENT]
         heapq.heapify(queue)
-        while queue and len(out) < visits:
-            far, node = heapq.heappop(queue)
+        out, children, seen, wanted = [], self.children, 0.0, share * self.trees * self.bands.rows.sum()
+        while queue and (len(out) < self.trees or seen < wanted):
+            far, band, node = heapq.heappop(queue)
             while node >= 0:
                 m = margin[node]
                 near, other = (children[node, 1], children[node, 0]) if m > 0 else (children[node, 0], children[node, 1])
-                heapq.heappush(queue, (max(far, abs(float(m))), int(other)))
+                heapq.heappush(queue, (max(far, abs(float(m))), band, int(other)))
                 node = int(near)
             out.append(-1 - node)
+            seen += self.weights[-1 - node]
         return out
 
 
@@ -101,13 +153,7 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.tobytes() for x in flat], pa.binary())], names=["node", "asked", "vec"])
 
 
-def _lift(points: np.ndarray, longest: float) -> np.ndarray:
-    """Points with the component that brings them all to the same length."""
-    rest = np.sqrt(np.maximum(longest * longest - (points * points).sum(axis=1), 0))
-    return np.hstack([points, rest[:, None]])
-
-
-def _route(forest, longest: float, visits: int):
+def _route(forest, share: float):
     """(leaf, kind, node, vec): kind 0 for points at their leaf in each tree, 1 for queries at the leaves they open."""
     def run(batches):
         f = forest.value
@@ -116,15 +162,14 @@ def _route(forest, longest: float, visits: int):
                 continue
             nodes, asked, raw = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2)
             points = _vectors(raw)
-            at = f.route(_lift(points, longest))
-            leaf, row = [at.ravel()], [np.repeat(np.arange(len(nodes)), at.shape[1])]
-            kind = [np.zeros(at.size, np.int32)]
+            at = f.route(points)
+            leaf, row = [at[at >= 0]], [np.nonzero(at >= 0)[0]]
+            kind = [np.zeros(len(leaf[0]), np.int32)]
             queries = np.flatnonzero(asked)
             for lo in range(0, len(queries), 256):
                 part = queries[lo:lo + 256]
-                margin = f.margins(np.hstack([points[part], np.zeros((len(part), 1))]))
-                for q, m in zip(part, margin):
-                    opened = f.search(m, visits)
+                for q, m in zip(part, f.asked(points[part])):
+                    opened = f.search(m, share)
                     leaf.append(np.array(opened, np.int32))
                     row.append(np.full(len(opened), q))
                     kind.append(np.ones(len(opened), np.int32))
@@ -210,7 +255,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
 
     ``is_query`` is a condition on ``id_col``; a query's candidates are all other rows. The forest is
     fitted on at most ``fit_rows`` distinct vectors (smallest hashes of their ids); every row is indexed.
-    A query opens ``share`` of all leaves; on vectors without any structure (64 independent dimensions) 0.16
+    A query opens leaves of ``share`` times ``trees`` times the rows; on vectors without any structure (64 independent dimensions) 0.16
     of 8 trees finds 0.97 of the true neighbours and more, on clustered ones far less will do.
 
     Rows without an id, NULL or zero vectors, and vectors with NULL or non-finite components take no part; nor do
@@ -236,13 +281,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     wanted = queries.groupBy("node").agg(F.lit(True).alias("asked"))
     flagged = points.join(wanted, "node", "left").select("node", F.col("v"), F.coalesce("asked", F.lit(False)).alias("asked"))
     packed = stored(flagged.mapInArrow(_pack, "node long, asked boolean, vec binary"), "packed")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    longest = points.agg(F.max(norm)).head()[0]
+    peak = F.array_max(F.transform("v", F.abs))
+    norm = F.least(peak * F.sqrt(F.aggregate(F.transform("v", lambda x: x / peak), F.lit(0.0), lambda a, x: a + x * x)), F.lit(sys.float_info.max))
+    buckets = (points.select(norm.alias("norm")).groupBy(F.round(F.log("norm") / F.lit(float(np.log(RATIO)))).cast("int").alias("b"))
+               .agg(F.min("norm"), F.max("norm"), F.count(F.lit(1))).orderBy(F.desc("b")).collect())      # a few thousand at most
+    bands = Bands([tuple(b)[1:] for b in buckets], int(leaf * max(1.0, sum(b[3] for b in buckets) / fit_rows)))
     sample = packed.orderBy(F.xxhash64("node"), "node").limit(fit_rows).select("vec").collect()
-    fitted = Forest(_lift(np.frombuffer(b"".join(bytes(r.vec) for r in sample)).reshape(len(sample), -1), longest), trees, leaf)
-    visits = max(trees, int(np.ceil(share * fitted.leaves)))
-    forest = spark.sparkContext.broadcast(fitted)                         # at most trees * 2 * fit_rows / leaf nodes
-    routed = stored(packed.mapInArrow(_route(forest, longest, visits), "leaf int, kind int, node long, vec binary"), "routed")
+    fitted = Forest(np.frombuffer(b"".join(bytes(r.vec) for r in sample)).reshape(len(sample), -1), bands, trees, leaf)
+    forest = spark.sparkContext.broadcast(fitted)                         # at most trees * 2 * fit_rows / leaf nodes, and a leaf a band
+    routed = stored(packed.mapInArrow(_route(forest, share), "leaf int, kind int, node long, vec binary"), "routed")
     loads = routed.where("kind = 0").groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
     salts = F.when(F.col("kind") == 0, F.array(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
     dealt = routed.join(loads, "leaf").select("leaf", F.explode(salts).alias("salt"), "kind", "node", "vec")

@@ -62,3 +62,19 @@ def test_few_rows_and_empty_table(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0), (20, [0.0, 1.0], 0), (20, [0.0, 1.0], 0)], SCHEMA)
     assert {q: [i for i, _ in r] for q, r in found(nearest(df, every20)).items()} == {0: [1, 20], 20: [1, 0]}
     assert nearest(df.limit(0), every20).collect() == []
+
+
+@pytest.mark.parametrize("lengths", ["outlier", "lognormal"])
+def test_recall_does_not_depend_on_the_longest_vector(spark, lengths):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if lengths == "outlier":
+        x[1_111] *= 100
+    else:
+        x *= np.exp(rng.normal(size=(4_000, 1)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = found(nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), every20, leaf=256))
+    want = brute(rows)
+    assert got.keys() == want.keys()
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
