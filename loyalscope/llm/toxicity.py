@@ -5,8 +5,9 @@ The factors let two terms weigh more together than alone (an insult with a menti
 Terms are 64-bit hashes of lower-case words without outer punctuation and of their first letters, so
 inflected and compounded forms of a word share a term.
 
-Fit: term counts by class over a bounded sample of labelled rows are made in Spark, the most telling
-terms become the model's, and only their indices reach the driver. Scoring is one pass over the texts.
+Fit: term counts by class over a bounded sample of labelled rows are made in Spark. Terms that speak for
+or against toxicity and then the most frequent ones, telling alone or not, become the model's, and only their
+indices reach the driver. Scoring is one pass over the texts.
 """
 
 from __future__ import annotations
@@ -109,8 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         min_z: float = 4.0, factors: int = 4) -> FactorizationMachine:
     """Fit on at most ``fit_rows`` labelled rows with crc32(id) % 3 != 1; at most ``max_terms`` terms.
 
-    A term must stand in ``min_docs`` documents and its share of label-1 documents must lie ``min_z``
-    standard deviations above the overall share; the most telling are kept. Without both labels the model has no terms and scores the label share.
+    A term must stand in ``min_docs`` documents. Terms whose share of label-1 documents lies ``min_z`` standard
+    deviations off the overall share, on either side, come first, then the others by the number of documents, as
+    a term that says nothing alone may beside another. Pairs of terms beyond ``max_terms`` are not seen. Without both labels the model has no terms and scores the label share.
     """
     spark = docs.sparkSession
     sample = stored(labelled_rows(docs, labels, label, fit_rows, id_col, text_col).select("id", "text", "y")
@@ -120,7 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     counts = (sample.select("y", F.explode("terms").alias("term")).groupBy("term")
               .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")).where(F.col("n") >= min_docs))
     z = (F.col("k") - F.col("n") * F.lit(share)) / F.sqrt(F.col("n") * F.lit(share * (1 - share)))
-    best = [r.term for r in counts.where(z >= min_z).orderBy(z.desc(), "term").limit(max_terms).collect()]
+    telling = F.when(F.abs(z) >= min_z, F.abs(z))
+    best = [r.term for r in counts.orderBy(telling.desc_nulls_last(), F.desc("n"), "term").limit(max_terms).collect()]
     model = FactorizationMachine(np.array(best, np.int64), factors)
     if not 0 < positive < n:
         model.terms, model.linear, model.factors = model.terms[:0], model.linear[:0], model.factors[:0]

@@ -50,6 +50,18 @@ def test_factorization_machine_learns_a_pair_that_no_linear_weights_can():
     assert ((model.score(rows) >= 0.5) == np.array(y)).mean() > 0.95
 
 
+def test_fit_on_texts_learns_a_pair_of_words_that_say_nothing_alone(spark):
+    rng = np.random.default_rng(2)
+    texts, labels = [], []
+    for i in range(4_000):
+        a, b = rng.integers(0, 2, 2)
+        texts.append(" ".join(["heron"] * a + ["maple"] * b + [f"{'abcd'[j]}word" for j in rng.integers(0, 4, 2)]))
+        labels.append((i, 1, int(a != b)))
+    docs, known = make_docs(spark, texts), spark.createDataFrame(labels, LABELS)
+    _, rows = auc_of(toxicity.score(docs, toxicity.fit(docs, known)), known, "toxic")
+    assert len(rows) > 1_000 and ((rows.score >= 0.5) == (rows.toxic == 1)).mean() > 0.95
+
+
 @pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality_classifier, "quality")])
 def test_edges(spark, module, label):
     docs = make_docs(spark, [None, "", " \n", "x" * 100_000, "a b c", "a b c", (None, "a b c")])
