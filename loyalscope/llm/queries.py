@@ -15,6 +15,7 @@ from loyalscope.llm.packing import pack
 from loyalscope.llm.quality_rules import quality_rules
 from loyalscope.llm.rp_forest import nearest
 from loyalscope.llm.substring_dedup import substring_dedup
+from loyalscope.llm.vector_dedup import near_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +91,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def op12_int8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_rp_forest": op9_rp_forest,
     "op10_quality_rules": op10_quality_rules,
+    "op12_int8_near_dedup": op12_int8_near_dedup,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
