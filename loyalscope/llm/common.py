@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,16 @@ def worker_cache(key, build: Callable):
     return store[key]
 
 
+def shipped(spark: SparkSession, value):
+    """A broadcast of ``value`` by value, so that workers need no copy of this package; read it with ``received``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(broadcast):
+    """The value of a ``shipped`` broadcast, unpickled once per task."""
+    return pickle.loads(broadcast.value)
+
+
 class Memo(dict):
     """``memo[x]`` computes ``f(x)`` once; ``trim`` bounds its size between documents."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loyalscope.llm import byte_bpe, quality_classifier, secrets, toxicity
 from loyalscope.llm.common import held_out
+from loyalscope.llm.gnat import hard_negatives
 from loyalscope.llm.licenses import scan_licenses
 from loyalscope.llm.minhash_forest import near_duplicates
 from loyalscope.llm.packing import pack
@@ -91,6 +92,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def op11_gnat_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), lambda i: i % 100 == 0)
+
+
 def op12_int8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_rp_forest": op9_rp_forest,
     "op10_quality_rules": op10_quality_rules,
+    "op11_gnat_hard_negatives": op11_gnat_hard_negatives,
     "op12_int8_near_dedup": op12_int8_near_dedup,
 }
 

@@ -12,6 +12,23 @@ def _smallest_hashes(ids: DataFrame, rows: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("_sample_id"), "_sample_id").limit(rows)
 
 
+def hashed_sample(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """The ``most`` rows with the smallest hashes of ``keys`` (all, if fewer), without one task that reads more than a few times that.
+
+    A cut-off on the hash, taken from the row count, leaves about ``2 * most`` rows wherever they lie; only these are
+    ranked. Should the hashes be so uneven that fewer than ``most`` pass, the cut-off is doubled.
+    """
+    total, share = rows.count(), 0.0
+    hashed = rows.withColumn("_hash", F.xxhash64(*keys))
+    passed = hashed
+    while total > 4 * most and share < 1:
+        share = 2 * share or 2 * most / total
+        passed = hashed.where(F.col("_hash") < int(min(share, 1) * (1 << 64)) - (1 << 63)) if share < 1 else hashed
+        if passed.limit(most).count() == most:
+            break
+    return passed.orderBy("_hash", *keys).limit(most).drop("_hash")
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``text``, ``y`` of at most ``rows`` labelled training ids (of several labels of an id, the largest)."""
     known = (labels.where(training_row(id_col) & F.col(label).isin(0, 1))

@@ -45,6 +45,7 @@ SCHEMAS = {
     "op9_rp_forest": "query_id bigint, rank int, vec_id bigint, score double",
     "op10_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
                           "base_failed boolean, kept boolean",
+    "op11_gnat_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
     "op12_int8_near_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
 }
 
