@@ -48,18 +48,31 @@ def received(broadcast):
 
 
 class Memo(dict):
-    """``memo[x]`` computes ``f(x)`` once; ``trim`` bounds its size between documents."""
+    """``memo[x]`` computes ``f(x)`` once. ``trim`` bounds its size between documents in two generations: about ``limit`` / 2 new
+    entries push the older ones out, unless these were used meanwhile. Keys longer than ``longest`` are not kept."""
 
-    def __init__(self, f: Callable, limit: int):
+    def __init__(self, f: Callable | None, limit: int, longest: int = 64):
         super().__init__()
-        self.f, self.limit = f, limit
+        self.f, self.limit, self.longest, self.old = f, limit, longest, {}
 
     def __missing__(self, x):
-        v = self[x] = self.f(x)
+        v = self.old.get(x)
+        if v is None:
+            v = self.f(x)
+        if not hasattr(x, "__len__") or len(x) <= self.longest:
+            self[x] = v
+        return v
+
+    def known(self, x):
+        """The kept value or None; nothing is computed."""
+        v = self.get(x)
+        if v is None and (v := self.old.get(x)) is not None:
+            self[x] = v
         return v
 
     def trim(self) -> None:
-        if len(self) > self.limit:
+        if 2 * len(self) > self.limit:
+            self.old = dict(self)
             self.clear()
 
 

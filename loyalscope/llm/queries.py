@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loyalscope.llm import byte_bpe, quality_classifier, secrets, toxicity
 from loyalscope.llm.common import held_out
+from loyalscope.llm.cross_tokens import align_tokens
 from loyalscope.llm.gnat import hard_negatives
 from loyalscope.llm.licenses import scan_licenses
 from loyalscope.llm.minhash_forest import near_duplicates
@@ -101,6 +102,10 @@ def op12_int8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_gnat_hard_negatives": op11_gnat_hard_negatives,
     "op12_int8_near_dedup": op12_int8_near_dedup,
+    "op13_cross_tokenizer": op13_cross_tokenizer,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

@@ -17,7 +17,7 @@ def rows(columns, values):
 
 
 def test_one_query_of_every_number():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
@@ -47,6 +47,7 @@ SCHEMAS = {
                           "base_failed boolean, kept boolean",
     "op11_gnat_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
     "op12_int8_near_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op13_cross_tokenizer": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
 }
 
 
@@ -55,7 +56,9 @@ def test_schema_and_whole_table(spark, name):
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) == SCHEMAS[name]
     ids = {r[0] for r in df.select(df.columns[0]).distinct().collect()}
-    table, key = ("embeddings", "vec_id") if name.startswith("op9") else ("documents", "doc_id")
+    number = int(re.match(r"op(\d+)_", name)[1])
+    table, key = ("embeddings", "vec_id") if number in (9, 11, 12) else ("documents", "doc_id")
     want = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").select(key)
-    assert ids == {r[0] for r in (want.where("vec_id % 20 = 0") if key == "vec_id" else want).collect()}
+    asked = {9: "vec_id % 20 = 0", 11: "vec_id % 100 = 0"}.get(number, "true")
+    assert ids == {r[0] for r in want.where(asked).collect()}
     assert not any(r is None for row in df.drop("first_word", "last_word").collect() for r in row)
