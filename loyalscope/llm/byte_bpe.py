@@ -4,7 +4,7 @@ A text is split into pre-tokens by the tokenizer's pattern. Tier one resolves a
 token itself with one probe of a minimal perfect hash (hash and displace: no empty slot, one
 displacement per bucket, the stored key decides whether it is a hit). Tier two merges the rest: the
 bytes form a linked list, a heap holds the mergeable neighbours by rank, leftmost first. Results are
-kept by pre-token and by white-space-delimited run in bounded per-worker memos.
+kept by pre-token and by white-space-delimited run in bounded per-worker memos of two generations.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from loyalscope.llm.common import Memo, raw_texts, worker_cache
+from loyalscope.llm.common import Memo, worker_cache
 from loyalscope.llm.packing import read_vocabulary
 
 #: Entries of a worker's memos.
-RUN_CACHE, PIECE_CACHE = 200_000, 200_000
+RUN_CACHE, PIECE_CACHE = 100_000, 400_000
 #: Rows that a worker holds results of.
 ROWS = 1_000
 # Unicode white space.
@@ -40,6 +40,11 @@ NEWER = (
     "3d000-3fc3f")
 
 
+# Runs that need no general split: letters up to U+024F, then ASCII punctuation without apostrophes.
+SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+MASK32 = (1 << 32) - 1
+
+
 def parse_ranks(data: bytes) -> list[bytes]:
     """Tokens by rank, from a file of base64 tokens and ranks."""
     pairs = [line.split() for line in data.splitlines() if line]
@@ -113,7 +118,11 @@ class Coder:
         return ids
 
     def run_ids(self, run: str) -> bytes:
-        return b"".join([self.by_piece[p] for p in self.split(run)])
+        simple = SIMPLE(run)
+        if simple is None:
+            return b"".join([self.by_piece[p] for p in self.split(run)])
+        word, rest = simple.groups()
+        return self.by_piece[word] + self.by_piece[rest] if rest else self.by_piece[word]
 
     def piece_ids(self, piece: str) -> bytes:
         raw = piece.encode()
@@ -122,34 +131,41 @@ class Coder:
         return np.array(ids, "<u4").tobytes()
 
     def merge(self, raw: bytes) -> list[int]:
-        """Lowest rank first, leftmost on ties; node i spans raw[i:after[i]]."""
-        n, ranks = len(raw), self.ranks
+        """Lowest rank first, leftmost on ties; node i spans raw[i:after[i]] and ``pair[i]`` is its rank with the next node, or -1."""
+        n, rank = len(raw), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i:i + 2])) is not None]
+        pair = [rank(raw[i:i + 2], -1) for i in range(n - 1)] + [-1]
+        heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, end = heapq.heappop(heap)
-            j = after[i]
-            if j <= 0 or j >= n or after[j] != end:        # a neighbour has changed meanwhile
+            entry = pop(heap)
+            i = entry & MASK32
+            if pair[i] != entry >> 32:                     # a neighbour has changed meanwhile
                 continue
-            after[i], after[j] = end, 0
+            j = after[i]
+            end = after[i] = after[j]
+            pair[i] = pair[j] = -1
             if end < n:
                 before[end] = i
-                if (r := ranks.get(raw[i:after[end]])) is not None:
-                    heapq.heappush(heap, (r, i, after[end]))
+                if (r := rank(raw[i:after[end]], -1)) >= 0:
+                    pair[i] = r
+                    push(heap, r << 32 | i)
             p = before[i]
-            if p >= 0 and (r := ranks.get(raw[p:end])) is not None:
-                heapq.heappush(heap, (r, p, end))
+            if p >= 0:
+                pair[p] = r = rank(raw[p:end], -1)
+                if r >= 0:
+                    push(heap, r << 32 | p)
         out, i = [], 0
         while i < n:
-            out.append(ranks[raw[i:after[i]]])
+            out.append(rank(raw[i:after[i]]))
             i = after[i]
         return out
 
 
 def _coder(vocabulary, pattern: str) -> Coder:
     data = vocabulary.value
-    return worker_cache(("bpe", pattern, hashlib.sha256(data).digest()), lambda: Coder(data, pattern))
+    return worker_cache("byte bpe", (pattern, hashlib.sha256(data).digest()), lambda: Coder(data, pattern))
 
 
 def _over(columns: int, make):
@@ -176,7 +192,7 @@ def encode(docs: DataFrame, vocabulary_path: str | None = None, pattern: str = p
 
     def ids(batch):
         coder = _coder(vocabulary, pattern)
-        return "ids", pa.array([coder.encode(t.decode()) for t in raw_texts(batch.column(1))], pa.binary())
+        return "ids", pa.array([coder.encode(t or "") for t in batch.column(1).to_pylist()], pa.binary())
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(_over(1, ids), f"`{id_col}` {kind}, ids binary")
@@ -188,7 +204,7 @@ def decode(encoded: DataFrame, vocabulary_path: str | None = None, id_col: str =
     vocabulary = encoded.sparkSession.sparkContext.broadcast(data)
 
     def decoded(batch):
-        tokens = worker_cache(("tokens", hashlib.sha256(vocabulary.value).digest()),
+        tokens = worker_cache("byte bpe", hashlib.sha256(vocabulary.value).digest(),
                               lambda: parse_ranks(vocabulary.value))
         return "decoded", pa.array([b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist()))
                                     for x in batch.column(1).to_pylist()], pa.binary())

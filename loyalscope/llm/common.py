@@ -29,12 +29,14 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0)).cast("long")).head()[0]
 
 
-def worker_cache(key, build: Callable):
-    """``build()`` once per Python worker process and key; workers outlive their tasks."""
+def worker_cache(owner: str, key, build: Callable):
+    """``build()`` once per Python worker process and key. Workers outlive their tasks: a new ``owner`` empties the cache of the last one."""
     store = sys.__dict__.setdefault("_loyalscope_worker_cache", {})
-    if key not in store:
-        store[key] = build()
-    return store[key]
+    if (found := store.get((owner, key))) is None:
+        if any(other != owner for other, _ in store):
+            store.clear()
+        found = store[owner, key] = build()
+    return found
 
 
 def shipped(spark: SparkSession, value):
@@ -44,7 +46,9 @@ def shipped(spark: SparkSession, value):
 
 def received(broadcast):
     """The value of a ``shipped`` broadcast, unpickled once per task."""
-    return pickle.loads(broadcast.value)
+    if not hasattr(broadcast, "loaded"):
+        broadcast.loaded = pickle.loads(broadcast.value)
+    return broadcast.loaded
 
 
 class Memo(dict):
@@ -78,7 +82,7 @@ class Memo(dict):
 
 def word_memo() -> Memo:
     """64-bit hashes of byte words, kept per worker."""
-    return worker_cache("words", lambda: Memo(xxhash.xxh3_64_intdigest, WORD_CACHE))
+    return worker_cache("words", "words", lambda: Memo(xxhash.xxh3_64_intdigest, WORD_CACHE))
 
 
 def word_hashes(words: list[bytes], memo: Memo) -> np.ndarray:

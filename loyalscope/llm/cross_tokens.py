@@ -32,11 +32,16 @@ from loyalscope.llm.common import Memo, mix, shuffle_partitions, stored, worker_
 from loyalscope.llm.packing import read_vocabulary
 
 #: Units whose ids one worker keeps, and bytes of new units that are encoded at once.
-UNITS, CHUNK = 300_000, 1 << 15
+UNITS, CHUNK = 150_000, 1 << 13
+#: Units of documents whose pairs are counted at once.
+PART = 100_000
 # White space in the widest sense, and the piece vocabulary's mark for a space: units are never cut beside these.
-WHITE = r"\s᠎​-‍⁠﻿▁"
+WHITE = r"\s\u180e\u200b-\u200d\u2060\ufeff\u2581"
 CUT = re.compile(rf"(?<=[^{WHITE}])(?=[ \n][^{WHITE}])")
-PLAIN = re.compile(rf"[ \n][^{WHITE}]+")
+PLAIN = re.compile(rf"\n?[^{WHITE}]+")
+# Any of these makes a text's cuts a matter of CUT; else they are at every space and line break.
+DOUBLE = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+WIDE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u2581\u3000\ufeff]")
 #: Levels of a minimal perfect hash; what is left then is searched in order.
 LEVELS = 40
 
@@ -48,6 +53,14 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def units_of(text: str) -> list[str]:
+    """The units of a space and a text. One that begins with a line break or a space is meant as it stands, any other after a space."""
+    if (text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in DOUBLE)
+            and (text.isascii() or not WIDE.search(text))):
+        return text.replace("\n", " \n").split(" ")
+    return [u if u[0] == "\n" or u[1:2] in ("", " ", "\n") else u[1:] for u in CUT.split(" " + text)]
+
+
 class Pair:
     """Both tokenizers: ids of units and bytes of ids."""
 
@@ -63,39 +76,39 @@ class Pair:
         self.a_bytes = [bytes(of.get(c, 0) for c in entries.get(i, "")) for i in range(max(entries) + 1)]
         pieces = [(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if raw else p.replace("▁", " ").encode() for p, raw in pieces]
-        self.space = self.b.piece_to_id("▁")
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.memo = Memo(None, UNITS)
-        # decimal ids before "," "|" (A) and "," ";" (B), to spell groups
-        self.spelled = [f"{i}{mark}".encode() for size, marks in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for mark in marks for i in range(size)]
-        self.spelled_size = np.array([len(x) for x in self.spelled], np.int64)
+
+    def a_ids(self, text: str) -> list[int]:
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def one(self, unit: str) -> tuple[bytes, bytes] | None:
-        """Ids of a unit, which begins with a space or a line break; None if either side gives back other bytes."""
-        a = self.a.encode(unit, add_special_tokens=False).ids
-        b = self.b.encode(unit[1:]) if unit[0] == " " else self.b.encode(unit)[1:]
-        raw = unit.encode()
+        """Ids of a unit; None if either side gives back other bytes."""
+        whole = unit if unit[0] in " \n" else " " + unit
+        a, b = self.a_ids(whole), self.b.encode(whole[1:]) if whole[0] == " " else self.b.encode(whole)[1:]
+        raw = whole.encode()
         same = all(b"".join(map(t.__getitem__, ids)) == raw for t, ids in ((self.a_bytes, a), (self.b_bytes, b)))
         return (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None
 
     def many(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of plain units, encoded as one text and cut again."""
-        raw = [u.encode() for u in units]
-        ends = np.cumsum([2, *map(len, raw)])                       # a word goes first, as the piece side adds a space
-        whole = " a" + "".join(units)
+        whole = " a " + " ".join(units)                             # a word goes first, as the piece side adds a space
+        whole = whole.replace(" \n", "\n")
+        raw = whole.encode()
+        ends = np.cumsum([2, *(len(u.encode()) + (u[0] != "\n") for u in units)])
         sides = []
-        for ids, size, table in ((self.a.encode(whole, add_special_tokens=False).ids, self.a_size, self.a_bytes),
-                                 (self.b.encode(whole[1:]), self.b_size, self.b_bytes)):
-            at = np.cumsum(size[ids])
+        for ids, size, table in ((self.a_ids(whole), self.a_size, self.a_bytes), (self.b.encode(whole[1:]), self.b_size, self.b_bytes)):
+            coded = np.array(ids, "<u4")
+            at = np.cumsum(size[coded])
             cut = np.searchsorted(at, ends)
-            if at[-1] != ends[-1] or (at[cut] != ends).any() or b"".join(map(table.__getitem__, ids)) != b" a" + b"".join(raw):
+            if at[-1] != ends[-1] or (at[cut] != ends).any() or b"".join(map(table.__getitem__, ids)) != raw:
                 return list(map(self.one, units))
-            coded, cut = np.array(ids, "<u4").tobytes(), (4 * (cut + 1)).tolist()
+            coded, cut = coded.tobytes(), (4 * (cut + 1)).tolist()
             sides.append([coded[x:y] for x, y in zip(cut, cut[1:])])
         return list(zip(*sides))
 
-    def learn(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of distinct units, from memory where they are known."""
+    def learn(self, units: list[str], often) -> list[tuple[bytes, bytes] | None]:
+        """Ids of distinct units, from memory where they are known; those marked as seen ``often`` are kept."""
         out = list(map(self.memo.known, units))
         new = [i for i, x in enumerate(out) if x is None]
         plain: list[int] = []
@@ -109,16 +122,30 @@ class Pair:
             if plain and (size > CHUNK or i == new[-1]):
                 for j, ids in zip(plain, self.many([units[j] for j in plain])):
                     out[j] = ids
-                    if ids and len(units[j]) <= self.memo.longest:
+                    if ids and often[j] and len(units[j]) <= self.memo.longest:
                         self.memo[units[j]] = ids
+                self.memo.trim()
                 plain, size = [], 0
-        self.memo.trim()
         return out
 
 
+class Vocabulary:
+    """What alignment needs to know of both: bytes per id, and decimal ids before "," "|" (A) and "," ";" (B), to spell groups."""
+
+    def __init__(self, a_size: np.ndarray, b_size: np.ndarray):
+        self.a_size, self.b_size = a_size, b_size
+        self.spelled = [f"{i}{mark}".encode() for size, marks in ((len(a_size), ",|"), (len(b_size), ",;")) for mark in marks for i in range(size)]
+        self.spelled_size = np.array([len(x) for x in self.spelled], np.int64)
+
+
 def _pair(models) -> Pair:
     a, b = models.value
-    return worker_cache(("pair", hashlib.sha256(a + b).digest()), lambda: Pair(a, b))
+    return worker_cache("alignment", hashlib.sha256(a + b).digest(), lambda: Pair(a, b))
+
+
+def _vocabulary(sizes) -> Vocabulary:
+    a, b = (np.frombuffer(x, np.int64) for x in sizes.value)
+    return worker_cache("alignment pass", hashlib.sha256(a.tobytes() + b.tobytes()).digest(), lambda: Vocabulary(a, b))
 
 
 class Numbering(dict):
@@ -133,14 +160,15 @@ def _encode(models, block_bytes: int, kind: pa.DataType):
     """A row per block: row ids, units per text, unit numbers, and by unit the number of ids of A and B and these ids."""
     def block_row(pair: Pair, number: int, ids: list, texts: list):
         numbers = Numbering()
-        of = [list(map(numbers.__getitem__, CUT.split(" " + t))) if t else [] for t in texts]
-        coded = pair.learn(list(numbers))
+        of = [list(map(numbers.__getitem__, units_of(t))) if t else [] for t in texts]
+        seen = np.bincount(np.fromiter((u for us in of for u in us), np.int64), minlength=len(numbers))
+        coded = pair.learn(list(numbers), (seen > 1).tolist())
         bad = {u for u, x in enumerate(coded) if x is None}
         if bad:
             of = [[] if not bad.isdisjoint(us) else us for us in of]
             coded = [x or (b"", b"") for x in coded]
         a, b = (zip(*coded) if coded else ((), ()))
-        arrays = [np.array(list(map(len, of)), "<u4"), np.array([u for us in of for u in us], "<u4"),
+        arrays = [np.array(list(map(len, of)), "<u4"), np.fromiter((u for us in of for u in us), "<u4"),
                   np.array(list(map(len, a)), "<u4") // 4, np.array(list(map(len, b)), "<u4") // 4]
         values = [x.tobytes() for x in arrays] + [b"".join(a), b"".join(b)]
         return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(kind)), *(pa.array([v], pa.binary()) for v in values)],
@@ -166,7 +194,7 @@ def _encode(models, block_bytes: int, kind: pa.DataType):
 class Block:
     """A stored block, aligned. Links (A token, B token) are in the order of A tokens; ``codes`` are its distinct pairs by shard."""
 
-    def __init__(self, row: dict, pair: Pair, shards: int):
+    def __init__(self, row: dict, pair: Vocabulary, shards: int):
         self.lengths, self.units, na, nb, a, b = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("lengths", "units", "na", "nb", "a", "b"))
         self.na, self.nb, self.a, self.b = na, nb, a, b
         a_end, b_end = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
@@ -187,7 +215,6 @@ class Block:
         back[order] = np.arange(len(order))
         self.link_code = back[self.link_code]
         self.link_unit = np.repeat(np.repeat(np.arange(len(na)), na), links)
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
 
     def document_counts(self) -> np.ndarray:
         """How many documents hold each of ``codes``."""
@@ -195,12 +222,18 @@ class Block:
         own = np.unique(self.link_unit * k + self.link_code)                    # distinct pairs of every unit
         unit, code = own // k, own % k
         per_unit = np.bincount(unit, minlength=u)
-        start = np.cumsum(per_unit) - per_unit
-        held = np.unique(self.doc * u + self.units)                              # distinct units of every document
-        doc, unit = held // u, held % u
-        n = per_unit[unit]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[unit], n)
-        return np.bincount(np.unique(np.repeat(doc, n) * k + code[at]) % k, minlength=len(self.codes))
+        first = np.cumsum(per_unit) - per_unit
+        edges = np.concatenate([[0], np.cumsum(self.lengths)])
+        counts, lo = np.zeros(len(self.codes), np.int64), 0
+        while lo < len(self.lengths):                                           # some documents at a time
+            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + PART, "right")) - 1)
+            doc = np.repeat(np.arange(hi - lo), self.lengths[lo:hi])
+            doc, held = np.divmod(np.unique(doc * u + self.units[edges[lo]:edges[hi]]), u)
+            n = per_unit[held]
+            at = np.arange(n.sum()) + np.repeat(first[held] - (np.cumsum(n) - n), n)
+            counts += np.bincount(np.unique(np.repeat(doc, n) * k + code[at]) % k, minlength=k)[:len(counts)]
+            lo = hi
+        return counts
 
     def by_unit(self, values: np.ndarray) -> np.ndarray:
         """Sums of values of links by unit."""
@@ -219,9 +252,9 @@ class Block:
         edge = np.concatenate([[0], np.cumsum(self.na)])
         return total[edge[1:]] - total[edge[:-1]]
 
-    def spelled(self, pair: Pair) -> list[bytes]:
+    def spelled(self, pair: Vocabulary) -> list[bytes]:
         """Every unit's groups as text, each with its ";"."""
-        na, nb = len(pair.a_bytes), len(pair.b_bytes)
+        na, nb = len(pair.a_size), len(pair.b_size)
         token = np.concatenate([self.a + na * self.a_cut, 2 * na + self.b + nb * self.b_cut])
         group = np.concatenate([np.cumsum(self.a_cut) - self.a_cut, np.cumsum(self.b_cut) - self.b_cut])
         order = np.argsort(2 * group + np.repeat([0, 1], [len(self.a), len(self.b)]), kind="stable")
@@ -240,14 +273,14 @@ def _blocks(batches, pair, shards):
     names = ["lengths", "units", "na", "nb", "a", "b"]
     for batch in batches:
         for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            yield row["block"], Block({n: row[n] for n in names}, pair, shards)
+            row = {n: batch.column(n)[i].as_py() for n in ("block", *names)}
+            yield row["block"], Block(row, pair, shards)
 
 
-def _request(models, shards: int):
+def _request(sizes, shards: int):
     """(shard, block, codes, counts): a block's distinct pairs and in how many of its documents they are."""
     def run(batches):
-        for number, block in _blocks(batches, _pair(models), shards):
+        for number, block in _blocks(batches, _vocabulary(sizes), shards):
             counts = block.document_counts()
             full, start = np.unique(block.shard, return_index=True)
             edges = [*start.tolist(), len(block.codes)]
@@ -352,9 +385,9 @@ def _answer(key, requests, hashes):
                      "best": pa.array([best[f].tobytes() for f in found], pa.binary())})
 
 
-def _align(models, shards: int, kind: pa.DataType, id_name: str):
+def _align(sizes, shards: int, kind: pa.DataType, id_name: str):
     def run(key, blocks, answers):
-        pair = _pair(models)
+        pair = _vocabulary(sizes)
         row = blocks.to_pylist()[0]
         block = Block(row, pair, shards)
         order = np.argsort(answers.column("shard").to_numpy())
@@ -385,14 +418,16 @@ def align_tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None
     ``groups_sha256``. NULL ids and repeated rows are rows of their own. Empty in, empty out. A text longer than a block is a block.
     """
     spark = docs.sparkSession
-    models = spark.sparkContext.broadcast((read_vocabulary(a_path or public_tokenizers.path("byte_bpe_50k.json")),
-                                           read_vocabulary(b_path or public_tokenizers.path("piece_bpe_32k.model"))))
+    files = (read_vocabulary(a_path or public_tokenizers.path("byte_bpe_50k.json")), read_vocabulary(b_path or public_tokenizers.path("piece_bpe_32k.model")))
+    pair = Pair(*files)
+    models = spark.sparkContext.broadcast(files)
+    sizes = spark.sparkContext.broadcast((pair.a_size.tobytes(), pair.b_size.tobytes()))
     from pyspark.sql.pandas.types import to_arrow_type
     kind, sql_kind = to_arrow_type(docs.schema[id_col].dataType), docs.schema[id_col].dataType.simpleString()
     shards = max(shuffle_partitions(spark), 16)
     binaries = ", ".join(f"{c} binary" for c in ("lengths", "units", "na", "nb", "a", "b"))
     blocks = stored(docs.select(id_col, text_col).mapInArrow(_encode(models, block_bytes, kind), f"block long, ids array<{sql_kind}>, {binaries}"), "blocks")
-    requests = stored(blocks.drop("ids").mapInArrow(_request(models, shards), "shard long, block long, codes binary, counts binary"), "requests")
+    requests = stored(blocks.drop("ids").mapInArrow(_request(sizes, shards), "shard long, block long, codes binary, counts binary"), "requests")
     levels = [blocks.count()]
     while levels[-1] > 1 or len(levels) < 2:
         levels.append(-(-levels[-1] // fan))
@@ -419,7 +454,7 @@ def align_tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None
                .applyInArrow(_answer, "block long, shard long, counts binary, best binary"))
     numbers = ", ".join(f"{c} long" for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"))
     aligned = (blocks.groupBy("block").cogroup(answers.groupBy("block"))
-               .applyInArrow(_align(models, shards, kind, id_col), f"`{id_col}` {sql_kind}, {numbers}, groups_sha256 string"))
+               .applyInArrow(_align(sizes, shards, kind, id_col), f"`{id_col}` {sql_kind}, {numbers}, groups_sha256 string"))
     return aligned, counted.select("keys", "vector").mapInArrow(_pairs, "a long, b long, count long, best boolean")
 
 

@@ -285,6 +285,19 @@ def _look(same: bool, k: int):
     return run
 
 
+def leaf_bins(loads: dict[int, int], leaves: int, rows: int) -> tuple[list[int], list[int]]:
+    """First bin and number of bins of every leaf: neighbours share a bin up to ``rows``, larger leaves are dealt over several."""
+    first, count, at, filled = [], [], -1, rows
+    for i in range(leaves):
+        own = loads.get(i, 0)
+        if filled + own > rows:
+            at, filled = at + 1, 0
+        first.append(at)
+        count.append(max(1, -(-own // rows)))
+        at, filled = at + count[-1] - 1, filled + own if count[-1] == 1 else rows
+    return first, count
+
+
 class Index:
     """The tree over stored nodes (``node``, ``label`` as a number, ``vec``), dealt into bins."""
 
@@ -303,14 +316,7 @@ class Index:
             tree.low[r.inner], tree.high[r.inner] = (np.frombuffer(bytes(x)).reshape(shape) for x in (r.low, r.high))
         self.tree = shipped(spark, tree)
         loads = {r.leaf: r["count"] for r in routed.groupBy("leaf").count().collect()}         # as many as the sample made
-        first, count, at, filled = [], [], -1, bin_rows
-        for i in range(len(tree.paths)):
-            rows = loads.get(i, 0)
-            if filled + rows > bin_rows:
-                at, filled = at + 1, 0
-            first.append(at)
-            count.append(max(1, -(-rows // bin_rows)))
-            at, filled = at + count[-1] - 1, filled + rows if count[-1] == 1 else bin_rows
+        first, count = leaf_bins(loads, len(tree.paths), bin_rows)
         self.leaf_bins = shipped(spark, (first, count))
         place = F.broadcast(spark.createDataFrame([*zip(range(len(first)), first, count)], "leaf long, first long, count long"))
         dealt = routed.join(place, "leaf").select((F.col("first") + F.pmod(F.xxhash64("node"), "count")).alias("bin"), "leaf", "node", "label", "vec")

@@ -11,7 +11,6 @@ is not also the general one. The places of the base phrases are counted apart fr
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -140,7 +139,6 @@ class Rule(NamedTuple):
     confidence: float
 
 
-@lru_cache(1)
 def rules() -> tuple[Rule, ...]:
     """All rules, by priority. Several hundred: every name under every template, and the texts."""
     def rule(label, name, pattern, keywords, priority, confidence):
@@ -159,7 +157,6 @@ def rules() -> tuple[Rule, ...]:
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
-@lru_cache(1)
 def gates() -> tuple[tuple[tuple[bytes, ...], tuple[tuple[tuple[bytes, ...], Rule], ...]], ...]:
     """Rules by their last keywords (the name's, if there is one), each with its other keywords."""
     out: dict[tuple[bytes, ...], list] = {}
@@ -210,10 +207,10 @@ def unsuppressed(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rul
     return kept
 
 
-def detections(text: bytes) -> list[tuple[int, int, Rule]]:
+def detections(text: bytes, gated=None) -> list[tuple[int, int, Rule]]:
     """(first word, end word, rule) of the matches that no other match suppresses."""
     found, seen = [], Memo(text.__contains__, 10_000)
-    for last, own in gates():
+    for last, own in gated or gates():
         if any(seen[k] for k in last):
             for first, r in own:
                 if any(seen[k] for k in first):
@@ -228,7 +225,7 @@ def detections(text: bytes) -> list[tuple[int, int, Rule]]:
 
 
 def _scan(batches):
-    worker_cache("license rules", gates)
+    gated = worker_cache("licenses", "gates", gates)
     for batch in batches:
         n, base, found = [], [], []
         for raw in raw_texts(batch.column(1)):
@@ -236,7 +233,7 @@ def _scan(batches):
             n.append(len(words))
             text = b" " + b" ".join(words) + b" "
             base.append([{"word": w, "label": label} for w, label in base_places(text)])
-            found.append([{"start": a, "end": b, "label": r.label, "rule": r.name, "confidence": r.confidence} for a, b, r in detections(text)])
+            found.append([{"start": a, "end": b, "label": r.label, "rule": r.name, "confidence": r.confidence} for a, b, r in detections(text, gated)])
         yield pa.RecordBatch.from_arrays([
             batch.column(0), pa.array(n, pa.int64()), pa.array(base, pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))),
             pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("rule", pa.string()),

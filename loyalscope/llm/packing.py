@@ -120,7 +120,7 @@ def _cut(vocabulary, capacity: int, end_id: int, with_ids: bool):
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches):
-        coder = worker_cache(("tokenizer", hashlib.sha256(vocabulary.value).digest()),
+        coder = worker_cache("packing", hashlib.sha256(vocabulary.value).digest(),
                              lambda: WordTokenizer(vocabulary.value))
         seen: dict[int, int] = {}
         pid = TaskContext.get().partitionId()

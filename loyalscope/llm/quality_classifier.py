@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loyalscope.llm.common import raw_texts, training_row
+from loyalscope.llm.common import raw_texts, received, shipped, training_row
 from loyalscope.llm.samples import labelled_rows, unlabelled_rows
 
 SYMBOLS = np.frombuffer(b"#*$%&<>", np.uint8)
@@ -121,11 +121,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
 def scorer(spark: SparkSession, model: PUModel):
     """A column function: text to score (0 to 1, the probability of label 1)."""
-    shipped = spark.sparkContext.broadcast(model)                            # a few hundred weights
+    sent = shipped(spark, model)                                             # a few hundred weights
 
     def score_texts(texts: pa.Array) -> pa.Array:
         x = np.array([statistics(raw) for raw in raw_texts(texts)]).reshape(-1, len(FEATURES))
-        return pa.array(shipped.value.score(x), pa.float64())
+        return pa.array(received(sent).score(x), pa.float64())
 
     return F.arrow_udf(score_texts, "double")
 

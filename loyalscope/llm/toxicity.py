@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loyalscope.llm.common import Memo, raw_texts, stored, worker_cache
+from loyalscope.llm.common import Memo, raw_texts, received, shipped, stored, worker_cache
 from loyalscope.llm.samples import labelled_rows
 
 #: Lengths of the word beginnings that are terms of their own.
@@ -41,7 +41,7 @@ def words_of(raw: bytes) -> list[bytes]:
 
 
 def _document_terms(batches):
-    memo = worker_cache("word_terms", lambda: Memo(word_terms, 200_000))
+    memo = worker_cache("toxicity", "terms", lambda: Memo(word_terms, 200_000))
     for batch in batches:
         terms = []
         for raw in raw_texts(batch.column(1)):
@@ -146,7 +146,7 @@ def _indices(chosen):
 
 def _score(model):
     def run(batches):
-        machine = model.value
+        machine = received(model)
         index = {int(t): i for i, t in enumerate(machine.terms.view(np.uint64))}
         memo = Memo(lambda w: tuple(index[t] for t in word_terms(w) if t in index), 300_000)
         for batch in batches:
@@ -164,6 +164,6 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
 
     Repeated rows and NULL ids pass through; a text's score does not depend on other columns.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)                      # at most max_terms terms
+    sent = shipped(docs.sparkSession, model)                                       # at most max_terms terms
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(_score(shipped), f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(_score(sent), f"id {kind}, score double").withColumnRenamed("id", id_col)

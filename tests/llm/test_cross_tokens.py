@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from loyalscope.llm.cross_tokens import MinimalHash, Pair, align_tokens, byte_characters
+from loyalscope.llm.cross_tokens import MinimalHash, Pair, align_tokens, byte_characters, units_of
 from tests.llm.helpers import make_docs, real_docs
 
 A = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -110,9 +110,12 @@ def test_pairs_table(spark):
 
 def test_units_are_encoded_as_in_the_whole_text():
     pair = Pair(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read(), open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
-    units = [" the", "\nNext", " don't", " été", " zzzq"]
+    units = ["the", "\nNext", "don't", "été", "zzzq"]
     assert pair.many(units) == list(map(pair.one, units))
-    assert pair.learn(units) == list(map(pair.one, units)) == pair.learn(units)
+    assert pair.learn(units, [True] * 5) == list(map(pair.one, units)) == pair.learn(units, [True] * 5)
+    for text in filter(None, ODD):
+        whole = "".join(u if u[0] in " \n" else " " + u for u in units_of(text))
+        assert whole == " " + text and all(units_of(text))
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
