@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages: from raw documents to packed training sequences.
 
 Every stage takes ``(spark, docs, sf_dir)`` and gives back a DataFrame that is written as Parquet and read
-again as the next stage's ``docs``; all but the last keep the columns of ``documents``.
+again as the next stage's ``docs``; all but the last give back the columns of ``documents`` and no others.
 """
 
 from __future__ import annotations
@@ -30,41 +30,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(quality_classifier.scorer(spark, model)(F.col("text")) >= 0.5).select(COLUMNS)
 
 
-def _one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates (five words, similarity 0.8): that of the smallest id, one without an id last.
-
-    Rows that share an id are documents of their own unless they are near-duplicates. Rows without words all stay.
-    """
-    near = {"width": 5, "share": 80}
-    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
-        gone = near_duplicates(docs, **near).where(~F.col("kept")).select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
-    # the ids do not tell the rows apart: equal texts become one row, and numbers in the order of the ids stand in for these
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *rest)).alias("first")
-    single = docs.where(worded).groupBy("text").agg(first).select("text", "first.*")
-    numbered = stored(single.orderBy("nameless", "doc_id", "text").withColumn("number", F.monotonically_increasing_id()), "numbered")
-    gone = near_duplicates(numbered, id_col="number", **near).where(~F.col("kept")).select("number")
-    return numbered.join(gone, "number", "left_anti").select(COLUMNS).unionByName(docs.where(~worded).select(COLUMNS))
-
-
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, similarity 0.8) one row stays, that of the smallest id.
+    """Of each group of near-duplicates (five words, similarity 0.8) one row stays, that of the smallest id; one without an id comes last.
 
-    Rows without an id stay here; the next stage takes their copies out before it cuts.
+    The rows are numbered once and grouped by number, so rows that share an id, or have none, are documents of their own.
+    Rows without words all stay.
     """
-    nameless = F.col("doc_id").isNull()
-    return _one_of_each(docs.where(~nameless)).unionByName(docs.where(nameless).select(COLUMNS))
+    rows = stored(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(rows, id_col="_row", width=5, share=80).where("n_shingles > 0").select("_row", "component_id")
+    named = groups.join(rows.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row")).alias("first")
+    several = named.groupBy("component_id").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id", F.col("first._row").alias("stays"))
+    gone = groups.join(several, "component_id").where("_row <> stays").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 35 words and more that repeat anywhere are cut out; other texts stay as they are.
-
-    Rows without an id that are near-duplicates of another row go first, else copies would cut each other out whole.
-    """
-    if not docs.where(F.col("doc_id").isNull()).isEmpty():
-        docs = stored(_one_of_each(docs), "single")
+    """Passages of 35 words and more that repeat anywhere are cut out; other texts stay as they are."""
     cut = substring_dedup(docs, keep=("lang", "source", "n_chars"))
     changed = F.col("n_removed") > 0
     return _with_text(cut.withColumn("_kept", F.when(changed, F.col("kept_text")).otherwise(F.col("text"))), F.col("_kept"))

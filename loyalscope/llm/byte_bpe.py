@@ -21,11 +21,11 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from loyalscope.llm.common import Memo, worker_cache
+from loyalscope.llm.common import Memo, single_spaced, worker_cache
 from loyalscope.llm.packing import read_vocabulary
 
 #: Entries of a worker's memos.
-RUN_CACHE, PIECE_CACHE = 100_000, 400_000
+WORD_CACHE, PIECE_CACHE = 100_000, 600_000
 #: Rows that a worker holds results of.
 ROWS = 1_000
 # Unicode white space.
@@ -43,6 +43,8 @@ NEWER = (
 # Runs that need no general split: letters up to U+024F, then ASCII punctuation without apostrophes.
 SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 MASK32 = (1 << 32) - 1
+#: Ranks are below 2 ** SHIFT.
+SHIFT = 24
 
 
 def parse_ranks(data: bytes) -> list[bytes]:
@@ -106,17 +108,30 @@ class Coder:
         self.ranks = {t: i for i, t in enumerate(self.tokens) if t}
         self.whole = PerfectHash(list(self.ranks))
         self.rank_at = list(self.ranks.values())
+        self.byte_ids = [self.ranks[bytes([c])] for c in range(256)]
+        # every token that is two tokens side by side, by these
+        self.pairs = {self.ranks[t[:k]] << SHIFT | self.ranks[t[k:]]: i for t, i in self.ranks.items() for k in range(1, len(t))
+                      if t[:k] in self.ranks and t[k:] in self.ranks}
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
         self.split = split_pattern(pattern).findall
         self.runs = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
-        self.by_run = Memo(self.run_ids, RUN_CACHE)
+        self.by_word = Memo(self.word_ids, WORD_CACHE)
         self.by_piece = Memo(self.piece_ids, PIECE_CACHE)
 
     def encode(self, text: str) -> bytes:
-        ids = b"".join(map(self.by_run.__getitem__, self.runs(text)))
-        self.by_run.trim()
+        if single_spaced(text):
+            first, *rest = text.replace("\n", " \n").split(" ")
+            ids = self.run_ids(first) + b"".join(map(self.by_word.__getitem__, rest))
+        else:
+            ids = b"".join(map(self.run_ids, self.runs(text)))
+        self.by_word.trim()
         self.by_piece.trim()
         return ids
 
+    def word_ids(self, word: str) -> bytes:
+        """Ids of a word after a space, or as it stands if it begins with a line break."""
+        return self.by_piece["\n"] + self.run_ids(word[1:]) if word[0] == "\n" else self.run_ids(" " + word)
+
     def run_ids(self, run: str) -> bytes:
         simple = SIMPLE(run)
         if simple is None:
@@ -127,40 +142,40 @@ class Coder:
     def piece_ids(self, piece: str) -> bytes:
         raw = piece.encode()
         i = self.whole.find(raw)
-        ids = [self.rank_at[i]] if i >= 0 else self.merge(raw)
-        return np.array(ids, "<u4").tobytes()
+        return self.packed[self.rank_at[i]] if i >= 0 else b"".join(map(self.packed.__getitem__, self.merge(raw)))
 
     def merge(self, raw: bytes) -> list[int]:
-        """Lowest rank first, leftmost on ties; node i spans raw[i:after[i]] and ``pair[i]`` is its rank with the next node, or -1."""
-        n, rank = len(raw), self.ranks.get
+        """Lowest rank first, leftmost on ties. The bytes are a linked list: node i has token ``ids[i]`` and ends at ``after[i]``,
+        ``pair[i]`` is its rank with the next node or -1."""
+        n, rank = len(raw), self.pairs.get
+        ids = [self.byte_ids[c] for c in raw]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [rank(raw[i:i + 2], -1) for i in range(n - 1)] + [-1]
+        pair = [rank(x << SHIFT | y, -1) for x, y in zip(ids, ids[1:])]
+        pair.append(-1)
         heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
         heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
         while heap:
             entry = pop(heap)
-            i = entry & MASK32
-            if pair[i] != entry >> 32:                     # a neighbour has changed meanwhile
+            i, merged = entry & MASK32, entry >> 32
+            if pair[i] != merged:                          # a neighbour has changed meanwhile
                 continue
             j = after[i]
             end = after[i] = after[j]
-            pair[i] = pair[j] = -1
+            ids[i], ids[j], pair[j] = merged, -1, -1
             if end < n:
                 before[end] = i
-                if (r := rank(raw[i:after[end]], -1)) >= 0:
-                    pair[i] = r
+                pair[i] = r = rank(merged << SHIFT | ids[end], -1)
+                if r >= 0:
                     push(heap, r << 32 | i)
+            else:
+                pair[i] = -1
             p = before[i]
             if p >= 0:
-                pair[p] = r = rank(raw[p:end], -1)
+                pair[p] = r = rank(ids[p] << SHIFT | merged, -1)
                 if r >= 0:
                     push(heap, r << 32 | p)
-        out, i = [], 0
-        while i < n:
-            out.append(rank(raw[i:after[i]]))
-            i = after[i]
-        return out
+        return [x for x in ids if x >= 0]
 
 
 def _coder(vocabulary, pattern: str) -> Coder:

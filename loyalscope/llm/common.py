@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import sys
 from collections.abc import Callable, Iterable
 
@@ -16,7 +17,7 @@ from loyalscope.session import stored  # noqa: F401  (the operators take it from
 
 MASK64 = (1 << 64) - 1
 #: Words whose hash one Python worker keeps; the cache starts anew beyond it.
-WORD_CACHE = 300_000
+WORD_CACHE = 200_000
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -98,9 +99,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+# White space (and what may be taken for it) other than a single space or line break.
+_DOUBLE = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+_WIDE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u2581\u3000\ufeff]")
+
+
+def single_spaced(text: str) -> bool:
+    """Whether the text is not empty and its only white space is single spaces and line breaks inside."""
+    return (bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in _DOUBLE)
+            and (text.isascii() or not _WIDE.search(text)))
+
+
 def raw_texts(column) -> Iterable[bytes]:
-    """UTF-8 bytes of an Arrow string column; NULL counts as empty."""
-    return (x or b"" for x in column.cast("large_binary").to_pylist())
+    """UTF-8 bytes of an Arrow string column, some rows at a time; NULL counts as empty."""
+    for lo in range(0, len(column), 256):
+        yield from (x or b"" for x in column.slice(lo, 256).cast("large_binary").to_pylist())
 
 
 def training_row(id_col: str = "doc_id"):

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loyalscope.llm.common import Memo, mix, shuffle_partitions, stored, worker_cache
+from loyalscope.llm.common import Memo, mix, shuffle_partitions, single_spaced, stored, worker_cache
 from loyalscope.llm.packing import read_vocabulary
 
 #: Units whose ids one worker keeps, and bytes of new units that are encoded at once.
@@ -39,9 +39,6 @@ PART = 100_000
 WHITE = r"\s\u180e\u200b-\u200d\u2060\ufeff\u2581"
 CUT = re.compile(rf"(?<=[^{WHITE}])(?=[ \n][^{WHITE}])")
 PLAIN = re.compile(rf"\n?[^{WHITE}]+")
-# Any of these makes a text's cuts a matter of CUT; else they are at every space and line break.
-DOUBLE = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
-WIDE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u2581\u3000\ufeff]")
 #: Levels of a minimal perfect hash; what is left then is searched in order.
 LEVELS = 40
 
@@ -55,8 +52,7 @@ def byte_characters() -> dict[str, int]:
 
 def units_of(text: str) -> list[str]:
     """The units of a space and a text. One that begins with a line break or a space is meant as it stands, any other after a space."""
-    if (text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in DOUBLE)
-            and (text.isascii() or not WIDE.search(text))):
+    if single_spaced(text):
         return text.replace("\n", " \n").split(" ")
     return [u if u[0] == "\n" or u[1:2] in ("", " ", "\n") else u[1:] for u in CUT.split(" " + text)]
 

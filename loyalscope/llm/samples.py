@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 from loyalscope.llm.common import training_row
 
 
-def _smallest_hashes(ids: DataFrame, rows: int) -> DataFrame:
-    return ids.orderBy(F.xxhash64("_sample_id"), "_sample_id").limit(rows)
-
-
 def hashed_sample(rows: DataFrame, most: int, *keys: str) -> DataFrame:
-    """The ``most`` rows with the smallest hashes of ``keys`` (all, if fewer), without one task that reads more than a few times that.
+    """The ``most`` rows with the smallest hashes of ``keys``, one row per keys (all, if fewer), without one task that reads more
+    than a few times that.
 
     A cut-off on the hash, taken from the row count, leaves about ``2 * most`` rows wherever they lie; only these are
     ranked. Should the hashes be so uneven that fewer than ``most`` pass, the cut-off is doubled.
@@ -24,16 +21,16 @@ def hashed_sample(rows: DataFrame, most: int, *keys: str) -> DataFrame:
     while total > 4 * most and share < 1:
         share = 2 * share or 2 * most / total
         passed = hashed.where(F.col("_hash") < int(min(share, 1) * (1 << 64)) - (1 << 63)) if share < 1 else hashed
-        if passed.limit(most).count() == most:
+        if passed.dropDuplicates(list(keys)).limit(most).count() == most:
             break
-    return passed.orderBy("_hash", *keys).limit(most).drop("_hash")
+    return passed.dropDuplicates(list(keys)).orderBy("_hash", *keys).limit(most).drop("_hash")
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``text``, ``y`` of at most ``rows`` labelled training ids (of several labels of an id, the largest)."""
     known = (labels.where(training_row(id_col) & F.col(label).isin(0, 1))
              .groupBy(F.col(id_col).alias("_sample_id")).agg(F.max(label).cast("int").alias("_y")))
-    sample = F.broadcast(_smallest_hashes(known, rows))     # bounded by ``rows``
+    sample = F.broadcast(hashed_sample(known, rows, "_sample_id"))     # bounded by ``rows``
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
             .join(sample, F.col("id") == F.col("_sample_id")).select("id", "text", F.col("_y").alias("y")))
 
@@ -41,6 +38,6 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_
 def unlabelled_rows(docs: DataFrame, rows: int, id_col: str, text_col: str) -> DataFrame:
     """``id`` and ``text`` of at most ``rows`` training ids, whether labelled or not; no label is read."""
     ids = docs.where(training_row(id_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_sample_id")).distinct()
-    sample = F.broadcast(_smallest_hashes(ids, rows))       # bounded by ``rows``
+    sample = F.broadcast(hashed_sample(ids, rows, "_sample_id"))       # bounded by ``rows``
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
             .join(sample, F.col("id") == F.col("_sample_id")).select("id", "text"))

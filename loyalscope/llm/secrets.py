@@ -4,7 +4,7 @@ Everything is a DataFrame expression (no Python on the executors). Spark has no
 places of a pattern's matches, so a text is both split at and extracted by the pattern: a match starts
 after the pieces and matches before it.
 
-The method's own spans are runs of token characters that no base span overlaps and that a first-order
+The method's own spans are runs of token characters, or what base spans leave of them, that a first-order
 Markov chain of random strings explains better than one of ordinary identifiers: the mean and the sum
 of log P(b|a, random) - log P(b|a, identifier) over neighbouring characters pass two thresholds. Both
 chains are counted from labelled samples with add-one smoothing.
@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loyalscope.llm.samples import hashed_sample
+
 # The base kinds in their order, their patterns, the group that is measured and its least length.
 BASE = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -25,24 +27,32 @@ BASE = (
 )
 KIND = "random"
 #: Runs of token characters that the models judge.
-RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+LEAST = 16
+RUN = rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
+#: Matches whose lengths are summed one by one.
+CHUNK = 256
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 MARK = "[SECRET]"
 
 
 def _matches(text: str, pattern: str, group: int = 0, least: int = 0) -> Column:
-    """Array of (start, end, value) of a pattern's matches whose ``group`` has ``least`` characters."""
+    """Array of (start, end, value) of a pattern's matches whose ``group`` has ``least`` characters.
+
+    Places are sums of the lengths before: by ``CHUNK`` matches, then inside the chunk, so the work per match is bounded.
+    """
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
     found, cut = f"regexp_extract_all({text}, '{quoted}', 0)", f"split({text}, '{quoted}', -1)"
+    add = "0, (a, x) -> a + x"
     return F.expr(f"""
         CASE WHEN size({found}) > 0 THEN
           filter(transform(array(named_struct('m', {found}, 'p', {cut})), z ->
-              transform(sequence(0, size(z.m) - 1), k -> named_struct(
-                'start', aggregate(slice(z.p, 1, k + 1), 0, (a, x) -> a + length(x))
-                       + aggregate(slice(z.m, 1, k), 0, (a, x) -> a + length(x)),
-                'end', aggregate(slice(z.p, 1, k + 1), 0, (a, x) -> a + length(x))
-                     + aggregate(slice(z.m, 1, k + 1), 0, (a, x) -> a + length(x)),
-                'value', z.m[k])))[0],
+            transform(array(transform(z.m, (v, i) -> length(z.p[i]) + length(v))), l ->
+              transform(array(transform(sequence(0, (size(l) - 1) div {CHUNK}), c -> aggregate(slice(l, CAST(c * {CHUNK} + 1 AS INT), {CHUNK}), {add}))), s ->
+                transform(array(transform(s, (v, c) -> aggregate(slice(s, 1, c), {add}))), f ->
+                  transform(z.m, (v, k) -> transform(array(
+                    f[CAST(k div {CHUNK} AS INT)] + aggregate(slice(l, CAST((k div {CHUNK}) * {CHUNK} + 1 AS INT), k % {CHUNK}), {add}) + length(z.p[k])), at ->
+                      named_struct('start', at, 'end', at + length(v), 'value', v))[0])
+            )[0])[0])[0])[0],
             s -> length(regexp_extract(s.value, '{quoted}', {group})) >= {least})
         ELSE CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, value: STRING>>) END""")
 
@@ -70,8 +80,8 @@ def fit(samples: DataFrame) -> list[float]:
 def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 500) -> DataFrame:
     """Samples to fit on: the words of at most ``rows`` documents, alone and joined as in code
     (identifiers), and digests in hex, base 64, upper case and without symbols (random strings)."""
-    words = (docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
-             .orderBy(F.xxhash64("i"), "i").limit(rows)
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
+    words = (hashed_sample(texts, rows, "i", "t")
              .select(F.expr("regexp_extract_all(t, '[A-Za-z]{2,}', 0)").alias("w")))
     identifiers = words.select(F.explode(F.expr("""
         flatten(transform(w, (x, k) -> array(x, lower(x),
@@ -103,12 +113,19 @@ def find_secrets(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", t
     base = f"concat({', '.join(f'_{k}' for k in kinds)})"
     table = F.array(*(F.lit(float(x)) for x in ratios))
     found = found.withColumn("_llr", table)
-    # A run is judged only where no base span overlaps it.
-    judged = found.withColumn("_random", F.expr(f"""
-        filter(_runs, r -> NOT exists({base}, b -> b.start < r.end AND r.start < b.end)
-          AND aggregate(sequence(1, length(r.value) - 1), CAST(0 AS DOUBLE), (a, i) -> a
-            + _llr[(instr('{ALPHABET}', substring(r.value, i, 1)) - 1) * {n} + instr('{ALPHABET}', substring(r.value, i + 1, 1)) - 1],
-            a -> a >= {total} AND a >= {mean} * (length(r.value) - 1)))"""))
+    # What base spans leave of a run is judged: a part begins at the run's start or after a base span and ends at the next one or the run's end.
+    parts = found.withColumn("_base", F.expr(base)).withColumn("_parts", F.expr(f"""
+        flatten(transform(_runs, r -> transform(array(filter(_base, b -> b.start < r.end AND r.start < b.end)), over ->
+          CASE WHEN size(over) = 0 THEN array(r) ELSE
+            filter(transform(filter(array_distinct(concat(array(r.start), transform(over, b -> b.end))),
+                                    x -> x < r.end AND NOT exists(over, b -> b.start <= x AND x < b.end)),
+                             x -> transform(array(array_min(concat(array(r.end), transform(filter(over, b -> b.start >= x), b -> b.start)))), y ->
+                               named_struct('start', x, 'end', y, 'value', substring(r.value, x - r.start + 1, y - x)))[0]),
+                   q -> q.end - q.start >= {LEAST}) END)[0]))"""))
+    judged = parts.withColumn("_random", F.expr(f"""
+        filter(_parts, r -> aggregate(transform(array(transform(split(r.value, ''), c -> instr('{ALPHABET}', c) - 1)), k ->
+            aggregate(sequence(1, length(r.value) - 1), CAST(0 AS DOUBLE), (a, i) -> a + _llr[k[i - 1] * {n} + k[i]]))
+          , CAST(0 AS DOUBLE), (a, x) -> a + x, a -> a >= {total} AND a >= {mean} * (length(r.value) - 1)))"""))
     arrays = ", ".join(f"transform(_{k}, s -> named_struct('start', s.start, 'rank', {i}, 'end', s.end, 'kind', '{k}'))"
                        for i, k in enumerate([*kinds, KIND]))
     return judged.select(id_col, text_col, *keep, F.expr(f"array_sort(concat({arrays}))").alias("spans"))

@@ -54,13 +54,14 @@ def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Block:
     """The windows of one block's documents, in the documents' order."""
 
-    def __init__(self, texts, width: int):
+    def __init__(self, texts, width: int, keep_words: bool = True):
         memo, self.words, hashes = word_memo(), [], []
         for raw in texts:
             words = raw.split()
             hashes.append(word_hashes(words, memo))
             memo.trim()
-            self.words.append(words)
+            if keep_words:
+                self.words.append(words)
         powers = power_tables(max(map(len, hashes), default=0))
         windows = [window_hashes(h, width, powers) if len(h) >= width else h[:0] for h in hashes]
         self.starts = np.cumsum([0, *map(len, windows)])
@@ -85,7 +86,7 @@ def removed_intervals(repeated: np.ndarray, width: int) -> np.ndarray:
 
 def _send(width: int, buckets: int, text_at: int):
     def send(key, table):
-        block = Block(raw_texts(table.column(text_at)), width)
+        block = Block(raw_texts(table.column(text_at)), width, keep_words=False)
         cuts = block.cuts(buckets)
         full = np.flatnonzero(cuts[1:] > cuts[:-1])
         return pa.table({
@@ -143,7 +144,7 @@ def _remove(width: int, buckets: int, columns: int, schema: pa.Schema):
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35,
-                    keep: tuple[str, ...] = (), block_bytes: int = 8 << 20,
+                    keep: tuple[str, ...] = (), block_bytes: int = 4 << 20,
                     bucket_bytes: int = 32 << 20) -> DataFrame:
     """Remove every word covered by a window of ``width`` words that also starts anywhere else.
 
