@@ -80,6 +80,13 @@ NAMES = (
     ("elastic", r"elastic", "elastic 2 0", "elastic"),
     ("openrail", r"(?:open ?rail(?: m)?|responsible ai)", "openrail", "rail|openrail|responsible"),
 )
+#: Names that are also products, institutes or plain words: a grant needs "licensed", the word license, or "under" with a version.
+BARE = {"mit", "apache", "isc", "artistic", "zlib", "boost", "python", "ruby", "php", "postgresql", "openssl", "elastic", "cpl", "bsl", "odbl", "openrail"}
+BARE_GRANT = (r"(?:licensed (?:to you )?under (?:the )?(?:terms of )?(?:the )?(?:{name})(?: licen[cs]e)?"
+              r"|(?:released|distributed|available|published|provided|redistributed|covered|made available) (?:to you )?"
+              r"(?:under|by) (?:the )?(?:terms of )?(?:the )?(?:{name}) licen[cs]e"
+              r"|(?:released|distributed|available|published|provided|redistributed|covered|made available) (?:to you )?"
+              r"under (?:the )?(?:terms of )?(?:the )?(?:{name}) (?:version )?v? ?\d+(?: \d+)?)(?: version \d+(?: \d+)?)?")
 # Hand-written templates: (what, pattern around the name, keyword, priority, confidence).
 TEMPLATES = (
     ("spdx", r"spdx license identifier {spdx}(?: only| or later)?", "spdx", 60, 1.0),
@@ -153,6 +160,8 @@ def rules() -> tuple[Rule, ...]:
                 continue
             specific = 5 * (any(c.isdigit() for c in label) or "nc" in label or "sa" in label or label in ("lgpl", "agpl", "cc-by-nd"))
             keywords = (around,) if what == "spdx" else (around, word)
+            if what == "grant" and label in BARE:
+                template = BARE_GRANT
             out.append(rule(label, what, template.format(name=name, spdx=spdx), keywords, priority + specific, confidence))
     return tuple(sorted(out, key=lambda r: -r.priority))
 

@@ -3,8 +3,13 @@
 Trusted positives are the documents labelled 1; everything else is unlabelled web text whose labels
 are not read. With class prior p the risk is p E_P[l(f)] + max(0, E_U[l(-f)] - p E_P[l(-f)]): where the
 second term turns negative (l is the sigmoid loss) the step goes the other way, so the model cannot explain the positives
-inside the unlabelled text away. p is estimated from the training labels. f is additive: every
-document statistic is cut at quantiles of the unlabelled sample and each bin has a weight.
+inside the unlabelled text away. f is additive: every document statistic is cut at quantiles of the
+unlabelled sample and each bin has a weight.
+
+p comes from positives and unlabelled text alone: a model that tells half of the positives from half of the unlabelled rows scores the
+other halves. Above any threshold lie a share a of the held-back positives and a share b of the unlabelled rows, and b >= p a, as
+the unlabelled positives are scored like the held-back ones; so b / a where its upper bound is least (the threshold above
+which hardly anything but positives is left) estimates p.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loyalscope.llm.common import raw_texts, received, shipped, training_row
+from loyalscope.llm.common import raw_texts, received, shipped
 from loyalscope.llm.samples import labelled_rows, unlabelled_rows
 
 SYMBOLS = np.frombuffer(b"#*$%&<>", np.uint8)
@@ -69,6 +74,22 @@ class PUModel:
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(self.bins(x)), -30, 30)))
 
+    def tell_apart(self, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate: float = 0.03, l2: float = 1e-3) -> PUModel:
+        """Logistic loss, both samples weighing the same (Adam on all rows)."""
+        bins = np.concatenate([self.bins(positive), self.bins(unlabelled)])
+        y = np.repeat([1.0, 0.0], [len(positive), len(unlabelled)])
+        weight = 0.5 / np.where(y == 1, len(positive), len(unlabelled))
+        size = self.offsets[-1] + 1
+        theta, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+        for t in range(1, steps + 1):
+            self.weights, self.bias = theta[:-1], float(theta[-1])
+            d = weight * (1 / (1 + np.exp(-np.clip(self.raw(bins), -30, 30))) - y)
+            g = np.append(np.bincount(bins.ravel(), np.repeat(d, bins.shape[1]), size - 1), d.sum()) + l2 * theta
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            theta = theta - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        self.weights, self.bias = theta[:-1], float(theta[-1])
+        return self
+
     def fit(self, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, rate: float = 0.02, l2: float = 2e-5) -> PUModel:
         """Adam on the whole sample; the negative part's gradient flips while its estimate is below 0."""
         p, bp, bu = self.prior, self.bins(positive), self.bins(unlabelled)
@@ -91,16 +112,25 @@ class PUModel:
         return self
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, edges: list[np.ndarray]) -> float:
+    """The share of positives among the unlabelled rows, from rows in no order of their own."""
+    teller = PUModel(edges, 0.5).tell_apart(positive[::2], unlabelled[::2])
+    held, mixed = (np.sort(teller.raw(teller.bins(x[1::2]))) for x in (positive, unlabelled))
+    if not len(held) or not len(mixed):
+        return 0.5
+    at = np.unique(held)
+    a, b = (1 - np.searchsorted(x, at) / len(x) for x in (held, mixed))
+    doubt = (np.log(20) / 2) ** 0.5 * (len(held) ** -0.5 + len(mixed) ** -0.5)
+    return float(np.clip((b / a)[np.argmin((b + doubt) / a)], 0.01, 0.99))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
         fit_rows: int = 12_000, bins: int = 24) -> PUModel:
     """Fit on at most ``fit_rows`` trusted positives and ``fit_rows`` unlabelled rows, crc32(id) % 3 != 1.
 
-    The class prior is the share of label 1 among all training labels. Without positives or texts the
-    model is constant and scores the prior (0.5 without labels).
+    No label but 1 is read; the class prior is estimated from the positives and the unlabelled rows. Without positives or
+    texts the model is constant and scores 0.5.
     """
-    n, k = (labels.where(training_row(id_col) & F.col(label).isin(0, 1))
-            .agg(F.count(F.lit(1)), F.coalesce(F.sum(label), F.lit(0))).head())
-    prior = min(max(k / n, 0.01), 0.99) if n else 0.5
     kind = docs.schema[id_col].dataType.simpleString()
     trusted = labelled_rows(docs, labels.where(F.col(label) == 1), label, fit_rows, id_col, text_col)
     mixed = unlabelled_rows(docs, fit_rows, id_col, text_col).withColumn("y", F.lit(-1))
@@ -110,12 +140,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     positive = np.array([r.x for r in rows if r.y == 1]).reshape(-1, len(FEATURES))
     unlabelled = np.array([r.x for r in rows if r.y != 1]).reshape(-1, len(FEATURES))
     if not len(positive) or not len(unlabelled):
-        model = PUModel([np.zeros(0)] * len(FEATURES), prior)
-        model.bias = float(np.log(prior / (1 - prior)))
-        return model
+        return PUModel([np.zeros(0)] * len(FEATURES), 0.5)
     at = np.linspace(0, 1, bins + 1)[1:-1]
     edges = [np.unique(np.concatenate([np.quantile(unlabelled[:, j], at), np.quantile(unlabelled[:, j], [0.01, 0.99])]))
              for j in range(len(FEATURES))]
+    mixed_up = np.random.default_rng(0)
+    prior = estimated_prior(mixed_up.permutation(positive), mixed_up.permutation(unlabelled), edges)
     return PUModel(edges, prior).fit(positive, unlabelled)
 
 

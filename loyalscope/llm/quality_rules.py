@@ -1,8 +1,8 @@
 """Quality rules: fixed base rules, and the divergence of a document from its language.
 
 Everything is a DataFrame expression. Every document gets two histograms, of character classes and of
-the language's common words; a language's reference is the mean histogram of its documents over the whole table. A
-document whose Jensen-Shannon distance to its reference passes a limit is dropped, unless it is too
+the language's common words; a language's reference, one for every value of the column, is the mean histogram of its documents that
+pass the base rules, over the whole table. A document whose Jensen-Shannon distance to its reference passes a limit is dropped, unless it is too
 short for its histogram to mean anything. Repeated three-word windows are found inside the row: hashes
 of the windows are sorted with their places, equal neighbours are repeats, and their places are merged.
 """
@@ -21,7 +21,8 @@ COMMON = {
     "de": ("der", "die", "und", "das", "den", "von", "zu", "mit", "ist", "sich", "des", "auf", "nicht", "im"),
     "es": ("de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por", "con", "para"),
 }
-OTHER = "other"
+#: Rows of the references' table that are broadcast at most; beyond it the join is Spark's choice.
+BROADCAST_ROWS = 4096
 #: Character classes counted by pattern; white space and the rest make two more bins.
 CLASSES = {"upper": "[A-Z]+", "digit": "[0-9]+", "mark": r"""[.,;:!?'"()\-]+""", "symbol": r"[#*$%&|<>]+", "wide": r"[^\x00-\x7F]+"}
 WORDS = r"array_remove(split(t, '[ \\t-\\r]+'), '')"
@@ -37,16 +38,10 @@ transform(array(transform({w}, x -> xxhash64(x))), h ->
 """
 
 
-def _language(lang: Column | None) -> Column:
-    if lang is None:
-        return F.lit(OTHER)
-    return F.when(lang.isin(*COMMON), lang).otherwise(F.lit(OTHER))
-
-
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """Base measures and the two histograms (shares, each with a bin for the rest) per row."""
-    lang = F.col(lang_col) if lang_col else None
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), _language(lang).alias("language"))
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col else F.lit("")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), lang.alias("language"))
     rows = rows.withColumn("w", F.expr(WORDS)).withColumn("j", _common_words())
     counted = rows.select(
         "id", "language", F.size("w").cast("long").alias("n_words"),
@@ -104,19 +99,20 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     common-word histograms lie within ``class_limit`` and ``word_limit`` of the language's mean, each judged
     only from ``class_words`` and ``word_words`` words on.
 
-    NULL text counts as empty. Languages without a word list, and NULL, share one reference. Repeated
-    rows and NULL ids pass through; each row counts towards its reference. Empty in, empty out.
+    NULL text counts as empty. Every language value has its own references; NULL and '' share one. Words are judged only in languages
+    with a word list. Repeated rows and NULL ids pass through; each row counts towards its reference. Empty in, empty out.
     """
     rows = stored(statistics(docs, id_col, text_col, lang_col), "statistics")
     sizes = {"class_shares": len(CLASSES) + 2, "word_shares": len(COMMON["en"]) + 1}
-    judged = rows.where(F.col("n_words") >= least_words)
-    means = judged.groupBy("language").agg(*(F.array(*(F.avg(F.col(c)[i]) for i in range(n))).alias(f"mean_{c}") for c, n in sizes.items()))
-    # One row per word list and one for the rest: never more than len(COMMON) + 1.
-    joined = rows.join(F.broadcast(means), "language", "left")
-    distances = {f"{kind}_distance": F.coalesce(_distance(f"{kind}_shares", f"mean_{kind}_shares"), F.lit(0.0)) for kind in ("class", "word")}
     n = F.col("n_words")
     failed = (n < least_words) | (100 * F.col("n_repeat_words") > 50 * n)
-    far = ((n >= class_words) & (F.col("class_distance") > class_limit)) | ((n >= word_words) & (F.col("word_distance") > word_limit))
+    means = stored(rows.where(~failed).groupBy("language")
+                   .agg(*(F.array(*(F.avg(F.col(c)[i]) for i in range(n_bins))).alias(f"mean_{c}") for c, n_bins in sizes.items())), "references")
+    few = means.count() <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(means) if few else means, "language", "left")
+    distances = {f"{kind}_distance": F.coalesce(_distance(f"{kind}_shares", f"mean_{kind}_shares"), F.lit(0.0)) for kind in ("class", "word")}
+    far = (((n >= class_words) & (F.col("class_distance") > class_limit))
+           | (F.col("language").isin(*COMMON) & (n >= word_words) & (F.col("word_distance") > word_limit)))
     return (joined.withColumns(distances).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~far)
             .select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     "base_failed", "kept", "class_distance", "word_distance"))

@@ -81,3 +81,11 @@ def test_labels_of_held_out_rows_are_never_read(spark, tables):
         "quality", F.when(held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (quality_classifier.fit(docs, x) for x in (labels, flipped))
     assert np.array_equal(a.weights, b.weights) and a.prior == b.prior
+
+
+def test_prior_from_positives_and_unlabelled_rows(spark, tables):
+    """Within 0.05 of the labels' share, though no negative is labelled."""
+    docs, labels = tables
+    true = labels.agg(F.avg("quality")).head()[0]
+    a, b = (quality_classifier.fit(docs, x) for x in (labels, labels.where("quality = 1")))
+    assert abs(a.prior - true) < 0.05 and a.prior == b.prior and np.array_equal(a.weights, b.weights)

@@ -115,3 +115,35 @@ def test_texts_without_a_common_license_word():
     }
     for text, label in cases.items():
         assert [r.label for *_, r in detections(b" " + b" ".join(normalise(text.encode())) + b" ")] == [label], text
+
+
+def test_a_bare_name_is_no_grant():
+    for text in ("provided by Ruby", "published by Elastic in May", "provided by the boost programme", "distributed by Apache helicopters",
+                 "made available by MIT", "released under Python 3 supervision by php"):
+        labels = [r.label for *_, r in detections(b" " + b" ".join(normalise(text.encode())) + b" ")]
+        assert labels == (["python"] if "Python 3" in text else []), (text, labels)
+    for text, label in (("licensed under MIT", "mit"), ("provided under the Ruby license", "ruby"), ("covered by the PostgreSQL License", "postgresql")):
+        assert label in [r.label for *_, r in detections(b" " + b" ".join(normalise(text.encode())) + b" ")], text
+
+
+def test_gates_and_suppression_against_all_rules_and_all_pairs():
+    rnd = random.Random(12)
+    parts = ["gnu", "general", "public", "license", "lesser", "library", "apache", "software", "version 2", "2 0", "mit", "under", "by", "the", "terms of", "licensed",
+             "released", "cc", "by sa", "nc", "creative commons", "attribution", "gpl", "v3", "bsd", "3 clause", "spdx license identifier", "or later", "all rights reserved",
+             "copyright 2020", "acme", "mozilla public license", "elastic", "ruby", "copyleft", "public domain", "word", "this is free and unencumbered software released into the public domain"]
+    every, gated, hits = rules(), gates(), 0
+    for _ in range(300):
+        text = b" " + b" ".join(normalise(" ".join(rnd.choice(parts) for _ in range(rnd.randrange(3, 25))).encode())) + b" "
+        found = [(m.start() + 1, m.end(), r) for r in every for m in r.pattern.finditer(text)]
+
+        def beats(o, m):
+            inside = o[0] <= m[0] and m[1] <= o[1]
+            return inside and (o[2].priority > m[2].priority or o[2].priority == m[2].priority and (
+                o[1] - o[0] > m[1] - m[0] or o[1] - o[0] == m[1] - m[0] and (o[2].label, o[2].name) < (m[2].label, m[2].name)))
+
+        want = sorted(((lo, hi, r.label, r.name) for lo, hi, r in found if not any(beats(o, (lo, hi, r)) for o in found)))
+        starts = [i for i, c in enumerate(text) if c == 32]
+        want = sorted((starts.index(lo - 1), starts.index(hi), label, name) for lo, hi, label, name in want)
+        assert [(a, b, r.label, r.name) for a, b, r in detections(text, gated)] == want, text
+        hits += len(want)
+    assert hits > 500

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
 import pytest
 
-from loyalscope.llm.quality_rules import quality_rules
+from loyalscope.llm.quality_rules import CLASSES, COMMON, quality_rules
 from tests.llm.helpers import make_docs, real_docs
 
 
@@ -57,3 +58,43 @@ def test_empty_table_and_repeated_rows(spark, lang):
     docs = make_docs(spark, [(None, "a b"), (None, "a b"), (2, "x " * 80)])
     assert quality_rules(docs.limit(0), lang_col=lang).collect() == []
     assert sorted(str(base(r)) for r in quality_rules(docs, lang_col=lang).collect()) == sorted(str(brute(t)) for t in ("a b", "a b", "x " * 80))
+
+
+@pytest.mark.parametrize("russian", [100, 8])
+def test_every_language_has_its_own_reference(spark, russian):
+    rnd = random.Random(russian)
+
+    def text(letters):
+        return " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 9))) for _ in range(150)) + "."
+
+    rows = [(i, text("abcdefghijklmnoprstuwyząćęłńóśźż"), "pl") for i in range(400)] + [(1000 + i, text("абвгдежзийклмнопрстуфхцчшщыьэюя"), "ru") for i in range(russian)]
+    rows += [(2000, text("0123456789#*$"), "ru"), (3000, text("абвг"), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality_rules(docs).collect() if r.kept}
+    assert kept == {r[0] for r in rows} - {2000}
+
+
+def distance(p, q):
+    def half(a, b):
+        return sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b) if x > 0)
+    return math.sqrt(max(0, (half(p, q) + half(q, p)) / 2))
+
+
+def test_distances_against_a_plain_version(spark):
+    docs = real_docs(spark)
+    texts = {r.doc_id: (r.text or "", r.lang or "") for r in docs.collect()}
+    shares = {}
+    for i, (text, lang) in texts.items():
+        n, words = max(len(text), 1), re.findall(r"[^\x20\x09-\x0D]+", text)
+        classes = [sum(map(len, re.findall(p, text))) / n for p in CLASSES.values()] + [(len(text) - sum(map(len, words))) / n]
+        common = COMMON.get(lang, COMMON["en"])
+        own = [sum(w.lower() == c for w in words) / max(len(words), 1) for c in common]
+        shares[i] = [x + [max(0, 1 - sum(x))] for x in (classes, own)]
+    passed = [i for i, (text, _) in texts.items() if not brute(text)[5]]
+    for r in quality_rules(docs).collect():
+        like = [shares[i] for i in passed if texts[i][1] == texts[r.doc_id][1]]
+        for k, got in enumerate((r.class_distance, r.word_distance)):
+            mean = [sum(x) / len(like) for x in zip(*(s[k] for s in like))]
+            assert abs(got - distance(shares[r.doc_id][k], mean)) < 1e-6
+        far = r.n_words >= 50 and r.class_distance > 0.3 or texts[r.doc_id][1] in COMMON and r.n_words >= 100 and r.word_distance > 0.55
+        assert r.kept == (not r.base_failed and not far)
