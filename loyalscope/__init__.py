@@ -7,7 +7,6 @@ Layout
 ``operators``  DataFrame -> DataFrame building blocks: tagging join, base cells, rollups,
                monthly windows, peer benchmarks, driver ranking, text lift, recovery, input checks
 ``plans``      the complete queries and the registry used by ``__spark_entry__``
-``streaming``  the additive monthly counts kept up to date from a file stream
 """
 
 import sys
