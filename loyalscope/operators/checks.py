@@ -62,3 +62,26 @@ def input_checks(reviews: DataFrame, users: DataFrame) -> DataFrame:
         "c.check_name", F.col("c.violations").cast("long").alias("violations"),
         F.col("c.rows_checked").cast("long").alias("rows_checked"))
     return review_checks.unionByName(user_checks).unionByName(link_checks)
+
+
+def input_check_ids(reviews: DataFrame, users: DataFrame) -> DataFrame:
+    """The ids behind V1's counts: ``check_name, id, n`` (ids as text, ``n`` rows of the table that holds them).
+
+    Repeated review ids and user ids, user ids of reviews that the user table lacks, and users without a review.
+    Every id is returned; NULL ids have no row here (``input_checks`` counts them). The per-user counts of both
+    tables meet in one full outer join, and one pass over it finds the last three.
+    """
+    u = F.col("user_id")
+    repeated = (reviews.where(F.col("review_id").isNotNull()).groupBy("review_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                .select(F.lit("duplicate_review_id").alias("check_name"), F.col("review_id").cast("string").alias("id"), "n"))
+    written = reviews.where(u.isNotNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("written"))
+    known = users.where(u.isNotNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("copies"))
+
+    def found(name: str, when: Column, n: Column) -> Column:
+        return F.when(when, F.struct(F.lit(name).alias("check_name"), n.alias("n")))
+
+    w, c = F.col("written"), F.col("copies")
+    hits = F.array_compact(F.array(found("duplicate_user_id", c > 1, c), found("review_user_unknown", c.isNull(), w),
+                                   found("user_without_reviews", w.isNull(), c)))
+    per_user = written.join(known, "user_id", "full_outer").select(u.cast("string").alias("id"), F.explode(hits).alias("hit"))
+    return repeated.unionByName(per_user.select("hit.check_name", "id", "hit.n"))

@@ -34,15 +34,20 @@ def tag_with_users(reviews: DataFrame, users: DataFrame, strict: bool = False,
                    user_columns: tuple[str, ...] = ()) -> DataFrame:
     """Rated reviews LEFT JOIN user attributes on ``user_id``, with tier and age code.
 
-    Reviews without a matching user keep NULL attributes; users without reviews are dropped. The
-    strategy is left to Spark: a broadcast when its size estimate is under the threshold, else a
+    Reviews without a matching user keep NULL attributes; users without reviews are dropped. Anonymous
+    reviews (a NULL ``user_id``) can match nobody, so they go beside the join: a second scan reads them
+    with a pushed ``IsNull``, which skips the row groups without any, and none of them is shuffled. The
+    join's strategy is left to Spark: a broadcast when its size estimate is under the threshold, else a
     shuffle join that AQE turns into a broadcast once the user side's real size is known, and whose
-    skewed partitions (a hot user, or the NULL ids of anonymous reviews) AQE splits into several tasks.
+    skewed partitions (a hot user) AQE splits into several tasks.
     ``user_columns`` are further user attributes to keep. A duplicated ``user_id`` in ``users`` fans the
     join out; ``input_checks`` reports it.
     """
     left = valid_ratings(reviews, strict=strict).select("user_id", *review_columns)
     right = users.select("user_id", *USER_DIMENSIONS, *user_columns)
-    return (left.join(right, "user_id", "left")
+    known = left.where(F.col("user_id").isNotNull()).join(right, "user_id", "left")
+    nobody = {f.name: F.lit(None).cast(f.dataType) for f in right.schema if f.name != "user_id"}
+    anonymous = left.where(F.col("user_id").isNull()).withColumns(nobody)
+    return (known.unionByName(anonymous)
             .withColumns({"nps_tier": nps_tier("rating", strict=strict),
                           "age_code": age_code("account_age_days")}))

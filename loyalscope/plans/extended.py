@@ -147,8 +147,13 @@ def input_checks(reviews: DataFrame, users: DataFrame) -> DataFrame:
     return checks.input_checks(reviews, users)
 
 
+def input_check_ids(reviews: DataFrame, users: DataFrame) -> DataFrame:
+    """V1: the ids that violate a constraint."""
+    return checks.input_check_ids(reviews, users)
+
+
 __all__ = [
     "segment_rollup", "device_region_nps", "three_way_nps", "driver_coverage", "nps_bands",
     "sentiment_adapter", "sentiment_category_nps", "peer_gap_all", "trend_endpoints", "monthly_nps_interval",
-    "detractor_words", "recovery_transitions", "input_checks",
+    "detractor_words", "recovery_transitions", "input_checks", "input_check_ids",
 ]

@@ -346,3 +346,15 @@ UNION ALL SELECT 'review_user_unknown', COUNT(*) FILTER (WHERE NOT EXISTS (
 UNION ALL SELECT 'user_without_reviews', COUNT(*) FILTER (WHERE NOT EXISTS (
     SELECT 1 FROM reviews r WHERE r.user_id = u.user_id)), COUNT(*)
   FROM (SELECT DISTINCT user_id FROM user_attributes WHERE user_id IS NOT NULL) u"""
+
+ORACLES["sentiment_file_nps"] = ORACLES["sentiment_category_nps"]
+
+ORACLES["input_check_ids"] = f"""{PREFIX}
+SELECT 'duplicate_review_id' AS check_name, CAST(review_id AS VARCHAR) AS id, COUNT(*) AS n
+  FROM reviews WHERE review_id IS NOT NULL GROUP BY review_id HAVING COUNT(*) > 1
+UNION ALL SELECT 'duplicate_user_id', CAST(user_id AS VARCHAR), COUNT(*)
+  FROM user_attributes WHERE user_id IS NOT NULL GROUP BY user_id HAVING COUNT(*) > 1
+UNION ALL SELECT 'review_user_unknown', CAST(user_id AS VARCHAR), COUNT(*) FROM reviews r
+  WHERE user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM user_attributes u WHERE u.user_id = r.user_id) GROUP BY user_id
+UNION ALL SELECT 'user_without_reviews', CAST(user_id AS VARCHAR), COUNT(*) FROM user_attributes u
+  WHERE user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM reviews r WHERE r.user_id = u.user_id) GROUP BY user_id"""

@@ -16,7 +16,7 @@ from loyalscope.operators.tagging import tag_reviews, tag_with_users
 from loyalscope.plans import core, extended
 from loyalscope.session import new_folder
 from loyalscope.sources import fixtures as fx
-from loyalscope.sources.readers import read_reviews, read_user_attributes
+from loyalscope.sources.readers import read_apps, read_reviews, read_sentiment_reviews, read_user_attributes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,15 @@ def parquet_segment_nps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core.segment_nps(read_reviews(spark, folders[0], text_dates=True), read_user_attributes(spark, folders[1]))
 
 
+def sentiment_file_nps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentiment and app files as CSV with quoted line breaks, through the readers and the adapter."""
+    folders = [new_folder(spark, name) for name in ("sentiment-csv", "apps-csv")]
+    reviews = fx.sentiment_view(spark, sf_dir).select("App", F.expr(fx.SENTIMENT_TEXT).alias("Translated_Review"), "Sentiment")
+    for rows, folder in zip((reviews, fx.apps_view(spark, sf_dir)), folders):
+        rows.write.options(header="true", quoteAll="true", escape='"').csv(folder)
+    return extended.sentiment_category_nps(read_sentiment_reviews(spark, folders[0]), read_apps(spark, folders[1]))
+
+
 #: A review column, a user column and a bucket.
 FREE_DIMS = ("app_name", "nation", "account_age")
 
@@ -90,6 +99,7 @@ QUERIES: dict[str, Query] = {
                                                                  fx.apps_view(s, d)),
     "sentiment_category_nps": lambda s, d: extended.sentiment_category_nps(fx.sentiment_view(s, d),
                                                                            fx.apps_view(s, d)),
+    "sentiment_file_nps": sentiment_file_nps,
     "peer_gap_all": lambda s, d: extended.peer_gap_all(*_ru(s, d)),
     "trend_endpoints": lambda s, d: extended.trend_endpoints(fx.reviews_view(s, d)),
     "detractor_words": lambda s, d: extended.detractor_words(fx.documents_view(s, d),
@@ -97,4 +107,5 @@ QUERIES: dict[str, Query] = {
     "recovery_transitions": lambda s, d: extended.recovery_transitions(fx.reviews_view(s, d)),
     "monthly_nps_interval": lambda s, d: extended.monthly_nps_interval(fx.reviews_view(s, d)),
     "input_checks": lambda s, d: extended.input_checks(*_ru(s, d)),
+    "input_check_ids": lambda s, d: extended.input_check_ids(*_ru(s, d)),
 }

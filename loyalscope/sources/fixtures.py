@@ -32,6 +32,8 @@ SENTIMENT_COLUMNS = (
     ("App", "cast(user_id % 30 as string)"),
     ("Sentiment", "case event_type when 'error' then 'Negative' when 'view' then 'Neutral' else 'Positive' end"),
 )
+# The review text of a file row: a comma, quotes and line breaks inside one field.
+SENTIMENT_TEXT = "concat('event ', review_id, ', \"', Sentiment, '\"\\nsecond line', repeat('\\n', cast(review_id % 3 as int)))"
 APP_COLUMNS = (
     ("App", "cast(n_nationkey as string)"),
     ("Category", "r_name"),

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from loyalscope.functions.dates import parse_review_date
 from loyalscope.sources import schemas
+from loyalscope.sources.quoted_csv import read_quoted_csv
 
 CORRUPT = "_corrupt_record"
 _CSV_OPTIONS = {"header": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
@@ -54,7 +55,7 @@ def read_apps(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 
 def _read_by_name(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
-    """Known text columns of a file with more columns: a CSV header is read (its types are not inferred)."""
+    """Known text columns of a file with more columns; CSV fields may hold line breaks, and splits are read in parallel."""
     if fmt != "csv":
         return _read(spark, path, fmt, schema)
-    return spark.read.options(header="true", multiLine="true", escape='"').csv(path).select(*schema.fieldNames())
+    return read_quoted_csv(spark, path).select(*schema.fieldNames())
