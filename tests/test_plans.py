@@ -67,9 +67,11 @@ def test_filters_and_columns_reach_a_parquet_reviews_table(spark, tmp_path):
     reviews = read_reviews(spark, str(tmp_path / "reviews"))
     users = read_user_attributes(spark, str(tmp_path / "users"))
     plan = core.segment_nps(reviews, users)._jdf.queryExecution().executedPlan().toString()
-    review_scan = [line for line in plan.splitlines() if "FileScan parquet" in line and "rating" in line][0]
-    assert "PushedFilters: [IsNotNull(rating)]" in review_scan
-    assert "ReadSchema: struct<category:string,rating:int,user_id:string>" in review_scan
+    review_scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "rating" in line]
+    assert len(review_scans) == 2
+    for review_scan, user in zip(review_scans, ("IsNotNull", "IsNull")):
+        assert f"PushedFilters: [IsNotNull(rating), {user}(user_id)]" in review_scan
+        assert "ReadSchema: struct<category:string,rating:int,user_id:string>" in review_scan
     monthly = core.monthly_nps_trend(reviews)._jdf.queryExecution().executedPlan().toString()
     scan = [line for line in monthly.splitlines() if "FileScan parquet" in line][0]
     assert "IsNotNull(review_date)" in scan and "ReadSchema: struct<rating:int,review_date:date>" in scan
@@ -86,7 +88,7 @@ def test_single_partition_results_are_ordered_without_a_range_exchange(spark, na
 
 
 #: Queries that write a table first, by their own account.
-EAGER = {"driver_coverage", "csv_monthly_trend", "parquet_segment_nps"}
+EAGER = {"driver_coverage", "csv_monthly_trend", "sentiment_file_nps", "parquet_segment_nps"}
 
 
 @pytest.mark.parametrize("threshold", ["10MB", "64m", "-1"])
