@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loyalscope.llm.common import mix, raw_texts, shuffle_partitions, stored, word_hashes, word_memo
 from loyalscope.llm.components import connected_components
@@ -278,9 +279,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words is one shingle). One row per input row.
 
     NULL, empty or blank text: an empty set, linked with nothing, kept. A NULL id takes no part: its
-    component is NULL and it is kept. Rows that repeat an id are one document if their texts agree, and
-    share a component anyway. An empty table gives an empty result.
+    component is NULL and it is kept. Rows that repeat an id are one document if their texts agree; if
+    not, each text has its own component, unless the id is the smallest of both texts. An empty table
+    gives an empty result. Ids may be of any type with an order: rows whose ids are no integers are
+    numbered first, one document a row, and the numbers are replaced by the ids at the end.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        return _numbered(docs, id_col, text_col, width, share, region, block)
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = stored(own.mapInArrow(_signatures(width), f"id {kind}, n long, print binary, sig binary"), "signatures")
@@ -307,3 +312,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.when(linked, F.col("component")).otherwise(F.col("id")).cast(kind)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str, width: int, share: int, region: int, block: int) -> DataFrame:
+    """``near_duplicates`` over stored row numbers; the smallest id of a component names it."""
+    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+                  .withColumn("row", F.when(F.col("id").isNotNull(), F.monotonically_increasing_id())), "numbered")
+    found = stored(near_duplicates(rows, "row", "text", width, share, region, block), "classes")
+    named = found.join(rows.select("row", "id").where("row IS NOT NULL"), "row", "left")
+    least = named.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min("id").alias("least"))
+    return named.join(least, "component_id", "left").select(
+        F.col("id").alias(id_col), "n_shingles", F.col("least").alias("component_id"),
+        F.coalesce(F.col("id") == F.col("least"), F.lit(True)).alias("kept"))

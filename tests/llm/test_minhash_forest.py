@@ -81,3 +81,16 @@ def test_components_of_a_long_chain(spark):
     links = spark.range(1, 300).selectExpr("id AS a", "id + 1 AS b").union(spark.createDataFrame([(1000, 1001)], "a long, b long"))
     got = {r.node: r.label for r in connected_components(links).collect()}
     assert got == {**{i: 1 for i in range(1, 301)}, 1000: 1000, 1001: 1000}
+
+
+def test_text_ids(spark):
+    """Ids that are no integers: the same classes, named by the smallest id in text order; NULL and repeated ids."""
+    base = [f"w{i}" for i in range(40)]
+    rows = [("b10", " ".join(base)), ("b9", " ".join(base[:-1] + ["x"])), ("a", "quite another text of its own"), ("c", ""), ("d", None),
+            (None, " ".join(base)), ("e", " ".join(base)), ("e", "quite another text of its own"), ("f", "nothing alike here at all")]
+    docs = spark.createDataFrame(rows, "name string, body string")
+    got = sorted(near_duplicates(docs, "name", "body").collect(), key=lambda r: (r[0] or "", r[1]))
+    assert [(r.name, r.n_shingles, r.component_id, r.kept) for r in got] == [
+        (None, 36, None, True), ("a", 2, "a", True), ("b10", 36, "b10", True), ("b9", 36, "b10", False), ("c", 0, "c", True),
+        ("d", 0, "d", True), ("e", 2, "a", False), ("e", 36, "b10", False), ("f", 1, "f", True)]
+    assert near_duplicates(docs.limit(0), "name", "body").collect() == []
