@@ -6,14 +6,16 @@ second term turns negative (l is the sigmoid loss) the step goes the other way,
 inside the unlabelled text away. f is additive: every document statistic is cut at quantiles of the
 unlabelled sample and each bin has a weight.
 
-p comes from positives and unlabelled text alone: a model that tells half of the positives from half of the unlabelled rows scores the
-other halves. Above any threshold lie a share a of the held-back positives and a share b of the unlabelled rows, and b >= p a, as
+p comes from positives and unlabelled text alone: a model that tells the positives of all folds but one from the unlabelled rows of these folds
+scores the fold left out. A document's fold depends on its id alone, so no model scores a row that it has learned as a positive. Above any threshold lie a share a of the held-back positives and a share b of the unlabelled rows, and b >= p a, as
 the unlabelled positives are scored like the held-back ones; so b / a where its upper bound is least (the threshold above
 which hardly anything but positives is left) estimates p.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from loyalscope.llm.common import raw_texts, received, shipped
 from loyalscope.llm.samples import labelled_rows, unlabelled_rows
 
+#: Parts of the rows that take turns in being held back for the prior.
+FOLDS = 5
 SYMBOLS = np.frombuffer(b"#*$%&<>", np.uint8)
 FEATURES = (
     "log_words", "word_length", "upper", "digits", "pipes", "symbols", "bangs", "periods", "commas", "non_ascii",
@@ -112,12 +116,23 @@ class PUModel:
         return self
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, edges: list[np.ndarray]) -> float:
-    """The share of positives among the unlabelled rows, from rows in no order of their own."""
-    teller = PUModel(edges, 0.5).tell_apart(positive[::2], unlabelled[::2])
-    held, mixed = (np.sort(teller.raw(teller.bins(x[1::2]))) for x in (positive, unlabelled))
-    if not len(held) or not len(mixed):
-        return 0.5
+def fold_of(doc_id, folds: int = FOLDS) -> int:
+    """The fold of a document: one for all its rows, labelled or not."""
+    return zlib.crc32(f"fold {doc_id}".encode()) % folds
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, positive_fold: np.ndarray, unlabelled_fold: np.ndarray,
+                    edges: list[np.ndarray]) -> float:
+    """The share of positives among the unlabelled rows; each fold is scored by a model of the other folds."""
+    held, mixed = [], []
+    for fold in range(FOLDS):
+        ours, theirs = positive_fold == fold, unlabelled_fold == fold
+        if ours.all() or theirs.all():
+            return 0.5
+        teller = PUModel(edges, 0.5).tell_apart(positive[~ours], unlabelled[~theirs])
+        held.append(teller.raw(teller.bins(positive[ours])))
+        mixed.append(teller.raw(teller.bins(unlabelled[theirs])))
+    held, mixed = np.sort(np.concatenate(held)), np.sort(np.concatenate(mixed))
     at = np.unique(held)
     a, b = (1 - np.searchsorted(x, at) / len(x) for x in (held, mixed))
     doubt = (np.log(20) / 2) ** 0.5 * (len(held) ** -0.5 + len(mixed) ** -0.5)
@@ -144,8 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     at = np.linspace(0, 1, bins + 1)[1:-1]
     edges = [np.unique(np.concatenate([np.quantile(unlabelled[:, j], at), np.quantile(unlabelled[:, j], [0.01, 0.99])]))
              for j in range(len(FEATURES))]
-    mixed_up = np.random.default_rng(0)
-    prior = estimated_prior(mixed_up.permutation(positive), mixed_up.permutation(unlabelled), edges)
+    folds = np.array([fold_of(r.id) for r in rows])
+    is_positive = np.array([r.y == 1 for r in rows])
+    prior = estimated_prior(positive, unlabelled, folds[is_positive], folds[~is_positive], edges)
     return PUModel(edges, prior).fit(positive, unlabelled)
 
 
