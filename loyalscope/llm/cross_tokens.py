@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -50,6 +51,12 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order, by one sort (``np.unique`` hashes integers, which takes several times as long here)."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def units_of(text: str) -> list[str]:
     """The units of a space and a text. One that begins with a line break or a space is meant as it stands, any other after a space."""
     if single_spaced(text):
@@ -157,14 +164,15 @@ def _encode(models, block_bytes: int, kind: pa.DataType):
     def block_row(pair: Pair, number: int, ids: list, texts: list):
         numbers = Numbering()
         of = [list(map(numbers.__getitem__, units_of(t))) if t else [] for t in texts]
-        seen = np.bincount(np.fromiter((u for us in of for u in us), np.int64), minlength=len(numbers))
-        coded = pair.learn(list(numbers), (seen > 1).tolist())
+        units = np.fromiter(chain.from_iterable(of), np.int64)
+        coded = pair.learn(list(numbers), (np.bincount(units, minlength=len(numbers)) > 1).tolist())
         bad = {u for u, x in enumerate(coded) if x is None}
         if bad:
             of = [[] if not bad.isdisjoint(us) else us for us in of]
+            units = np.fromiter(chain.from_iterable(of), np.int64)
             coded = [x or (b"", b"") for x in coded]
         a, b = (zip(*coded) if coded else ((), ()))
-        arrays = [np.array(list(map(len, of)), "<u4"), np.fromiter((u for us in of for u in us), "<u4"),
+        arrays = [np.array(list(map(len, of)), "<u4"), units.astype("<u4"),
                   np.array(list(map(len, a)), "<u4") // 4, np.array(list(map(len, b)), "<u4") // 4]
         values = [x.tobytes() for x in arrays] + [b"".join(a), b"".join(b)]
         return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(kind)), *(pa.array([v], pa.binary()) for v in values)],
@@ -215,7 +223,7 @@ class Block:
     def document_counts(self) -> np.ndarray:
         """How many documents hold each of ``codes``."""
         k, u = max(len(self.codes), 1), max(len(self.na), 1)
-        own = np.unique(self.link_unit * k + self.link_code)                    # distinct pairs of every unit
+        own = distinct(self.link_unit * k + self.link_code)                     # distinct pairs of every unit
         unit, code = own // k, own % k
         per_unit = np.bincount(unit, minlength=u)
         first = np.cumsum(per_unit) - per_unit
@@ -224,10 +232,10 @@ class Block:
         while lo < len(self.lengths):                                           # some documents at a time
             hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + PART, "right")) - 1)
             doc = np.repeat(np.arange(hi - lo), self.lengths[lo:hi])
-            doc, held = np.divmod(np.unique(doc * u + self.units[edges[lo]:edges[hi]]), u)
+            doc, held = np.divmod(distinct(doc * u + self.units[edges[lo]:edges[hi]]), u)
             n = per_unit[held]
             at = np.arange(n.sum()) + np.repeat(first[held] - (np.cumsum(n) - n), n)
-            counts += np.bincount(np.unique(np.repeat(doc, n) * k + code[at]) % k, minlength=k)[:len(counts)]
+            counts += np.bincount(distinct(np.repeat(doc, n) * k + code[at]) % k, minlength=k)[:len(counts)]
             lo = hi
         return counts
 
@@ -345,12 +353,12 @@ class MinimalHash:
 
 
 def _merged(key, table):
-    codes = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("codes").to_pylist()]))
+    codes = distinct(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("codes").to_pylist()]))
     return pa.table({"shard": [key[0].as_py()], "branch": [key[1].as_py()], "codes": pa.array([codes.tobytes()], pa.binary())})
 
 
 def _hashed(key, table):
-    codes = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("codes").to_pylist()]))
+    codes = distinct(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("codes").to_pylist()]))
     return pa.table({"shard": [key[0].as_py()], **MinimalHash.build(codes).packed()})
 
 

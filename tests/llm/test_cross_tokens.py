@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from loyalscope.llm.cross_tokens import MinimalHash, Pair, align_tokens, byte_characters, units_of
+from loyalscope.llm.cross_tokens import Block, MinimalHash, Pair, Vocabulary, align_tokens, byte_characters, distinct, units_of
 from tests.llm.helpers import make_docs, real_docs
 
 A = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -127,3 +127,20 @@ def test_minimal_hash(n):
     if n:
         with pytest.raises(ValueError):
             index.find(np.array([1 << 62], np.uint64))
+
+
+def test_documents_are_counted_by_sorting(monkeypatch):
+    """``np.unique`` without places hashes integers one by one; the counts need none of it."""
+    pair = Pair(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read(), open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    texts = ["the cat", "the hat the", "", "zzzq hat", "the cat"]
+    coded = [pair.learn(units_of(t), [True] * len(units_of(t))) if t else [] for t in texts]
+    units = [x for c in coded for x in c]
+    row = {"lengths": [len(c) for c in coded], "units": range(len(units)), "na": [len(a) // 4 for a, _ in units], "nb": [len(b) // 4 for _, b in units]}
+    row = {k: np.array(v, "<u4").tobytes() for k, v in row.items()} | {"a": b"".join(a for a, _ in units), "b": b"".join(b for _, b in units)}
+    block = Block(row, Vocabulary(pair.a_size, pair.b_size), 2)
+    monkeypatch.setattr(np, "unique", None)
+    got = dict(zip(block.codes.tolist(), block.document_counts().tolist()))
+    monkeypatch.undo()
+    assert got == {a << 32 | b: n for (a, b), n in Counter(x for t in texts for x in set(swept(*map(spans, tokens(t))) if t else [])).items()}
+    for x in ([], [3], [2, 2, 1, 5, 2]):
+        assert distinct(np.array(x, np.uint64)).tolist() == sorted(set(x))
