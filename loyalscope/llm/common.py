@@ -75,6 +75,16 @@ class Memo(dict):
             self[x] = v
         return v
 
+    def kept(self, xs: list) -> dict:
+        """The kept value or None of each of ``xs``; nothing is computed."""
+        out = dict(zip(xs, map(self.get, xs)))
+        if self.old:
+            rest = [x for x, v in out.items() if v is None]
+            found = {x: v for x, v in zip(rest, map(self.old.get, rest)) if v is not None}
+            self.update(found)
+            out.update(found)
+        return out
+
     def trim(self) -> None:
         if 2 * len(self) > self.limit:
             self.old = dict(self)

@@ -23,11 +23,13 @@ import hashlib
 import os
 import re
 import zlib
+from operator import add
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,9 +39,12 @@ from loyalscope.llm.common import Memo, raw_texts, stored, worker_cache
 #: Largest vocabulary file that is sent to the executors.
 MAX_VOCABULARY = 64 << 20
 #: Words whose ids one worker keeps, and bytes of text it works on at once.
-ID_CACHE, CHUNK = 600_000, 1 << 20
+ID_CACHE, CHUNK = 800_000, 4 << 20
 #: Letters, or ASCII digits and punctuation but apostrophes: the tokenizer cuts between the two.
 UNITS = re.compile(r"[^\W\d_]+|[!-&(-@\[-`{-~]+").findall
+#: Lower-case Latin letters; of every line, its Latin letters, the ASCII punctuation (no apostrophe) that follows, and the rest.
+LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+WORDS = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)(.*)$", re.M).findall
 PLAN_COLUMNS = ["length", "rank_lo", "count", "seq_lo", "offset"]
 
 
@@ -58,49 +63,78 @@ class WordTokenizer:
     A word of letters and ASCII punctuation is cut further where the tokenizer always cuts it, so that
     "The", "the," and "the." need one lookup of "the". Apostrophes (contractions), combining marks and
     other symbols keep a word whole.
+
+    Most new words are Latin letters and then ASCII punctuation. These are cut and lower-cased in bulk,
+    and as the tokenizer's normalizer leaves them alone then, their letters are encoded without it.
     """
 
     def __init__(self, vocabulary: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
         self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.plain.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)         # ids that end a pre-token
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words, self.units = Memo(None, ID_CACHE), Memo(None, ID_CACHE)
 
     @staticmethod
-    def cut(word: bytes) -> list[str]:
-        text = word.decode()
-        if text.isalpha():
-            return [text.lower() if text.isascii() else text]
-        units = UNITS(text)
-        return [u.lower() if u.isascii() else u for u in units] if sum(map(len, units)) == len(text) else [text]
-
-    def learn(self, units: list[str]) -> None:
-        """Ids of new units: one call for all that are one pre-token each, else one by one."""
-        plain = [u for u in units if u.isalpha() or (u.isascii() and not any(map(str.isalnum, u)) and "'" not in u)]
+    def cut(word: str) -> list[str]:
+        if word.isalpha():
+            return [word.lower() if word.isascii() else word]
+        units = UNITS(word)
+        return [u.lower() if u.isascii() else u for u in units] if sum(map(len, units)) == len(word) else [word]
+
+    def learn(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of new units: one call for all that are lower-case Latin letters, else one by one."""
+        plain, of = [u for u in units if LETTERS(u)], {}
         if plain:
-            coded = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
-            of = np.array(coded.word_ids, np.int64)
-            ids, ends = np.array(coded.ids, "<u4"), np.flatnonzero(np.append(of[1:] != of[:-1], True)) + 1
-            if len(ends) == len(plain):
+            ids = np.array(self.plain.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(plain) and ends[-1] == len(ids):
                 raw, at = ids.tobytes(), (4 * ends).tolist()
-                self.units.update(zip(plain, map(raw.__getitem__, map(slice, [0, *at], at))))
-        rest = [u for u in units if u not in self.units]
-        coded = self.tokenizer.encode_batch(rest, add_special_tokens=False)
-        self.units.update((u, np.array(c.ids, "<u4").tobytes()) for u, c in zip(rest, coded))
+                of = dict(zip(plain, map(raw.__getitem__, map(slice, [0, *at], at))))
+        rest = [u for u in units if u not in of]
+        coded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        of.update((u, np.array(c.ids, "<u4").tobytes()) for u, c in zip(rest, coded))
+        self.units.update(of)
+        return of
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         self.words.trim()
         self.units.trim()
-        split = [t.split() for t in texts]
-        cuts = {w: self.cut(w) for w in set().union(*split) if w not in self.words}
-        self.learn([u for u in set().union(*cuts.values()) if u not in self.units])
-        units = self.units.__getitem__
-        self.words.update((w, b"".join(map(units, us))) for w, us in cuts.items())
-        words = self.words.__getitem__
-        return [b"".join(map(words, ws)) for ws in split]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, size = np.frombuffer(b"".join(words), "<u4"), np.fromiter(map(len, words), np.int64, len(words)) >> 2
+        at = coded.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n)
+        raw = ids[np.arange(n.sum()) + np.repeat((np.cumsum(size) - size)[at] - (ends - n), n)].tobytes()
+        cuts = (4 * np.append(0, ends)[split.offsets.to_numpy()]).tolist()
+        return [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+
+    def ids_of(self, distinct: list[str]) -> list[bytes]:
+        """Ids of each of some distinct words."""
+        words = self.words.kept(distinct)
+        new = [w for w, ids in words.items() if ids is None]
+        if new:
+            heads, tails, rests = zip(*WORDS("\n".join(new)))
+            heads = "\n".join(heads).lower().split("\n")
+            whole = {i: self.cut(new[i]) for i, rest in enumerate(rests) if rest}
+            units = self.units.kept(list({"", *heads, *tails}.union(*whole.values())))
+            units.update(self.learn([u for u, ids in units.items() if ids is None]))
+            coded = list(map(add, map(units.__getitem__, heads), map(units.__getitem__, tails)))
+            for i, us in whole.items():
+                coded[i] = b"".join(map(units.__getitem__, us))
+            words.update(zip(new, coded))
+            self.words.update(zip(new, coded))
+        return list(words.values())
 
 
 def in_chunks(texts, limit: int = CHUNK):

@@ -8,7 +8,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from loyalscope.llm.packing import pack, packing_plan
+from loyalscope.llm.common import Memo
+from loyalscope.llm.packing import WordTokenizer, pack, packing_plan, read_vocabulary
 from tests.llm.helpers import make_docs, real_docs
 
 
@@ -64,3 +65,17 @@ def test_plan_is_tight(spark):
     used = plan["seq_lo"].add(plan["count"]).max()
     alone = int((lengths > 2048).sum())
     assert used <= 1.01 * max(alone, lengths.sum() / 4096)
+
+
+def test_words_are_encoded_as_in_the_whole_text_and_once(tokenizer):
+    words = ["The", "the,", "the.", "don't", "'s", "été.", "ÉTÉ", "Straße", "ß", "ÿ", "Ÿ", "µ", "ªº", "Æon", "İx", "ŉ", "ΣΑΣ", "ſ", "x́y", "12.", "a1b", "a.b", "a×b÷c", ".", "...",
+             "--the", "it's.", "<|endoftext|>", "</w>", "a</w>b", "你好,", "ﬁn", "x\x1cy", "\x85z", "\xa0q", "\u3000", "a\x00b", "\U0001f600", "ZZZqqq", "the" * 30]
+    texts = ["", " ", *words, " ".join(words), "\n\t " + "  ".join(words) + "\r\n", "\x0b\x0c"]
+    coder = WordTokenizer(read_vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    coder.words, coder.units = Memo(None, 4), Memo(None, 4)          # every call pushes the last one's words into the older generation
+    assert coder.encode([t.encode() for t in texts]) == want
+    learned, learn = [], coder.learn
+    coder.learn = lambda units: learned.extend(units) or learn(units)
+    assert coder.encode([t.encode() for t in reversed(texts)]) == want[::-1]
+    assert not learned
