@@ -33,8 +33,9 @@ from loyalscope.llm.common import mix, raw_texts, shuffle_partitions, stored, te
 
 # The odd bases of the two polynomial hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-#: Bits of a fingerprint that its place in the sorted order gives: they travel as counts.
-PLACE_BITS = 16
+#: Bits of a fingerprint that its place in the sorted order gives, and the bits of its first hash that travel as they are.
+PLACE_BITS = 20
+REST_BITS = 64 - PLACE_BITS
 
 
 def window_hashes(h: np.ndarray, width: int, powers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -86,27 +87,31 @@ def bucket_edges(buckets: int) -> list[int]:
 
 def _places(low: int, high: int) -> tuple[int, int]:
     """The first and the number of the leading ``PLACE_BITS`` that values from ``low`` to below ``high`` have."""
-    shift = 64 - PLACE_BITS
-    return low >> shift, ((high - 1) >> shift) - (low >> shift) + 1
+    return low >> REST_BITS, ((high - 1) >> REST_BITS) - (low >> REST_BITS) + 1
 
 
 def packed(first: np.ndarray, second: np.ndarray, low: int, high: int) -> bytes:
-    """Sorted fingerprints of one bucket in ten bytes each: how many have which leading bits, then the other bits."""
-    least, n = _places(low, high)
-    leading = (first >> np.uint64(64 - PLACE_BITS)).astype(np.int64) - least
-    return b"".join(x.tobytes() for x in (np.bincount(leading, minlength=n).astype(np.uint32), first.astype(np.uint32),
-                                          (first >> np.uint64(32)).astype(np.uint16), second))
+    """Sorted fingerprints of one bucket in nine and a half bytes each, and their leading bits: a set bit per fingerprint, a clear one per place."""
+    least, places = _places(low, high)
+    n = len(first)
+    marks = np.zeros(n + places, bool)
+    marks[(first >> np.uint64(REST_BITS)).astype(np.int64) - least + np.arange(n)] = True
+    nibble = np.append((first >> np.uint64(40)).astype(np.uint8) & 15, np.zeros(n % 2, np.uint8))
+    return b"".join(x.tobytes() for x in (np.array([n], np.uint64), first.astype(np.uint32), second, (first >> np.uint64(32)).astype(np.uint8),
+                                          nibble[::2] << 4 | nibble[1::2], np.packbits(marks)))
 
 
 def unpacked(raw: bytes, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     least, places = _places(low, high)
-    leading = np.frombuffer(raw, np.uint32, places)
-    n = (len(raw) - 4 * places) // 10
-    end = np.frombuffer(raw, np.uint32, n, 4 * places).astype(np.uint64)
-    middle = np.frombuffer(raw, np.uint16, n, 4 * places + 4 * n).astype(np.uint64)
-    top = np.repeat(np.arange(least, least + places, dtype=np.uint64), leading)
-    first = top << np.uint64(64 - PLACE_BITS) | middle << np.uint64(32) | end
-    return first, np.frombuffer(raw, np.uint32, n, 4 * places + 6 * n)
+    n = int(np.frombuffer(raw, np.uint64, 1)[0])
+    half = (n + 1) // 2
+    end, second = np.frombuffer(raw, np.uint32, 2 * n, 8).reshape(2, n)
+    middle = np.frombuffer(raw, np.uint8, n, 8 + 8 * n).astype(np.uint64)
+    pairs = np.frombuffer(raw, np.uint8, half, 8 + 9 * n)
+    nibble = np.stack([pairs >> 4, pairs & 15], axis=1).ravel()[:n].astype(np.uint64)
+    marks = np.unpackbits(np.frombuffer(raw, np.uint8, offset=8 + 9 * n + half), count=n + places)
+    top = (np.flatnonzero(marks) - np.arange(n) + least).astype(np.uint64)
+    return top << np.uint64(REST_BITS) | nibble << np.uint64(40) | middle << np.uint64(32) | end, second
 
 
 class Block:
@@ -234,7 +239,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     parts, total = shuffle_partitions(spark), text_bytes(docs, text_col)
     blocks = max(parts, -(-total // block_bytes))
-    buckets = max(parts, -(-total * 5 // (2 * bucket_bytes)))     # about 10 bytes per 4 to 6 of text
+    buckets = max(parts, -(-total * 5 // (2 * bucket_bytes)))     # about 9.7 bytes per 4 to 6 of text
     own, same = [id_col, text_col, *keep], ["_same", "_same_too"]
     rows = docs.select(*own, F.xxhash64(id_col, text_col).alias("_same"),
                        F.xxhash64(F.isnull(text_col), text_col, id_col).alias("_same_too"))

@@ -102,3 +102,16 @@ def test_packed_fingerprints_round_trip():
             second = rng.integers(0, 1 << 32, len(first), dtype=np.uint32)
             got = unpacked(packed(first, second, edges[b], edges[b + 1]), edges[b], edges[b + 1])
             assert (got[0] == first).all() and (got[1] == second).all() and len(got[0]) == len(first)
+
+
+def test_packed_fingerprints_take_less_than_ten_bytes():
+    low, high = bucket_edges(100)[7:9]                 # one of a hundred buckets, of a block of 650,000 windows
+    rng = np.random.default_rng(5)
+    first, second = np.sort(rng.integers(low, high, 6_500, dtype=np.uint64)), rng.integers(0, 1 << 32, 6_500, dtype=np.uint32)
+    raw = packed(first, second, low, high)
+    assert len(raw) < 9.9 * 6_500
+    assert all((x == y).all() for x, y in zip(unpacked(raw, low, high), (first, second)))
+    none = packed(first[:0], second[:0], low, high)
+    assert [len(x) for x in unpacked(none, low, high)] == [0, 0]
+    same = packed(np.repeat(first[:1], 5), second[:5], low, high)          # one first hash, many windows
+    assert unpacked(same, low, high)[0].tolist() == [int(first[0])] * 5
