@@ -2,7 +2,7 @@
 
 1. Rows are cut into blocks of about ``block_bytes`` of text. A block's texts fall into units, single words mostly, at places
    where both tokenizers always cut, so every distinct unit is encoded once; a block is stored as its units' ids and its
-   texts as unit numbers. (Texts that either tokenizer does not give back byte by byte have no units.)
+   texts as unit numbers, in as few bytes as they take and in a row group of its own. (Texts that either tokenizer does not give back byte by byte have no units.)
 2. First pass: a block aligns its units, the distinct pairs (A id, B id) of every document are counted, and the block's pairs leave
    in one packed row per shard (by A id).
 3. A shard's distinct pairs, merged level by level, get a minimal perfect hash: in every level each key names a slot, keys alone in
@@ -40,6 +40,10 @@ PART = 100_000
 WHITE = r"\s\u180e\u200b-\u200d\u2060\ufeff\u2581"
 CUT = re.compile(rf"(?<=[^{WHITE}])(?=[ \n][^{WHITE}])")
 PLAIN = re.compile(rf"\n?[^{WHITE}]+")
+#: Binary columns of a stored block, each ``packed``.
+ARRAYS = ("lengths", "units", "na", "nb", "a", "b")
+#: A stored block is a row group of its own, so that a reader or writer holds one block's columns at a time, not a file's.
+ONE_ROW = {"parquet.block.row.count.limit": "1", "parquet.page.row.count.limit": "1"}
 #: Levels of a minimal perfect hash; what is left then is searched in order.
 LEVELS = 40
 
@@ -57,6 +61,20 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers below 2^32 in as few bytes each (the first byte says how many) as the largest takes."""
+    width = max((int(x.max(initial=0)).bit_length() + 7) // 8, 1)
+    return bytes([width]) + x.astype("<u4").view("u1").reshape(-1, 4)[:, :width].tobytes()
+
+
+def unpacked(raw) -> np.ndarray:
+    """The numbers of ``packed``, in four bytes each."""
+    width, raw = raw[0], np.frombuffer(raw, "u1", offset=1)
+    out = np.zeros((len(raw) // width, 4), "u1")
+    out[:, :width] = raw.reshape(-1, width)
+    return out.view("<u4").ravel()
+
+
 def units_of(text: str) -> list[str]:
     """The units of a space and a text. One that begins with a line break or a space is meant as it stands, any other after a space."""
     if single_spaced(text):
@@ -172,11 +190,11 @@ def _encode(models, block_bytes: int, kind: pa.DataType):
             units = np.fromiter(chain.from_iterable(of), np.int64)
             coded = [x or (b"", b"") for x in coded]
         a, b = (zip(*coded) if coded else ((), ()))
-        arrays = [np.array(list(map(len, of)), "<u4"), units.astype("<u4"),
-                  np.array(list(map(len, a)), "<u4") // 4, np.array(list(map(len, b)), "<u4") // 4]
-        values = [x.tobytes() for x in arrays] + [b"".join(a), b"".join(b)]
-        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(kind)), *(pa.array([v], pa.binary()) for v in values)],
-                                          names=["block", "ids", "lengths", "units", "na", "nb", "a", "b"])
+        arrays = [np.array(list(map(len, of)), "<u4"), units,
+                  np.array(list(map(len, a)), "<u4") // 4, np.array(list(map(len, b)), "<u4") // 4,
+                  np.frombuffer(b"".join(a), "<u4"), np.frombuffer(b"".join(b), "<u4")]
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(kind)), *(pa.array([packed(x)], pa.binary()) for x in arrays)],
+                                          names=["block", "ids", *ARRAYS])
 
     def run(batches):
         pair, number = _pair(models), TaskContext.get().partitionId() << 32
@@ -273,12 +291,15 @@ def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
     return (mix(codes >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
+def _arrays(table, i: int) -> dict:
+    """A stored block's arrays."""
+    return {n: unpacked(table.column(n)[i].as_buffer()) for n in ARRAYS}
+
+
 def _blocks(batches, pair, shards):
-    names = ["lengths", "units", "na", "nb", "a", "b"]
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {n: batch.column(n)[i].as_py() for n in ("block", *names)}
-            yield row["block"], Block(row, pair, shards)
+            yield batch.column("block")[i].as_py(), Block(_arrays(batch, i), pair, shards)
 
 
 def _request(sizes, shards: int):
@@ -392,8 +413,7 @@ def _answer(key, requests, hashes):
 def _align(sizes, shards: int, kind: pa.DataType, id_name: str):
     def run(key, blocks, answers):
         pair = _vocabulary(sizes)
-        row = blocks.to_pylist()[0]
-        block = Block(row, pair, shards)
+        block = Block(_arrays(blocks, 0), pair, shards)
         order = np.argsort(answers.column("shard").to_numpy())
         counts, best = (np.concatenate([np.frombuffer(x, kind) for x in answers.column(c).take(pa.array(order)).to_pylist()] or [np.zeros(0, kind)])
                         for c, kind in (("counts", np.int64), ("best", bool)))
@@ -404,7 +424,7 @@ def _align(sizes, shards: int, kind: pa.DataType, id_name: str):
         for n in block.lengths.tolist():
             sums.append(hashlib.sha256(b"".join(map(spelled.__getitem__, units[at:at + n]))[:-1]).hexdigest() if n else "")
             at += n
-        return pa.Table.from_arrays([pa.array(row["ids"], kind), *(pa.array(x, pa.int64()) for x in numbers), pa.array(sums, pa.string())],
+        return pa.Table.from_arrays([pa.array(blocks.column("ids")[0].as_py(), kind), *(pa.array(x, pa.int64()) for x in numbers), pa.array(sums, pa.string())],
                                     names=[id_name, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
     return run
 
@@ -429,8 +449,8 @@ def align_tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None
     from pyspark.sql.pandas.types import to_arrow_type
     kind, sql_kind = to_arrow_type(docs.schema[id_col].dataType), docs.schema[id_col].dataType.simpleString()
     shards = max(shuffle_partitions(spark), 16)
-    binaries = ", ".join(f"{c} binary" for c in ("lengths", "units", "na", "nb", "a", "b"))
-    blocks = stored(docs.select(id_col, text_col).mapInArrow(_encode(models, block_bytes, kind), f"block long, ids array<{sql_kind}>, {binaries}"), "blocks")
+    binaries = ", ".join(f"{c} binary" for c in ARRAYS)
+    blocks = stored(docs.select(id_col, text_col).mapInArrow(_encode(models, block_bytes, kind), f"block long, ids array<{sql_kind}>, {binaries}"), "blocks", options=ONE_ROW)
     requests = stored(blocks.drop("ids").mapInArrow(_request(sizes, shards), "shard long, block long, codes binary, counts binary"), "requests")
     levels = [blocks.count()]
     while levels[-1] > 1 or len(levels) < 2:

@@ -75,11 +75,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{parent}/data"
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into a ``new_folder`` (or to ``path``, where it stays) and read it back.
+def stored(df: DataFrame, name: str, path: str | None = None, options: dict | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into a ``new_folder`` (or to ``path``, where it stays) and read it back; ``options`` are the writer's.
 
     Cuts the lineage: a lost executor never re-runs what came before. Eager.
     """
     target = path or new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(target)
+    df.write.option("compression", "zstd").options(**options or {}).parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)

@@ -2,13 +2,16 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from loyalscope.llm import cross_tokens
 from loyalscope.llm.cross_tokens import Block, MinimalHash, Pair, Vocabulary, align_tokens, byte_characters, distinct, units_of
 from tests.llm.helpers import make_docs, real_docs
 
@@ -144,3 +147,22 @@ def test_documents_are_counted_by_sorting(monkeypatch):
     assert got == {a << 32 | b: n for (a, b), n in Counter(x for t in texts for x in set(swept(*map(spans, tokens(t))) if t else [])).items()}
     for x in ([], [3], [2, 2, 1, 5, 2]):
         assert distinct(np.array(x, np.uint64)).tolist() == sorted(set(x))
+
+
+def test_stored_blocks_are_packed_and_read_one_by_one(spark, monkeypatch):
+    """A file's blocks are no single row group, which a task would hold whole, and numbers take the bytes they need."""
+    kept, stored = {}, cross_tokens.stored
+    monkeypatch.setattr(cross_tokens, "stored", lambda df, name, **more: kept.setdefault(name, stored(df, name, **more)))
+    rows = [(i, f"the cat w{i}") for i in range(300)] + [(None, None), (300, "")]
+    check(align_tokens(make_docs(spark, rows).coalesce(1), block_bytes=500)[0], rows)
+    metas = [pq.read_metadata(urlparse(f).path) for f in kept["blocks"].inputFiles()]
+    groups = [m.row_group(i).num_rows for m in metas for i in range(m.num_row_groups)]
+    assert len(groups) > 20 and set(groups) == {1}
+    for r in kept["blocks"].collect():
+        assert len(r.units) <= 1 + 4 * 8 and len(r.na) <= 1 + 4 * 8 and len(r.a) <= 1 + 2 * sum(r.na[1:])
+
+
+@pytest.mark.parametrize("x", [[], [0], [255], [256, 1], [70_000, 3], [1 << 24, 5], [(1 << 32) - 1]])
+def test_packed_numbers(x):
+    raw = cross_tokens.packed(np.array(x, np.int64))
+    assert cross_tokens.unpacked(raw).tolist() == x and len(raw) == 1 + len(x) * max((max(x, default=0).bit_length() + 7) // 8, 1)
