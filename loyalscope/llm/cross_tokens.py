@@ -2,7 +2,8 @@
 
 1. Rows are cut into blocks of about ``block_bytes`` of text. A block's texts fall into units, single words mostly, at places
    where both tokenizers always cut, so every distinct unit is encoded once; a block is stored as its units' ids and its
-   texts as unit numbers, in as few bytes as they take and in a row group of its own. (Texts that either tokenizer does not give back byte by byte have no units.)
+   texts as unit numbers, in as few bytes as they take and in a row group of its own. (Texts that either tokenizer does not
+   give back byte by byte have no units.)
 2. First pass: a block aligns its units, the distinct pairs (A id, B id) of every document are counted, and the block's pairs leave
    in one packed row per shard (by A id).
 3. A shard's distinct pairs, merged level by level, get a minimal perfect hash: in every level each key names a slot, keys alone in
@@ -450,7 +451,8 @@ def align_tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None
     kind, sql_kind = to_arrow_type(docs.schema[id_col].dataType), docs.schema[id_col].dataType.simpleString()
     shards = max(shuffle_partitions(spark), 16)
     binaries = ", ".join(f"{c} binary" for c in ARRAYS)
-    blocks = stored(docs.select(id_col, text_col).mapInArrow(_encode(models, block_bytes, kind), f"block long, ids array<{sql_kind}>, {binaries}"), "blocks", options=ONE_ROW)
+    blocks = stored(docs.select(id_col, text_col).mapInArrow(_encode(models, block_bytes, kind), f"block long, ids array<{sql_kind}>, {binaries}"), "blocks",
+                    options=ONE_ROW)
     requests = stored(blocks.drop("ids").mapInArrow(_request(sizes, shards), "shard long, block long, codes binary, counts binary"), "requests")
     levels = [blocks.count()]
     while levels[-1] > 1 or len(levels) < 2:
